@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import mixing, packing, quality_rules, simhash, tokens
+from terracell.llm import mixing, packing, pii, quality_rules, simhash, tokens
 from terracell.llm.common import n_words, table, tuned
 
 END_ID = 2
@@ -37,10 +37,16 @@ def op8_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(spark, table(tuned(spark), sf_dir, "documents"), tokenizer_path(), END_ID)
 
 
+def op9_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.found(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base_spans")
+    return rows.select("doc_id", *[pii.counted(base, k).alias(f"n_{k}") for k in pii.KINDS], F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = packing.pieces(table(tuned(spark), sf_dir, "documents"), tokenizer_path(), END_ID)
     return packing.packed(parts, name="op10").select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_compression_bands, op3_systematic_mix, op5_simhash_tiles, op8_ranked_varbyte, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op2_compression_bands, op3_systematic_mix, op5_simhash_tiles, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
