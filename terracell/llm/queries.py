@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import mixing, packing, pii, quality_rules, simhash, tokens
+from terracell.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup, tokens
 from terracell.llm.common import n_words, table, tuned
 
 END_ID = 2
@@ -28,6 +28,11 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source")
 
 
+def op4_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.deduplicated(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), name="op4")
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.clustered(table(tuned(spark), sf_dir, "documents"), name="op5")
     return rows.select("doc_id", simhash.hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
@@ -48,5 +53,5 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts, name="op10").select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_compression_bands, op3_systematic_mix, op5_simhash_tiles, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit)}
+QUERIES = {f.__name__: f for f in (op2_compression_bands, op3_systematic_mix, op4_window_index, op5_simhash_tiles, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit)}
 ORACLE_SQL: dict[str, str] = {}
