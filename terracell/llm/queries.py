@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import mixing, packing, pii, quality_rules, simhash, substring_dedup, tokens
+from terracell.llm import chat, embedding_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, tokens
 from terracell.llm.common import n_words, table, tuned
 
 END_ID = 2
@@ -17,6 +17,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"))
+    rows = quality_classifier.scored(docs, model)
+    return rows.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), out="q")
     return rows.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.ratio")
@@ -38,6 +45,14 @@ def op5_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", simhash.hexadecimal(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def op6_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked(table(spark, sf_dir, "embeddings"), name="op6")
+
+
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
 def op8_ranked_varbyte(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(spark, table(tuned(spark), sf_dir, "documents"), tokenizer_path(), END_ID)
 
@@ -53,5 +68,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts, name="op10").select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_compression_bands, op3_systematic_mix, op4_window_index, op5_simhash_tiles, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_naive_bayes_svm, op2_compression_bands, op3_systematic_mix, op4_window_index, op5_simhash_tiles,
+        op6_cap_filters, op7_snapshot_collapse, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op7_snapshot_collapse": chat.ORACLE_SQL}
