@@ -51,6 +51,14 @@ def _nullable(schema: StructType) -> StructType:
     return StructType([type(f)(f.name, f.dataType, True, f.metadata) for f in schema.fields])
 
 
+def carried(docs: DataFrame, *columns: str | Column) -> DataFrame:
+    """columns of docs beside a struct _row of all of them: no name that an operator adds can clash with docs' own.
+
+    select("_row.*") gives the rows back as they were.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *columns)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

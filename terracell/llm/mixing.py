@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terracell.llm.common import n_words, ranked
+from terracell.llm.common import carried, n_words, ranked
 
 WEIGHTS = (3, 1, 2)
 
@@ -69,7 +69,8 @@ def sampled(docs: DataFrame, name: str = "mix", **options) -> DataFrame:
     in doc_id, source and text are one row with the sum of their copies.
     """
     key = F.xxhash64("doc_id", "source", F.coalesce(F.sha2("text", 256), F.lit("")))
-    keyed = docs.withColumn("_key", key)
+    keyed = carried(docs, "doc_id", "source", "text", key.alias("_key"))
     copies = mixed(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_key"), name=name, **options)
     taken = copies.groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    return keyed.dropDuplicates(["_key"]).join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed.select("_row", "_key").dropDuplicates(["_key"]).join(taken, "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

@@ -15,6 +15,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracell.llm.common import carried
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Fixed patterns. Possessive loops and \G or look-behind starts find the same matches as the plain forms,
@@ -275,12 +277,13 @@ def redacted(docs: DataFrame, model: Model | None = None, text: str = "text") ->
 
     n_chars, where docs has it, becomes the new length. Null texts stay null.
     """
-    rows = found(docs.withColumn("_own", F.col(text)), model, text)
+    rows = found(carried(docs, F.col(text).alias("text")), fitted(docs, text) if model is None else model)
     tags = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
     cut = F.expr(f"""
       aggregate(spans, struct(0 as at, cast(array() as array<string>) as out),
         (s, x) -> case when x.start < s.at then struct(greatest(s.at, x.stop) as at, s.out as out)
-          else struct(x.stop as at, concat(s.out, array(substring(_own, s.at + 1, x.start - s.at), element_at({tags}, x.kind + 1))) as out) end,
-        s -> concat(array_join(s.out, ''), substring(_own, s.at + 1)))""")
-    rows = rows.withColumn(text, F.when(F.size("spans") > 0, cut).otherwise(F.col("_own"))).drop("_own", "spans", "base_spans")
-    return rows.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else rows
+          else struct(x.stop as at, concat(s.out, array(substring(text, s.at + 1, x.start - s.at), element_at({tags}, x.kind + 1))) as out) end,
+        s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))""")
+    rows = rows.withColumn("_new", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
+    fresh = {text: F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return rows.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])

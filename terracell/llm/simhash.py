@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import components, ranked, written
+from terracell.llm.common import carried, components, ranked, written
 
 BITS, RADIUS, SHINGLE, TILE = 64, 4, 4, 32768
 #: Pairs whose exclusive-or is held at a time.
@@ -164,10 +164,10 @@ def deduplicated(docs: DataFrame, name: str = "simhash", **options) -> DataFrame
 
     Of rows with that doc_id (or all null ids), the one with the least hash of its text stays, once.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = clustered(keyed, name=name, keep=("_hash",), **options)
+    keyed = carried(docs, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
+    found = clustered(keyed.select("doc_id", "text", "_hash"), name=name, keep=("_hash",), **options)
     group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("bits").alias("v")))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_hash").alias("h"))).alias("best"))
     best = best.select(F.col("best.n").alias("_n"), F.coalesce("best.d", F.lit(0)).alias("_d"), F.col("best.h").alias("_h")).distinct()
-    rows = keyed.withColumn("_n", F.col("doc_id").isNull()).withColumn("_d", F.coalesce("doc_id", F.lit(0))).withColumnRenamed("_hash", "_h")
-    return rows.join(best, ["_n", "_d", "_h"]).dropDuplicates(["_n", "_d", "_h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = keyed.select("_row", F.col("doc_id").isNull().alias("_n"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("_hash").alias("_h"))
+    return rows.join(best, ["_n", "_d", "_h"]).dropDuplicates(["_n", "_d", "_h"]).select("_row.*")
