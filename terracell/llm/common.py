@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _nullable(schema: StructType) -> StructType:
     return StructType([type(f)(f.name, f.dataType, True, f.metadata) for f in schema.fields])
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import written
+from terracell.llm.common import released, written
 
 WINDOW, GRAM = 35, 8
 #: Bits of the filters that spare rows; those that pass are joined, so a full filter costs time, not results.
@@ -192,14 +192,6 @@ def _among(table: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: str = "substring") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for docs (doc_id, text): kept has the words that stay, joined by a space, as binary.
 
