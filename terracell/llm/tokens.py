@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from terracell.llm.common import dropped, running_total, shared_dir, written
 
 #: Distinct pieces that an encoder remembers; then it starts anew. Only speed depends on it.
-MEMO = 500_000
+MEMO = 1_000_000
 TOKENS_PER_FILE = 4_000_000
 MAGIC = b"RVBYTE01"
 HEADER = struct.Struct("<8sqqqqqq")
@@ -51,10 +51,19 @@ class Encoder:
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)  # byte-level: one character stands for one byte
         self.memo: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
         self.size = len(self.n_bytes)
 
     def plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def start(self, piece: str) -> bytes:
+        """Ids of a text's first piece, which has no space before it."""
+        if piece not in self.first:
+            if len(self.first) >= self.most // 4:
+                self.first.clear()
+            self.first[piece] = self.plain(piece)
+        return self.first[piece]
 
     def learn(self, pieces: list[str]) -> None:
         """Remembers the ids of ' ' + piece for each piece, encoded as one text and cut by the tokens' bytes."""
@@ -75,12 +84,12 @@ class Encoder:
         first, *rest = text.split(" ")
         memo = self.memo
         try:
-            return self.plain(first) + b"".join(map(memo.__getitem__, rest))
+            return self.start(first) + b"".join(map(memo.__getitem__, rest))
         except KeyError:
             self.learn(list(set(rest).difference(memo)))
             if len(self.memo) < len(set(rest)):
                 self.learn(list(set(rest)))
-            return self.plain(first) + b"".join(map(self.memo.__getitem__, rest))
+            return self.start(first) + b"".join(map(self.memo.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
