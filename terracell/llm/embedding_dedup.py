@@ -17,7 +17,7 @@ from terracell.llm.simhash import roots, unite
 
 COSINE = 0.93
 #: Filters that a vector exceeds, on average over random directions; vectors in a bucket that are compared in one piece.
-FILTERS, TILE = 20, 2048
+FILTERS, TILE = 32, 2048
 
 
 def code(dimensions: int, words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
