@@ -31,14 +31,23 @@ def inflated(raw: bytes, codec: dict | None) -> bytes:
     raise ValueError(f"chunks compressed with {name!r} can't be read")
 
 
+def small_file(spark: SparkSession, path: str) -> str:
+    """Text of a small file, also of one whose name hides it from Spark's scans, from any file system that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def zarr_variable(spark: SparkSession, store: str, name: str) -> DataFrame:
     """(d0, d1, ..., value): one row for an entry of an array below a store, its dimensions' positions and its value.
 
     Fill values are NULL. Only the array's small description is read on the driver; chunk files are rows of a
     binary scan, and a chunk is decoded where it is read. Missing chunks, which hold fill values only, give no rows.
     """
-    text = spark.read.text(f"{store}/{name}/.zarray", wholetext=True).first()[0]
-    meta = json.loads(text)
+    meta = json.loads(small_file(spark, f"{store}/{name}/.zarray"))
     if meta.get("filters"):
         raise ValueError(f"filters {meta['filters']} can't be read")
     shape, chunks, dtype, codec = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta["compressor"]
