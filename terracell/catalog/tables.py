@@ -49,6 +49,22 @@ def items_of(collections: DataFrame, versions: DataFrame, regions: DataFrame | N
     return rows.select(item_id(F.col("collection_id"), F.col("version"), F.col("region")).alias("item_id"), "collection_id", "version", "region")
 
 
+def collections_of(configs: DataFrame) -> DataFrame:
+    """Collections of configurations (columns of rules.CONFIG and theme_id): the licence has a default, citations and other links stay."""
+    none = F.array().cast("array<string>")
+    return configs.select(
+        F.col("id").alias("collection_id"), "theme_id", "title", "description", F.coalesce("license", F.lit(LICENSE)).alias("license"), "bbox", "start_datetime", "end_datetime",
+        F.coalesce("keywords", none).alias("keywords"), "links",
+    )
+
+
+def described(items: DataFrame, configs: DataFrame) -> DataFrame:
+    """items with what their configuration says of them: product name, period, dated at its end, bbox, variables, and the links that an item keeps."""
+    kept = F.filter("links", lambda x: x["rel"].isin(*ITEM_LINKS))
+    says = configs.select(F.col("id").alias("collection_id"), F.col("title").alias("product_name"), "bbox", "start_datetime", "end_datetime", F.col("end_datetime").alias("datetime"), "variables", kept.alias("links"))
+    return items.join(says, "collection_id")
+
+
 def with_period(items: DataFrame, own: DataFrame, first: str, last: str) -> DataFrame:
     """items with start and end: the version's own (own: collection_id, version, start, end) or else the collection's."""
     rows = items.join(own.withColumnsRenamed({"start": "_s", "end": "_e"}), ["collection_id", "version"], "left")

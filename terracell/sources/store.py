@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from terracell.catalog import discovery
 from terracell.catalog.tables import Catalog
 from terracell.cube import Cube
+from terracell.functions.metadata import kept
 from terracell.grid import GridSpec
 
 
@@ -37,10 +38,18 @@ def write(cube: Cube, path: str, chunk: tuple[int, int] = (2048, 2048), append:
         writer = writer.partitionBy(cube.time).option("partitionOverwriteMode", "dynamic" if append else "static")
     writer.mode("overwrite").parquet(f"{path}/{'data' if cube.time or not append else 'static'}")
     if not append:
-        meta = json.dumps({"grid": asdict(cube.grid), "time": cube.time, "attributes": cube.attributes, "chunk": chunk})
+        meta = json.dumps({"grid": asdict(cube.grid), "time": cube.time, "attributes": kept(cube.attributes), "chunk": chunk})
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/cube")
 
 
+def write_all(cubes: dict[str, Cube], base: str, chunks: dict[str, tuple[int, int]] | None = None) -> dict[str, str]:
+    """Writes a region's cubes, one for a resolution, below a folder; their paths by resolution."""
+    paths = {r: f"{base}_{r}.parquet" for r in cubes}
+    for resolution, cube in cubes.items():
+        write(cube, paths[resolution], (chunks or {}).get(resolution, (1024, 1024)))
+    return paths
+
+
 def read(spark: SparkSession, path: str, variables: list[str] | None = None) -> Cube:
     """The cube at a path, with the variables asked for; nothing but its description is read yet."""
     meta = json.loads(spark.read.text(f"{path}/cube").first()[0])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from terracell.catalog import discovery, products, rules, tables
 from terracell.cube import Cube
+from terracell.functions import metadata
 from terracell.grid import GridSpec
 from terracell.plans.recipes import RECIPES, alert_layers, missing_variables
 from terracell.sources import arrays, store
@@ -196,3 +197,30 @@ def test_rasters_and_names(spark, tmp_path):
         store.files_of(spark, str(tmp_path), r"STD_(\d+)\.tif")
     parts = {n: spark.createDataFrame(r, "iy long, ix long, value double") for n, r in {"a": [(0, 0, 1.0)], "b": [(0, 0, 2.0), (0, 1, 3.0)]}.items()}
     assert sorted((r["ix"], r["a"], r["b"]) for r in store.layers(parts).collect() if r["a"]) == [(0, 1.0, 2.0)]
+
+
+def test_collections_and_items_of_configurations(spark):
+    row = ("a", "Title", "d", None, [0.0, 0.0, 1.0, 1.0], None, None, None, [("cite-as", "h", None, None), ("child", "i", None, None)], ["v"], ["v"])
+    configs = spark.createDataFrame([row], rules.CONFIG).withColumn("theme_id", F.lit("t"))
+    c = tables.collections_of(configs).first()
+    assert c["license"] == "CC-BY-4.0" and c["keywords"] == [] and c["collection_id"] == "a"
+    items = tables.items_of(tables.collections_of(configs), spark.createDataFrame([("a", "1.0")], "collection_id string, version string"))
+    i = tables.described(items, configs).first()
+    assert i["item_id"] == "a_v1.0" and i["product_name"] == "Title" and [x["rel"] for x in i["links"]] == ["cite-as"]
+
+
+def test_metadata():
+    assert metadata.axes(["time", "y", "x"]) == ("x", "y") and metadata.axes(["lat", "longitude", "x"]) == ("longitude", "lat")
+    with pytest.raises(ValueError):
+        metadata.axes(["a"])
+    assert metadata.crs_of({"crs": {"spatial_ref": "B"}}, {"crs": "C"}) == "B" and metadata.crs_of({}, {"crs": "C"}, "A") == "A"
+    with pytest.raises(ValueError):
+        metadata.crs_of({}, {})
+    assert metadata.kept({"a": None, "_FillValue": 3, "b": 1}) == {"b": 1}
+
+
+def test_all_resolutions(spark, tmp_path):
+    cubes = {r: Cube(spark.createDataFrame([(0, 0, 1.0)], "iy long, ix long, v double"), GRID) for r in ("10m", "100m")}
+    paths = store.write_all(cubes, str(tmp_path / "region"))
+    assert all(store.read(spark, p).df.count() == 1 for p in paths.values())
+    assert tables.rebased(spark.createDataFrame([("s3://a/b",)], "href string"), "href", "s3://a", "https://c").first()[0] == "https://c/b"
