@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -18,3 +21,15 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for k, v in SETTINGS.items():
         builder = builder.config(k, v)
     return builder
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """The session, whose Python workers look for this package where the driver has it as well.
+
+    Enough for local sessions; on a cluster, ship the package with --py-files.
+    """
+    home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    there = env.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in there:
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, there)])
+    return spark

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracell.session import importable
+
 
 def inflated(raw: bytes, codec: dict | None) -> bytes:
     name = (codec or {}).get("id")
@@ -69,7 +71,7 @@ def zarr_variable(spark: SparkSession, store: str, name: str) -> DataFrame:
                 at = np.unravel_index(np.flatnonzero(keep), block.shape)
                 yield pa.RecordBatch.from_arrays([*[pa.array(a + s, pa.int64()) for a, s in zip(at, start)], pa.array(values[keep])], [*columns, "value"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", sep == "/").option("pathGlobFilter", "[0-9]*").load(f"{store}/{name}")
+    files = importable(spark).read.format("binaryFile").option("recursiveFileLookup", sep == "/").option("pathGlobFilter", "[0-9]*").load(f"{store}/{name}")
     return files.select("path", "content").mapInArrow(decode, ", ".join(f"{c} long" for c in columns) + ", value double")
 
 
@@ -131,5 +133,5 @@ def rasters(spark: SparkSession, path: str, masked: bool = True) -> DataFrame:
                     y, x = np.unravel_index(np.flatnonzero(keep), block.shape)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(y)), pa.array(y + row, pa.int64()), pa.array(x + column, pa.int64()), pa.array(values[keep])], ["path", "iy", "ix", "value"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = importable(spark).read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(decode, "path string, iy long, ix long, value double").select("path", "iy", "ix", F.col("value"))
