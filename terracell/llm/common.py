@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from terracell.session import importable
+
 #: Words are runs of anything but these ASCII blanks; bytes.split() cuts at exactly the same ones.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch. Documents can be long, so batches are kept short.
@@ -17,13 +20,13 @@ BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tuned(spark: SparkSession) -> SparkSession:
     """The session with short Arrow batches, so that a Python worker holds a few hundred texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+    return importable(spark)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -50,8 +53,15 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 def released(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of jobs that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees may hold on to more
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all tables that operators have written; results that still read them must have been written before."""
+    dropped(spark, shared_dir(spark, "").rpartition("/")[0])
 
 
 def _nullable(schema: StructType) -> StructType:
