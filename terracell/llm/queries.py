@@ -75,4 +75,4 @@ QUERIES = {
         op6_cap_filters, op7_snapshot_collapse, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op7_snapshot_collapse": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_window_index": substring_dedup.ORACLE_SQL, "op7_snapshot_collapse": chat.ORACLE_SQL}

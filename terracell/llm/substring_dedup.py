@@ -4,7 +4,7 @@ A window is WINDOW consecutive words. Its fingerprint is the least hash of the G
 equal windows have equal fingerprints and neighbouring windows mostly share one: about one word in fifteen
 starts a fingerprint. The index keeps these in sorted immutable runs. A new batch's fingerprints are
 merge-joined with the runs; those met before, or twice in the batch, are suspects. Windows with a suspect
-fingerprint are then verified by 128 bits over all their words, counted over all documents, and words that
+fingerprint are then verified by 96 bits over all their words, counted over all documents, and words that
 a repeated window covers go. Runs are compacted once there are too many.
 """
 
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,39 +22,12 @@ from terracell.llm.common import released, written
 WINDOW, GRAM = 35, 8
 #: Bits of the filters that spare rows; those that pass are joined, so a full filter costs time, not results.
 FILTER_BITS = 27
-MEMO = 400_000
+#: Bytes of text that are hashed at a time (a longer text is taken alone).
+PIECE = 1 << 22
 _P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-
-
-class WordHashes:
-    """Two 64-bit hashes of each word, remembered for up to MEMO distinct words."""
-
-    def __init__(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.first, self.second = np.zeros(MEMO * 2, np.uint64), np.zeros(MEMO * 2, np.uint64)
-
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        new = set(words).difference(self.index)
-        if len(self.index) + len(new) > MEMO:
-            self.index.clear()
-            new = set(words)
-        if len(new) > len(self.first):
-            self.first, self.second = np.zeros(len(new) * 2, np.uint64), np.zeros(len(new) * 2, np.uint64)
-        for w in new:
-            k = self.index[w] = len(self.index)
-            both = xxhash.xxh3_128_intdigest(w)
-            self.first[k], self.second[k] = both & 0xFFFFFFFFFFFFFFFF, both >> 64
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return self.first[at], self.second[at]
-
-
-_WORDS: list[WordHashes] = []
-
-
-def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    if not _WORDS:
-        _WORDS.append(WordHashes())
-    return _WORDS[0].of(words)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Random odd numbers that stand for bytes in two hashes.
+_LETTERS = np.random.default_rng(42).integers(1 << 62, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,20 +36,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(h: np.ndarray, length: int, base: int) -> np.ndarray:
-    """A 64-bit hash of each `length` consecutive entries, built by doubling: a polynomial in an odd base."""
-    n = len(h) - length + 1
-    out, have, power = np.zeros(n, np.uint64), 0, 1
-    part, size, step = h, 1, base
-    while True:
-        if length & size:
-            out += part[have : have + n] * np.uint64(power)
-            power = power * pow(base, size, 1 << 64) % (1 << 64)
-            have += size
-        if size * 2 > length:
-            return mix(out)
-        part = part[:-size] + part[size:] * np.uint64(step)
-        step, size = step * step % (1 << 64), size * 2
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))))[:n]
+
+
+def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of h[start:end] for each pair: differences of running sums of a polynomial in an odd base."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(base, len(h)), out=sums[1:])
+    back = _powers(pow(base, -1, 1 << 64), len(h) + 1)
+    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(_Q))
 
 
 def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -89,40 +57,59 @@ def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 class Windows:
-    """Fingerprints of all windows of a batch of texts, whose words stand one behind the other."""
+    """Words and windows of some texts, which stand one behind the other; all steps run over whole arrays."""
 
     def __init__(self, texts: list[bytes | None], window: int = WINDOW, gram: int = GRAM):
-        words = [(t or b"").split() for t in texts]
-        self.counts = np.array([len(w) for w in words], np.int64)
-        self.words = words
-        flat = [w for some in words for w in some]
+        self.window, self.gram = window, gram
+        lengths = np.array([len(t or b"") for t in texts], np.int64)
+        self.raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+        blank = _BLANK[self.raw]
+        edges = np.flatnonzero(np.diff(blank, prepend=True))
+        self.word_starts, self.word_ends = edges[::2], edges[1::2]
+        offsets = np.cumsum(lengths + 1) - (lengths + 1)
+        self.begin = np.searchsorted(self.word_starts, offsets)
+        self.counts = np.diff(np.append(self.begin, len(self.word_starts)))
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.begin = np.cumsum(self.counts) - self.counts
-        self.window, n = window, len(flat)
-        if n < window:
-            self.starts = np.zeros(0, np.int64)
-            return
-        self.first, self.second = word_hashes(flat)
-        grams = run_hashes(self.first, gram, _P)
-        span = window - gram + 1
+        self.first = span_hashes(_LETTERS[0][self.raw], self.word_starts, self.word_ends, _P)
+        n = len(self.first)
+        self.starts = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+
+    def keys(self) -> np.ndarray:
+        """64 bits over each text's words."""
+        return span_hashes(self.first, self.begin, self.begin + self.counts, _Q).view(np.int64)
+
+    def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
+        """The windows' fingerprints, and a list with one entry for each place that is the least of some window."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        n, span = len(self.first), self.window - self.gram + 1
+        at = np.arange(n - self.gram + 1)
+        grams = span_hashes(self.first, at, at + self.gram, _P)
         least = sliding(grams, span, np.minimum)
-        inside = self.doc[: n - window + 1] == self.doc[window - 1 :]
-        self.starts = np.flatnonzero(inside)
-        self.prints = least[self.starts]
         shown = np.zeros(len(least) + 2 * (span - 1), np.uint64)
-        shown[span - 1 : span - 1 + len(least)] = np.where(inside, least, 0)
-        self.anchors = grams[(sliding(shown, span, np.maximum)[: len(grams)] == grams) & (grams > 0)]
+        shown[span - 1 + self.starts] = least[self.starts]
+        return least[self.starts], grams[(sliding(shown, span, np.maximum)[: len(grams)] == grams) & (grams > 0)]
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        return run_hashes(self.first, self.window, _P)[self.starts], run_hashes(self.second, self.window, _Q)[self.starts]
+        """96 bits over each window's words, as 64 and 32."""
+        second = span_hashes(_LETTERS[1][self.raw], self.word_starts, self.word_ends, _Q)
+        ends = self.starts + self.window
+        return span_hashes(self.first, self.starts, ends, _Q).view(np.int64), (span_hashes(second, self.starts, ends, _P) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _bits(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+def groups(column: pa.Array, least: int = PIECE) -> Iterator[tuple[int, int, list]]:
+    """(start, stop, texts): a batch's texts in groups of about `least` bytes."""
+    texts = column.cast(pa.large_binary()).to_pylist()
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= least or k + 1 == len(texts):
+            yield start, k + 1, texts[start : k + 1]
+            start, size = k + 1, 0
 
 
-def _texts(column: pa.Array) -> list:
-    return column.cast(pa.large_binary()).to_pylist()
+def _bits(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _tally(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -141,9 +128,8 @@ def fingerprint_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(_texts(b.column(0)), window)
-            if len(w.starts):
-                (prints,), n = _tally(w.anchors)
+            for _, _, texts in groups(b.column(0)):
+                (prints,), n = _tally(Windows(texts, window).fingerprints()[1])
                 yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], ["print", "n"])
 
     return docs.select("text").mapInArrow(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
@@ -206,40 +192,40 @@ def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: st
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(_texts(b.column(1)), window)
-            if len(w.starts):
-                some = _among(near.value, w.prints, bits)
-                x, y = w.digests()
-                (x, y), n = _tally(x[some], y[some])
-                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64)), pa.array(n)], ["x", "y", "n"])
-
-    repeated = written(rows.mapInArrow(verify, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), f"{name}-repeated")
+            for _, _, texts in groups(b.column(1)):
+                w = Windows(texts, window)
+                some = _among(near.value, w.fingerprints()[0], bits)
+                x, y = w.digests() if some.any() else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                (x, y), n = _tally(x[some[: len(x)]], y[some[: len(y)]])
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], ["x", "y", "n"])
+
+    repeated = written(rows.mapInArrow(verify, "x long, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), f"{name}-repeated")
     released(spark)
     twice = spark.sparkContext.broadcast(bit_filter(repeated, "x", bits))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Windows(_texts(b.column(1)), window)
-            if len(w.starts):
-                ids = np.array([d or 0 for d in b.column(0).to_pylist()], np.int64)
-                x, y = w.digests()
-                some = _among(near.value, w.prints, bits) & _among(twice.value, x, bits)
-                at = w.starts[some]
-                doc = w.doc[at]
-                keys = np.array([_key(t) for t in w.words], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)), pa.array(y[some].view(np.int64)), pa.array(keys[doc]), pa.array(ids[doc]), pa.array((at - w.begin[doc]).astype(np.int32))], ["x", "y", "k", "d", "at"])
-
-    hits = rows.mapInArrow(locate, "x long, y long, k long, d long, at int").join(repeated.hint("merge"), ["x", "y"]).select("k", "d", "at")
+            for start, stop, texts in groups(b.column(1)):
+                w = Windows(texts, window)
+                some = _among(near.value, w.fingerprints()[0], bits)
+                if some.any():
+                    ids = np.array([d or 0 for d in b.column(0)[start:stop].to_pylist()], np.int64)
+                    x, y = w.digests()
+                    some &= _among(twice.value, x.view(np.uint64), bits)
+                    at = w.starts[some]
+                    doc = w.doc[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some]), pa.array(w.keys()[doc]), pa.array(ids[doc]), pa.array((at - w.begin[doc]).astype(np.int32))], ["x", "y", "k", "d", "at"])
+
+    hits = rows.mapInArrow(locate, "x long, y int, k long, d long, at int").join(repeated.hint("merge"), ["x", "y"]).select("k", "d", "at")
     spans = written(hits.groupBy("k", "d").agg(F.array_sort(F.collect_list("at")).alias("at")), f"{name}-starts")
     released(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [(t or b"").split() for t in _texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_key(w) for w in words], pa.int64()), pa.array([d or 0 for d in b.column(0).to_pylist()], pa.int64()), b.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([b" ".join(w) for w in words], pa.binary())],
-                ["k", "d", "doc_id", "n_words", "words"],
-            )
+            for start, stop, texts in groups(b.column(1)):
+                w, ids = Windows(texts, window), b.column(0)[start:stop]
+                words = pa.array([b" ".join((t or b"").split()) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(w.keys()), pa.array([d or 0 for d in ids.to_pylist()], pa.int64()), ids, pa.array(w.counts), words], ["k", "d", "doc_id", "n_words", "words"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,10 +248,6 @@ def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: st
     return texts.join(spans.hint("merge"), ["k", "d"], "left").select("doc_id", "n_words", "words", "at").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def _key(words: list[bytes]) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(b" ".join(words)), "little", signed=True)
-
-
 def deduplicated(docs: DataFrame, window: int = WINDOW, batches: int = 2, name: str = "substring") -> DataFrame:
     """removed() over docs, which enter a new index in batches (by a hash of doc_id) one after the other.
 
@@ -279,3 +261,14 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, batches: int = 2, name:
     for s in suspects[1:]:
         every = every.unionByName(s)
     return removed(docs, every, window, name)
+
+
+#: The same rows in DuckDB, from the windows' own words.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS t FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, i + k AS p FROM (SELECT r, i FROM h WHERE t IN (SELECT t FROM h GROUP BY t HAVING count(*) > 1)), range(35) q(k)),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone ON words.r = gone.r AND words.p = gone.p GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r
+"""

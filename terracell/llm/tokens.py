@@ -12,6 +12,8 @@ import json
 import re
 import struct
 import uuid
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import dropped, running_total, shared_dir, written
+from terracell.llm.common import dropped, released, running_total, shared_dir, written
 
 #: Distinct pieces that an encoder remembers; then it starts anew. Only speed depends on it.
 MEMO = 1_000_000
 TOKENS_PER_FILE = 4_000_000
 MAGIC = b"RVBYTE01"
-HEADER = struct.Struct("<8sqqqqqq")
-ORDER = 1 << 20
+HEADER = struct.Struct("<8sqqqqq")
+#: Rows are numbered by partition and place in it; a partition has at most so many.
+PLACES = 1 << 33
 
 
 class Encoder:
@@ -46,50 +49,70 @@ class Encoder:
         self.plain_only = spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("truncation") is not None or spec["model"].get("unk_token") is not None
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
         self.odd = re.compile("|".join([r"\s | \s|\A\s|\s\Z", *map(re.escape, self.added)]))
-        vocab = self.tokenizer.get_vocab()
-        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.n_bytes[i] = len(token)  # byte-level: one character stands for one byte
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        self.marked = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
+        self.model = self.tokenizer.model
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves; the others follow from 256 on
+        self.byte_letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.memo: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
-        self.size = len(self.n_bytes)
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def start(self, piece: str) -> bytes:
-        """Ids of a text's first piece, which has no space before it."""
-        if piece not in self.first:
-            if len(self.first) >= self.most // 4:
-                self.first.clear()
-            self.first[piece] = self.plain(piece)
-        return self.first[piece]
+    def word(self, letters: str, spaced: bool) -> bytes:
+        """Ids of letters, which are one pre-token, with a space before them or without: straight from the model."""
+        into = self.memo if spaced else self.first
+        if letters not in into:
+            text = " " + letters if spaced else letters
+            text = text.replace(" ", self.byte_letters[32]) if letters.isascii() else text.encode().decode("latin-1").translate(self.byte_letters)
+            into[letters] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return into[letters]
+
+    def alone(self, marks: str) -> bytes:
+        """Ids of a text that stands for itself, remembered."""
+        if marks not in self.first:
+            self.first[marks] = self.plain(marks)
+        return self.first[marks]
+
+    def piece(self, text: str, spaced: bool) -> bytes:
+        """Ids of what stands between two single spaces.
+
+        Letters are a pre-token, and so are ASCII marks (no apostrophe) behind letters, and a line break between
+        two non-blanks; pieces made of these are put together, others are encoded whole.
+        """
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            m = self.marked.match(line)
+            if not m or not m[1].isalpha() or max(m[1]) >= "\u0590":
+                return self.plain(" " + text if spaced else text)
+            out.append(self.word(m[1], spaced and not k) + (self.alone(m[2]) if m[2] else b""))
+        return self.alone("\n").join(out)
 
     def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of ' ' + piece for each piece, encoded as one text and cut by the tokens' bytes."""
+        """Remembers the ids of pieces with a space before them."""
         if len(self.memo) + len(pieces) > self.most:
             self.memo.clear()
-        raw = self.plain(" " + " ".join(pieces))
-        ends = np.cumsum(self.n_bytes[np.frombuffer(raw, "<u4")])
-        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in pieces])) + 1
-        start = 0
-        for piece, end in zip(pieces, cuts.tolist()):
-            self.memo[piece] = raw[4 * start : 4 * end]
-            start = end
+        if len(self.first) > self.most // 4:
+            self.first.clear()
+        for p in pieces:
+            self.memo[p] = self.piece(p, True)
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self.plain_only or self.odd.search(text):
+        if not text or self.plain_only or self.odd.search(text):
             return self.plain(text)
-        first, *rest = text.split(" ")
-        memo = self.memo
+        head, *rest = text.split(" ")
+        if head not in self.first:
+            self.first[head] = self.piece(head, False)
+        begin = self.first[head]
         try:
-            return self.start(first) + b"".join(map(memo.__getitem__, rest))
+            return begin + b"".join(map(self.memo.__getitem__, rest))
         except KeyError:
-            self.learn(list(set(rest).difference(memo)))
-            if len(self.memo) < len(set(rest)):
+            self.learn([p for p in set(rest) if p not in self.memo])
+            if any(p not in self.memo for p in rest):  # the memo was cleared
                 self.learn(list(set(rest)))
-            return self.start(first) + b"".join(map(self.memo.__getitem__, rest))
+            return begin + b"".join(map(self.memo.__getitem__, rest))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -106,13 +129,19 @@ def end_id_bytes(end_id: int) -> bytes:
     return struct.pack("<I", end_id)
 
 
-def token_ids(text: Column, path: str, end_id: int) -> Column:
-    """Binary column: ids of each text and the end id, little-endian, 32 bits each; a null text has the end id only."""
+def narrow(size: int) -> str:
+    """The narrowest little-endian type of ids below size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def token_ids(text: Column, path: str, end_id: int, dtype: str = "<u4") -> Column:
+    """Binary column: ids of each text and the end id, of the given type; a null text has the end id only."""
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
         own, end = encoder(path), end_id_bytes(end_id)
-        return pa.array([own.ids(x or "") + end for x in texts.to_pylist()], pa.binary())
+        rows = (own.ids(x or "") + end for x in texts.to_pylist())
+        return pa.array([x if dtype == "<u4" else np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in rows], pa.binary())
 
     return encode(text)
 
@@ -144,27 +173,27 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def to_file(part: int, seq: int, doc_ids: list, counts: list[int], ids: np.ndarray, rank_of: np.ndarray, id_of: np.ndarray) -> bytes:
-    """A file's bytes. Null doc_ids are marked by a bit map behind the ids."""
+def to_file(first: int, doc_ids: list, counts: list[int], ids: np.ndarray, rank_of: np.ndarray, id_of: np.ndarray) -> bytes:
+    """A file's bytes. first: the number of its first document, by which files are ordered. Null doc_ids are marked by a bit map behind the ids."""
     ranks = rank_of[ids]
     control, data = pack_ranks(ranks)
     used = id_of[: int(ranks.max()) + 1 if len(ranks) else 0].astype("<u4")
     known = np.array([d is not None for d in doc_ids], bool)
     return b"".join([
-        HEADER.pack(MAGIC, part, seq, len(doc_ids), len(ids), len(used), len(data)),
+        HEADER.pack(MAGIC, first, len(doc_ids), len(ids), len(used), len(data)),
         np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(counts, "<u4").tobytes(), used.tobytes(), control, data,
     ])
 
 
-def totals(raw: bytes) -> tuple[int, int, int]:
-    """part, sequence in it and number of tokens, from a file's header."""
-    _, part, seq, _, tokens, _, _ = HEADER.unpack_from(raw)
-    return part, seq, tokens
+def totals(raw: bytes) -> tuple[int, int]:
+    """Number of the first document and number of tokens, from a file's header."""
+    _, first, _, tokens, _, _ = HEADER.unpack_from(raw)
+    return first, tokens
 
 
-def from_file(raw: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
-    """part, sequence in it, doc_ids, token counts and ids of a file's bytes."""
-    magic, part, seq, n, tokens, n_used, n_data = HEADER.unpack_from(raw)
+def from_file(raw: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
+    """Number of the first document, doc_ids, token counts and ids of a file's bytes."""
+    magic, first, n, tokens, n_used, n_data = HEADER.unpack_from(raw)
     if magic != MAGIC:
         raise ValueError("not a token file")
     at = HEADER.size
@@ -178,16 +207,16 @@ def from_file(raw: bytes) -> tuple[int, int, list, np.ndarray, np.ndarray]:
     doc_ids, known, counts, used = take("<i8", n), take("u1", -(-n // 8)), take("<u4", n), take("<u4", n_used)
     control, data = take("u1", -(-tokens // 4)).tobytes(), take("u1", n_data).tobytes()
     ids = used[unpack_ranks(control, data, tokens)] if tokens else np.zeros(0, "<u4")
-    return part, seq, [d if k else None for d, k in zip(doc_ids.tolist(), np.unpackbits(known, count=n).astype(bool).tolist())], counts, ids
+    return first, [d if k else None for d, k in zip(doc_ids.tolist(), np.unpackbits(known, count=n).astype(bool).tolist())], counts, ids
 
 
-def frequency_order(encoded: DataFrame, size: int) -> np.ndarray:
+def frequency_order(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
     """Token ids by falling frequency over all rows of encoded (ids), then by id. The driver gets a row for a token id at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype), minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
@@ -201,91 +230,90 @@ def frequency_order(encoded: DataFrame, size: int) -> np.ndarray:
 def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: int = 2, tokens_per_file: int = TOKENS_PER_FILE) -> None:
     """Writes docs (doc_id, text) as token files below directory, in ascending order of doc_id (null first).
 
-    Texts are encoded once, into a table below spark.checkpoint.dir; then token frequencies are counted over
-    all of it, rows are range-sorted by doc_id, and each task writes files of about tokens_per_file tokens,
-    named by partition and sequence. A file is written under another name and then moved, so a task that runs
-    twice leaves one whole file. An empty table gives no file; documents with one id keep the order of their ids' bytes.
+    Texts are range-sorted by doc_id, encoded once, and kept as a table of ids below spark.checkpoint.dir,
+    whose rows are numbered by partition and place. Token frequencies are counted over all of it; then each
+    task codes its rows into files of about tokens_per_file tokens, without another shuffle. A file is named
+    by its first row's number, and written under another name before it is moved, so a task that runs twice
+    leaves one whole file. An empty table gives no file; rows of one doc_id are ordered by a hash of their text.
     """
-    spark, size = docs.sparkSession, encoder(tokenizer).size
-    size = max(size, end_id + 1)
-    raw = shared_dir(spark, "ids")
-    docs.select(F.col("doc_id"), token_ids(F.col("text"), tokenizer, end_id).alias("ids")).write.option("compression", "zstd").parquet(raw)
+    spark, size = docs.sparkSession, max(encoder(tokenizer).size, end_id + 1)
+    dtype, raw = narrow(size), shared_dir(spark, "ids")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    ordered.select("doc_id", F.monotonically_increasing_id().alias("row"), token_ids(F.col("text"), tokenizer, end_id, dtype).alias("ids")).write.option("compression", "zstd").parquet(raw)
+    released(spark)
     encoded = spark.read.parquet(raw)
-    id_of = frequency_order(encoded, size)
+    id_of = frequency_order(encoded, size, dtype)
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
     table = spark.sparkContext.broadcast((rank_of, id_of.astype(np.uint32)))  # one entry for a token id of the vocabulary
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
-        from pyspark import TaskContext
 
-        ctx = TaskContext.get()
-        part, seq = ctx.partitionId(), 0
         rank_of, id_of = table.value
         system, root = fs.FileSystem.from_uri(directory)
-        doc_ids, blobs, held = [], [], 0
+        system.create_dir(root, recursive=True)
+        doc_ids, blobs, held, first, next_row = [], [], 0, -1, -1
 
         def close() -> pa.RecordBatch:
-            nonlocal doc_ids, blobs, held, seq
-            content = to_file(part, seq, doc_ids, [len(b) // 4 for b in blobs], np.frombuffer(b"".join(blobs), "<u4"), rank_of, id_of)
-            temporary, final = f"{root}/_{uuid.uuid4().hex}", f"{root}/part-{part:08d}-{seq:06d}.tok"
-            system.create_dir(root, recursive=True)
+            content = to_file(first, doc_ids, [len(b) // np.dtype(dtype).itemsize for b in blobs], np.frombuffer(b"".join(blobs), dtype), rank_of, id_of)
+            temporary, final = f"{root}/_{uuid.uuid4().hex}", f"{root}/{first:020d}.tok"
             with system.open_output_stream(temporary) as f:
                 f.write(content)
             system.move(temporary, final)
-            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([len(doc_ids)]), pa.array([held])], ["part", "seq", "docs", "tokens"])
-            doc_ids, blobs, held, seq = [], [], 0, seq + 1
-            return row
+            return pa.RecordBatch.from_arrays([pa.array([first]), pa.array([len(doc_ids)]), pa.array([held])], ["first", "docs", "tokens"])
 
         for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, row, x in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if doc_ids and (row != next_row or held >= tokens_per_file):
+                    yield close()
+                    doc_ids, blobs, held = [], [], 0
+                first = first if doc_ids else row
+                next_row = row + 1
                 doc_ids.append(d)
                 blobs.append(x)
-                held += len(x) // 4
-                if held >= tokens_per_file:
-                    yield close()
+                held += len(x) // np.dtype(dtype).itemsize
         if doc_ids:
             yield close()
 
-    ordered = encoded.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-    written(ordered.mapInArrow(write, "part long, seq long, docs long, tokens long"), "manifest")
+    written(encoded.mapInArrow(write, "first long, docs long, tokens long"), "manifest")
     dropped(spark, raw)
 
 
-def read_token_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): documents of the files below directory, ids as little-endian 32-bit binary.
+def read_token_files(spark: SparkSession, directory: str, keep_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]): documents of the files below directory, ids as little-endian 32-bit binary.
 
-    start: ids of all documents before it. Needs one running total over the files, from their headers.
+    start: ids of all documents before it, from one running total over the files' headers. ids_crc32: unsigned
+    crc32 of the ids, taken where they are decoded.
     """
+    schema = "file long, doc_id long, own long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                part, seq, doc_ids, counts, ids = from_file(content.as_py())
+                first, doc_ids, counts, ids = from_file(content.as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 raw, bounds = ids.astype("<u4").tobytes(), [0, *ends.tolist()]
                 n = len(doc_ids)
                 for k in range(0, n, 1000):
                     j = min(n, k + 1000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part * ORDER + seq] * (j - k)), pa.array(doc_ids[k:j], pa.int64()), pa.array(bounds[k:j]), pa.array(counts[k:j].astype(np.int64)), pa.array([raw[4 * x : 4 * y] for x, y in zip(bounds[k:j], bounds[k + 1 : j + 1])], pa.binary())],
-                        ["file", "doc_id", "own", "n_tokens", "ids"],
-                    )
+                    own = [raw[4 * x : 4 * y] for x, y in zip(bounds[k:j], bounds[k + 1 : j + 1])]
+                    columns = [pa.array([first] * (j - k)), pa.array(doc_ids[k:j], pa.int64()), pa.array(bounds[k:j]), pa.array(counts[k:j].astype(np.int64)), pa.array([zlib.crc32(x) for x in own]), *[pa.array(own, pa.binary())] * keep_ids]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                part, seq, tokens = totals(content.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([part * ORDER + seq]), pa.array([tokens])], ["file", "tokens"])
+                first, tokens = totals(content.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([tokens])], ["file", "tokens"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(directory).select("content")
-    starts = running_total(files.mapInArrow(head, "file long, tokens long"), "file", "tokens", "base", block=64 * ORDER).select("file", "base")
-    return files.mapInArrow(read, "file long, doc_id long, own long, n_tokens long, ids binary").join(starts, "file").select("doc_id", (F.col("own") + F.col("base")).alias("start"), "n_tokens", "ids")
+    starts = running_total(files.mapInArrow(head, "file long, tokens long"), "file", "tokens", "base", block=64 * PLACES).select("file", "base")
+    return files.mapInArrow(read, schema).join(starts, "file").select("doc_id", (F.col("own") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * keep_ids)
 
 
 def token_digest(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """docs written as token files and read back, as (doc_id, start, n_tokens, ids_crc32)."""
     directory = shared_dir(spark, "tokens")
     write_token_files(docs, directory, tokenizer, end_id)
-    return read_token_files(spark, directory).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_files(spark, directory, keep_ids=False)
