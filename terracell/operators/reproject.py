@@ -2,7 +2,8 @@
 
 Source cells are scattered to the target cells that they contribute to: the range of targets and the weight
 follow from grid arithmetic on each axis, so a resampling is a projection and one grouped aggregate, without
-a join. Between grids of different CRSs, target centres are mapped into the source and joined on cell indices.
+a join. Between grids of different CRSs, target centres are mapped into the source and joined on cell indices;
+area methods map pieces of source cells into the target instead.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from terracell.grid import GridSpec
 KERNELS = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
 AREA = ("average", "sum", "rms", "mode", "max", "min", "med", "q1", "q3")
 METHODS = ("nearest", *KERNELS, *AREA)
+#: Between CRSs, a source cell is cut into this many pieces along each axis for the area methods.
+PARTS = 4
 
 
 def kernel(method: str, d: Column) -> Column:
@@ -63,15 +66,15 @@ def _axis(index: str, out: str, weight: str, method: str, s0: float, sd: float,
 
 
 def contributions(cube: Cube, target: GridSpec, method: str) -> DataFrame:
-    """Rows of the cube for each target cell that they contribute to, with iy, ix of the target and a weight w (not 0)."""
+    """Rows of the cube for each target cell that they contribute to, with iy, ix of the target and a weight _w (not 0)."""
     s, keep = cube.grid, [*([cube.time] if cube.time else []), *cube.variables]
     xs, wx = _axis("_sx", "ix", "_wx", method, s.x0, s.dx, target.x0, target.dx, target.width)
     ys, wy = _axis("_sy", "iy", "_wy", method, s.y0, s.dy, target.y0, target.dy, target.height)
     rows = cube.df.withColumnsRenamed({"ix": "_sx", "iy": "_sy"})
     rows = rows.withColumn("ix", F.explode(xs)).withColumn("iy", F.explode(ys))
-    rows = rows.select("iy", "ix", *keep, (wx * wy).alias("w"))
+    rows = rows.select("iy", "ix", *keep, (wx * wy).alias("_w"))
     least = 1e-9 if method in AREA else 0.0
-    return rows.where(F.abs("w") > least)
+    return rows.where(F.abs("_w") > least)
 
 
 def _reduced(method: str, v: Column, w: Column) -> Column:
@@ -93,7 +96,8 @@ def reproject(cube: Cube, target: GridSpec, methods: str | dict[str, str] = "nea
     nearest takes the source cell that holds the target's centre. Kernels widen when the target is coarser.
     NULLs are left out and the other weights made to sum to 1; average, sum and rms weigh by overlap; mode is
     the value with most overlap, the smallest on a tie; max, min, med, q1 and q3 are of all cells that
-    overlap, quartiles interpolated. dense: cells that nothing reaches are rows of NULLs (static cubes only).
+    overlap, quartiles interpolated (between CRSs med, q1 and q3 count a cell once for each of its pieces, see
+    _sampled). dense: cells that nothing reaches are rows of NULLs (static cubes only).
     """
     table = {v: methods if isinstance(methods, str) else methods.get(v, "nearest") for v in cube.variables}
     for m in table.values():
@@ -114,37 +118,63 @@ def _within(cube: Cube, target: GridSpec, method: str, keys: list[str]) -> DataF
     rows = contributions(cube, target, method)
     if method == "nearest":
         return rows.select(*keys, *cube.variables)
+    return _gathered(rows, cube.variables, method, keys)
+
+
+def _gathered(rows: DataFrame, variables: list[str], method: str, keys: list[str]) -> DataFrame:
+    """Contributions (with a weight _w) reduced to one row for a target cell."""
     if method == "mode":
         out = rows.select(*keys).distinct()
-        for v in cube.variables:
-            weighed = rows.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.round(F.sum("w"), 9).alias("_w"))
-            out = out.join(weighed.groupBy(*keys).agg(F.min_by(v, F.struct(-F.col("_w"), F.col(v))).alias(v)), keys, "left")
+        for v in variables:
+            weighed = rows.where(F.col(v).isNotNull()).groupBy(*keys, v).agg(F.round(F.sum("_w"), 9).alias("_total"))
+            out = out.join(weighed.groupBy(*keys).agg(F.min_by(v, F.struct(-F.col("_total"), F.col(v))).alias(v)), keys, "left")
         return out
-    return rows.groupBy(*keys).agg(*[_reduced(method, F.col(v), F.col("w")).alias(v) for v in cube.variables])
+    return rows.groupBy(*keys).agg(*[_reduced(method, F.col(v), F.col("_w")).alias(v) for v in variables])
+
+
+def _sampled(cube: Cube, target: GridSpec, parts: int = PARTS) -> DataFrame:
+    """Source cells as parts * parts equal pieces, each in the target cell (of another CRS) that holds its centre.
+
+    A piece has the weight of its share of the source cell, so overlaps are exact up to pieces that an edge
+    cuts. No join and no lattice: a projection of the source's rows and an explode. A target cell that no
+    piece's centre falls into has no row, so targets much finer than the source want nearest or a kernel.
+    """
+    s, back, to = cube.grid, named(cube.grid.crs), named(target.crs)
+    steps = F.array(*[F.lit((k + 0.5) / parts) for k in range(parts)])
+    rows = cube.df.withColumnsRenamed({"ix": "_sx", "iy": "_sy"}).withColumn("_u", F.explode(steps)).withColumn("_v", F.explode(steps))
+    lon, lat = back.inverse_columns(F.lit(s.x0) + F.lit(s.dx) * (F.col("_sx") + F.col("_u")), F.lit(s.y0) + F.lit(s.dy) * (F.col("_sy") + F.col("_v")))
+    rows = rows.withColumns({"_lon": lon, "_lat": lat})
+    x, y = to.columns(F.col("_lon"), F.col("_lat"))
+    rows = rows.withColumns({"ix": F.floor((x - target.x0) / target.dx), "iy": F.floor((y - target.y0) / target.dy), "_w": F.lit(1 / parts**2)})
+    inside = F.col("ix").between(0, target.width - 1) & F.col("iy").between(0, target.height - 1)
+    return rows.where(inside).select(*cube.keys, *cube.variables, "_w")
 
 
 def mapped(target: GridSpec, source: GridSpec, lattice: DataFrame) -> DataFrame:
-    """lattice (iy, ix of the target) with u, v: the centre's position in the source, in cells."""
+    """lattice (iy, ix of the target) with _u, _v: the centre's position in the source, in cells."""
     to, back = named(source.crs), named(target.crs)
     lon, lat = back.inverse_columns(target.x(F.col("ix")), target.y(F.col("iy")))
     x, y = to.columns(lon, lat)
-    return lattice.select("iy", "ix", ((x - source.x0) / source.dx).alias("u"), ((y - source.y0) / source.dy).alias("v"))
+    return lattice.select("iy", "ix", ((x - source.x0) / source.dx).alias("_u"), ((y - source.y0) / source.dy).alias("_v"))
 
 
 def _across(cube: Cube, target: GridSpec, method: str) -> DataFrame:
-    """Between CRSs, by target centres: the source cell that holds each (nearest), or the cells around it (kernels)."""
+    """Between CRSs, by target centres: the source cell that holds each (nearest), or the cells around it (kernels).
+
+    Area methods go the other way, from parts of source cells to the target cells that hold them.
+    """
     if method in AREA:
-        raise ValueError(f"{method} needs source and target in one CRS; reproject with nearest or a kernel, or coarsen first")
+        return _gathered(_sampled(cube, target), cube.variables, method, cube.keys)
     spread = mapped(target, cube.grid, target.lattice(cube.df.sparkSession))
     if method == "nearest":
-        at = spread.select("iy", "ix", F.floor("v").alias("_sy"), F.floor("u").alias("_sx"))
+        at = spread.select("iy", "ix", F.floor("_v").alias("_sy"), F.floor("_u").alias("_sx"))
         return at.join(cube.df.withColumnsRenamed({"iy": "_sy", "ix": "_sx"}), ["_sy", "_sx"]).drop("_sy", "_sx")
     reach = KERNELS[method]
-    at = spread.withColumn("_sx", F.explode(F.sequence(F.floor(F.col("u") - reach - 0.5) + 1, F.ceil(F.col("u") + reach - 0.5) - 1)))
-    at = at.withColumn("_sy", F.explode(F.sequence(F.floor(F.col("v") - reach - 0.5) + 1, F.ceil(F.col("v") + reach - 0.5) - 1)))
-    at = at.withColumn("w", kernel(method, F.col("u") - F.col("_sx") - 0.5) * kernel(method, F.col("v") - F.col("_sy") - 0.5)).where("w != 0")
+    at = spread.withColumn("_sx", F.explode(F.sequence(F.floor(F.col("_u") - reach - 0.5) + 1, F.ceil(F.col("_u") + reach - 0.5) - 1)))
+    at = at.withColumn("_sy", F.explode(F.sequence(F.floor(F.col("_v") - reach - 0.5) + 1, F.ceil(F.col("_v") + reach - 0.5) - 1)))
+    at = at.withColumn("_w", kernel(method, F.col("_u") - F.col("_sx") - 0.5) * kernel(method, F.col("_v") - F.col("_sy") - 0.5)).where("_w != 0")
     rows = at.join(cube.df.withColumnsRenamed({"iy": "_sy", "ix": "_sx"}), ["_sy", "_sx"])
-    return rows.groupBy(*cube.keys).agg(*[_reduced(method, F.col(v), F.col("w")).alias(v) for v in cube.variables])
+    return rows.groupBy(*cube.keys).agg(*[_reduced(method, F.col(v), F.col("_w")).alias(v) for v in cube.variables])
 
 
 def projected(cells: DataFrame, transform: Transform, lon: str = "lon", lat: str = "lat") -> DataFrame:

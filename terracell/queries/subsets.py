@@ -20,7 +20,7 @@ def subset_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subset.bbox(observations(spark, sf_dir), 3.5, 7.5, 20.4, 15.5).df
 
 
-@query(f"WITH {STATIC} SELECT iy, ix, v, ix + 0.5 AS longitude, 32 - (iy + 0.5) AS latitude FROM static WHERE ix + 0.5 BETWEEN 3 AND 9 AND 32 - (iy + 0.5) BETWEEN 20.5 AND 24")
+@query(f"WITH {STATIC} SELECT iy, ix, v, CAST(ix + 0.5 AS DOUBLE) AS longitude, CAST(32 - (iy + 0.5) AS DOUBLE) AS latitude FROM static WHERE ix + 0.5 BETWEEN 3 AND 9 AND 32 - (iy + 0.5) BETWEEN 20.5 AND 24")
 def subset_bbox_north_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = static(spark, sf_dir).select("v")
     return subset.bbox(cube.having(cube.df, grid=NORTH_UP), 3, 20.5, 9, 24).located()

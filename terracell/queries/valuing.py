@@ -79,7 +79,7 @@ def legend_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.decoded(rows, "agent", {k: v for k, v in LEGENDS["agent"].items() if k != 3}).groupBy("meaning").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {STATIC} SELECT iy, ix, round(v * 0.1 + 2, 4) AS v FROM static")
+@query(f"WITH {STATIC} SELECT iy, ix, CAST(round(v * 0.1 + 2, 4) AS DOUBLE) AS v FROM static")
 def scale_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static(spark, sf_dir).df.select("iy", "ix", F.round(V.scaled(F.col("v"), 0.1, 2), 4).alias("v"))
 

@@ -47,7 +47,9 @@ def test_coarsen_by_two(spark, method, first, last):
 
 def test_coarsen_casts_integers_toward_zero_and_keeps_edges(spark):
     got = table(coarsen(square(spark, "int"), 3, "mean"))
-    assert got == {(0, 0): 5, (0, 1): 8, (1, 0): 14, (1, 1): 16}
+    assert got == {(0, 0): 6, (0, 1): 8, (1, 0): 14, (1, 1): 16}  # 48 / 8, without the NULL
+    halves = table(coarsen(square(spark, "int"), 2, "mean"))
+    assert (halves[(0, 0)], halves[(1, 1)]) == (2, 13)  # 8 / 3 and 54 / 4
     assert coarsen(square(spark), 3).grid.width == 2
 
 
@@ -111,8 +113,33 @@ def test_between_projections(spark):
     target = GridSpec("EPSG:3035", x - 500, y - 500, 1000.0, 1000.0, 1, 1)
     assert table(reproject(c, target)) == {(0, 0): 44.0}
     assert table(reproject(c, target, "bilinear"))[(0, 0)] == pytest.approx(44.0, abs=1e-3)
-    with pytest.raises(ValueError, match="one CRS"):
-        reproject(c, target, "average")
+    for name in ("u", "w"):  # names that resampling might want for itself
+        assert table(reproject(subset.renamed(c, {"v": name}), target, "bilinear"), name)[(0, 0)] == pytest.approx(44.0, abs=1e-3)
+
+
+def test_area_methods_between_projections(spark):
+    source = GridSpec("EPSG:4326", 9.0, 51.0, 0.01, 0.01, 20, 20)
+    flat = cube(spark, {(y, x): 5.0 for y in range(20) for x in range(20)}, grid=source)
+    x, y = named("EPSG:3035").point(9.1, 51.1)
+    target = GridSpec("EPSG:3035", x - 3000, y - 3000, 3000.0, 3000.0, 2, 2)
+    for method in AREA:
+        got = table(reproject(flat, target, method))
+        assert len(got) == 4, method
+        if method != "sum":
+            assert all(v == pytest.approx(5.0) for v in got.values()), method
+    lon_lat = named("EPSG:3035")
+    cells = {(y, x): float(x) for y in range(20) for x in range(20)}
+    inside = []
+    for (cy, cx), v in cells.items():
+        for a in range(4):
+            for b in range(4):
+                px, py = lon_lat.point(9 + 0.01 * (cx + (a + 0.5) / 4), 51 + 0.01 * (cy + (b + 0.5) / 4))
+                if x - 3000 <= px < x and y - 3000 <= py < y:
+                    inside.append(v)
+    ramp = cube(spark, cells, grid=source)
+    assert table(reproject(ramp, target, "average"))[(0, 0)] == pytest.approx(sum(inside) / len(inside))
+    assert table(reproject(ramp, target, "sum"))[(0, 0)] == pytest.approx(sum(inside) / 16)
+    assert table(reproject(ramp, target, "max"))[(0, 0)] == max(inside)
 
 
 def test_projections_give_published_points():
