@@ -12,7 +12,7 @@ from terracell.llm.queries import END_ID, tokenizer_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands and base rules keep."""
     tuned(spark)
-    return quality_rules.filtered(docs)
+    return quality_rules.filtered(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

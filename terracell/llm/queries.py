@@ -25,7 +25,8 @@ def op1_naive_bayes_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.judged(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), out="q")
+    docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
+    rows = quality_rules.judged(docs, quality_rules.fitted(docs, table(spark, sf_dir, "labels")), out="q")
     return rows.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words", "q.base_failed", "q.kept", "q.ratio")
 
 

@@ -106,6 +106,22 @@ def test_rules(spark):
     assert quality_rules.filtered(docs(spark, [])).count() == 0
 
 
+def test_limits_follow_labelled_texts(spark):
+    rng = np.random.default_rng(5)
+    clean = [prose(k, int(rng.integers(60, 700))) for k in range(240)]
+    fields = lambda k: " ".join(f"{w} #$%" for w in prose(1000 + k, int(rng.integers(100, 350))).split())
+    df = docs(spark, clean + [fields(k) for k in range(60)])
+    labels = spark.createDataFrame([(k, int(k < 240)) for k in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    loose = {r["doc_id"] for r in quality_rules.filtered(df).collect()}
+    bands = quality_rules.fitted(df, labels)
+    assert bands == quality_rules.fitted(df.repartition(3), labels) and [x[0] for x in bands.whole] == sorted(x[0] for x in bands.whole)
+    kept = {r["doc_id"] for r in quality_rules.filtered(df, bands).collect()}
+    unseen = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 == 0]  # never fitted on
+    assert sum(k in loose for k in range(240, 300)) == 60 and sum(k in kept for k in range(240, 300)) <= 6
+    assert sum(k in kept for k in unseen if k < 240) >= 0.9 * sum(k < 240 for k in unseen)
+    assert quality_rules.fitted(df, labels.where("doc_id < 0")).whole == quality_rules.Bands().whole
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=60))
 def test_repeats_by_brute_force(t):
