@@ -8,6 +8,9 @@ from terracell.llm import mixing, packing, pii, quality_rules, simhash
 from terracell.llm.common import table, tuned, written
 from terracell.llm.queries import END_ID, tokenizer_path
 
+#: Near-duplicates: words of a shingle, bits within which texts are compared, and the least Jaccard similarity.
+NEAR_SHINGLE, NEAR_RADIUS, SIMILAR = 5, 14, 0.8
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands and base rules keep."""
@@ -16,9 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link: the one with the smallest doc_id."""
+    """One document of each group linked by a five-word similarity of SIMILAR: the one with the smallest doc_id."""
     tuned(spark)
-    return simhash.deduplicated(docs, name="pipeline-simhash")
+    return simhash.deduplicated(docs, name="pipeline-simhash", similar=SIMILAR, shingle=NEAR_SHINGLE, radius=NEAR_RADIUS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from terracell.llm.common import carried, components, ranked, written
 
 BITS, RADIUS, SHINGLE, TILE = 64, 4, 4, 32768
+#: Beyond this radius nearly all cells of quarter counts are near each other, and tiles are compared as they are.
+CELL_RADIUS = 8
 #: Pairs whose exclusive-or is held at a time.
 BLOCK = 1 << 21
 
@@ -43,6 +45,22 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return sign(text)
 
 
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's word shingles; of a text of fewer words, that of all of it."""
+    words = text.lower().split()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))), np.uint64))
+
+
+def text_keys(text: Column) -> Column:
+    """XXH3 of each text's words: texts alike but for blanks and the case of A-Z have one key."""
+
+    @F.arrow_udf("long")
+    def key(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([xxhash.xxh3_64_intdigest(b" ".join((x or b"").lower().split())) for x in texts.cast(pa.large_binary()).to_pylist()], np.uint64).view(np.int64))
+
+    return key(text)
+
+
 def hexadecimal(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
@@ -52,8 +70,10 @@ def quarters(prints: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(prints).view("<u2").reshape(-1, 4)).astype(np.int16)
 
 
-def cells(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cells(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that groups prints by the counts of their quarters, the groups' counts, and where groups begin (and end)."""
+    if radius > CELL_RADIUS:
+        return np.arange(len(prints)), np.zeros((1, 4), np.int16), np.array([0, len(prints)])
     counts = quarters(prints)
     key = counts @ np.array([17**3, 17**2, 17, 1])
     order = np.argsort(key, kind="stable")
@@ -90,12 +110,12 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     prints = np.unique(prints)
     parent = np.arange(len(prints))
     xa, xb = np.searchsorted(prints, a), np.searchsorted(prints, a if own else b)
-    order_a, counts_a, bounds_a = cells(prints[xa])
+    order_a, counts_a, bounds_a = cells(prints[xa], radius)
     xa = xa[order_a]
     if own:
         xb, counts_b, bounds_b = xa, counts_a, bounds_a
     else:
-        order_b, counts_b, bounds_b = cells(prints[xb])
+        order_b, counts_b, bounds_b = cells(prints[xb], radius)
         xb = xb[order_b]
     for c in range(len(counts_a)):
         near = np.flatnonzero(np.abs(counts_b - counts_a[c]).sum(1) <= radius)
@@ -116,14 +136,8 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return prints[linked], prints[root[linked]]
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, name: str = "simhash") -> DataFrame:
-    """(a, b): links that connect all distinct prints (bits: long) at radius or fewer differing bits.
-
-    Prints are dealt into tiles of one population count, each of `tile` prints at most. A tile meets those
-    tiles only whose count is within the radius; the number of tiles of each of the 65 counts is all that the
-    driver sees. A pair of tiles is a task's group of two rows, and returns a spanning forest of its links,
-    never the pairs themselves.
-    """
+def tile_pairs(prints: DataFrame, radius: int, tile: int, name: str) -> DataFrame:
+    """(pair, second, prints): both tiles of each pair of tiles whose population counts are within the radius."""
     spark = prints.sparkSession
     numbered = ranked(prints.select("bits", F.bit_count("bits").alias("pop")), ["pop"], ["bits"], name)
     tiles = written(numbered.groupBy("pop", F.expr(f"int(rank div {tile})").alias("no")).agg(F.collect_list("bits").alias("prints")), f"{name}-tiles")
@@ -132,15 +146,82 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, name: str =
     partner = F.explode(F.sequence(F.col("pop") - radius, F.col("pop") + radius))
     spread = tiles.withColumn("_p", partner).withColumn("_n", table[F.col("_p")]).where("_n > 0").withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     mine, other = F.struct("pop", "no"), F.struct(F.col("_p").alias("pop"), F.col("_t").alias("no"))
-    pairs = spread.select(F.to_json(F.array(F.least(mine, other), F.greatest(mine, other))).alias("pair"), (mine > other).alias("second"), "prints")
+    return spread.select(F.to_json(F.array(F.least(mine, other), F.greatest(mine, other))).alias("pair"), (mine > other).alias("second"), "prints")
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, name: str = "simhash") -> DataFrame:
+    """(a, b): links that connect all distinct prints (bits: long) at radius or fewer differing bits.
+
+    Prints are dealt into tiles of one population count, each of `tile` prints at most. A tile meets those
+    tiles only whose count is within the radius; the number of tiles of each of the 65 counts is all that the
+    driver sees. A pair of tiles is a task's group of two rows, and returns a spanning forest of its links,
+    never the pairs themselves.
+    """
+    pairs = tile_pairs(prints, radius, tile, name)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         side = [np.array(x, np.int64).view(np.uint64) for x in group.sort_values("second")["prints"]]
         a, b = tile_links(side[0], side[1] if len(side) > 1 else None, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    many = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    return pairs.repartition(many, "pair").groupBy("pair").applyInPandas(compare, "a long, b long")
+    return _dealt(pairs).applyInPandas(compare, "a long, b long")
+
+
+def _dealt(pairs: DataFrame) -> GroupedData:
+    many = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return pairs.repartition(many, "pair").groupBy("pair")
+
+
+def similar_links(bits: np.ndarray, side: np.ndarray | None, sets: list[np.ndarray], radius: int, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): texts whose prints are within the radius and whose sets' Jaccard similarity is at least `similar`.
+
+    side: only texts of different sides are compared; None: all. Each pair is compared, unless links already
+    connect it.
+    """
+    parent, size, out = np.arange(len(bits)), np.array([len(x) for x in sets]), []
+    for i in range(len(bits) - 1):
+        near = np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= radius
+        near &= np.minimum(size[i + 1 :], size[i]) >= similar * np.maximum(size[i + 1 :], size[i])
+        if side is not None:
+            near &= side[i + 1 :] != side[i]
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if roots(parent, np.array([i]))[0] == roots(parent, np.array([j]))[0]:
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similar * (size[i] + size[j] - both):
+                unite(parent, np.array([i]), np.array([j]))
+                out.append((i, j))
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
+def verified_links(signed: DataFrame, shingle: int, radius: int, similar: float, tile: int, name: str) -> DataFrame:
+    """(a, b): keys that connect all texts of signed (key, bits, text) within the radius and at least `similar` alike.
+
+    First each pair of tiles says which prints have a partner in it; only their texts, once for each pair of
+    tiles, are then sent to where the pair is compared again, with Jaccard similarities of word shingles.
+    Distinct texts of one print are a pair of their own. Pairs never become rows.
+    """
+
+    def involved(group: pd.DataFrame) -> pd.DataFrame:
+        side = [np.array(x, np.int64).view(np.uint64) for x in group.sort_values("second")["prints"]]
+        a, b = tile_links(side[0], side[1] if len(side) > 1 else None, radius)
+        prints = np.unique(np.concatenate([a, b]))
+        which = np.isin(prints, side[1]).astype(np.int8) if len(side) > 1 else np.full(len(prints), -1, np.int8)
+        return pd.DataFrame({"pair": group["pair"].iloc[0], "bits": prints.view(np.int64), "side": which})
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("key")
+        key, side = group["key"].to_numpy(np.int64), group["side"].to_numpy()
+        i, j = similar_links(group["bits"].to_numpy(np.int64).view(np.uint64), None if side[0] < 0 else side, [shingles(x.encode(), shingle) for x in group["text"]], radius, similar)
+        return pd.DataFrame({"a": key[i], "b": key[j]})
+
+    nodes = written(signed.groupBy("bits", "key").count(), f"{name}-nodes")
+    near = _dealt(tile_pairs(nodes.select("bits").distinct(), radius, tile, name)).applyInPandas(involved, "pair string, bits long, side int")
+    same = nodes.groupBy("bits").count().where("count > 1").select(F.concat(F.lit("="), F.col("bits").cast("string")).alias("pair"), "bits", F.lit(-1).alias("side"))
+    asked = written(near.unionByName(same), f"{name}-asked")
+    texts = signed.join(asked.select("bits").distinct(), "bits").select("bits", "key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["bits", "key"])
+    return _dealt(asked.join(texts, "bits")).applyInPandas(verify, "a long, b long")
 
 
 def clustered(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, name: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -159,14 +240,28 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, til
     return signed.join(classes, "bits").select("doc_id", *keep, "bits", "component_id")
 
 
-def deduplicated(docs: DataFrame, name: str = "simhash", **options) -> DataFrame:
+def clustered_similar(docs: DataFrame, similar: float, shingle: int, radius: int, tile: int = TILE, name: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, root) and columns named in keep, one row for a document of docs (doc_id, text).
+
+    Documents have one root if links between texts lead from one to the other: prints within the radius and
+    Jaccard similarity of the word shingles of at least `similar`. Documents of the same words are one node.
+    """
+    signed = written(docs.select("doc_id", *keep, "text", fingerprints(F.col("text"), shingle).alias("bits"), text_keys(F.col("text")).alias("key")), f"{name}-bits")
+    stars = components(verified_links(signed, shingle, radius, similar, tile, name), name)
+    rows = signed.select("doc_id", *keep, "key").join(stars, F.col("key") == F.col("node"), "left")
+    return rows.select("doc_id", *keep, F.coalesce("root", "key").alias("root"))
+
+
+def deduplicated(docs: DataFrame, name: str = "simhash", similar: float | None = None, **options) -> DataFrame:
     """One document of each component, with its own columns: the one with the smallest doc_id.
 
+    similar: components of clustered_similar(), whose links are verified; None: those of clustered().
     Of rows with that doc_id (or all null ids), the one with the least hash of its text stays, once.
     """
     keyed = carried(docs, "doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_hash"))
-    found = clustered(keyed.select("doc_id", "text", "_hash"), name=name, keep=("_hash",), **options)
-    group = F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("bits").alias("v")))
+    slim = keyed.select("doc_id", "text", "_hash")
+    found = clustered(slim, name=name, keep=("_hash",), **options) if similar is None else clustered_similar(slim, similar, name=name, keep=("_hash",), **options)
+    group = F.col("root") if similar is not None else F.when(F.col("component_id").isNotNull(), F.struct(F.lit(0).alias("k"), F.col("component_id").alias("v"))).otherwise(F.struct(F.lit(1).alias("k"), F.col("bits").alias("v")))
     best = found.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_hash").alias("h"))).alias("best"))
     best = best.select(F.col("best.n").alias("_n"), F.coalesce("best.d", F.lit(0)).alias("_d"), F.col("best.h").alias("_h")).distinct()
     rows = keyed.select("_row", F.col("doc_id").isNull().alias("_n"), F.coalesce("doc_id", F.lit(0)).alias("_d"), F.col("_hash").alias("_h"))

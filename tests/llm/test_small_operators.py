@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from terracell.llm import chat, embedding_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, tokens
 from terracell.llm.common import components, ranked, running_total
 from terracell.llm.queries import tokenizer_path
@@ -255,6 +256,31 @@ def test_simhash(spark):
     assert simhash.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_are_verified(spark):
+    rng = np.random.default_rng(11)
+    texts = [None, "", " ", "One  two", "one two"]
+    for k in range(40):
+        w = prose(500 + k, 150).split()
+        texts.append(" ".join(w))
+        for _ in range(2):  # a few words of each copy are others, so that similarities lie around 0.8
+            v = list(w)
+            for at in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+                v[at] = "edited"
+            texts.append(" ".join(v))
+    sets = [set(zip(*[t.lower().split()[k:] for k in range(5)])) or {tuple(t.lower().split())} for t in (x or "" for x in texts)]
+    prints = [simhash.fingerprint((t or "").encode(), 5) for t in texts]
+    alike = [[j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)] for a in sets]
+    linked = [[j for j in js if (prints[i] ^ prints[j]).bit_count() <= 14] for i, js in enumerate(alike)]
+    assert sum(map(len, linked)) >= 0.9 * sum(map(len, alike))
+    root, before = list(range(len(texts))), None
+    while root != before:  # least index that links lead to
+        root, before = [min(root[j] for j in js) for js in linked], root
+    got = simhash.deduplicated(clashing(docs(spark, texts)), similar=0.8, shingle=5, radius=14, tile=16)
+    assert got.columns == clashing(docs(spark, [])).columns and sorted(r["doc_id"] for r in got.collect()) == sorted(set(root))
+    assert simhash.deduplicated(docs(spark, []), similar=0.8, shingle=5, radius=14).count() == 0
+    assert (corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.SIMILAR) == (5, 0.8) and (simhash.SHINGLE, simhash.RADIUS) == (4, 4)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32), st.integers(0, 6))
 def test_tiles_by_brute_force(seed, radius):
