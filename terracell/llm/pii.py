@@ -164,11 +164,11 @@ def _grow(rows: list[tuple[dict[str, int], float, float]], depth: int, shrink: f
     return Tree(0.0, f, at, _grow([r for r in rows if r[0][f] <= at], depth - 1, shrink), _grow([r for r in rows if r[0][f] > at], depth - 1, shrink))
 
 
-def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int = 12, depth: int = 3, shrink: float = 0.4, precision: float = 0.9, least: int = 20) -> Model:
+def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int = 12, depth: int = 3, shrink: float = 0.4, precision: float = 0.9) -> Model:
     """Trees and thresholds from (kind, features, label, fold, count). Fold 0 calibrates, the others train.
 
-    The threshold of a kind is the lowest score from which candidates of the calibration fold are base spans
-    with the given precision, with `least` of them at least.
+    The threshold of a kind is the lowest score from which candidates of the calibration fold are positives
+    with the given precision, smoothed by one positive and one negative more.
     """
     model = Model()
     for kind in KINDS:
@@ -188,7 +188,7 @@ def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int
         for k, (score, label, n) in enumerate(scored):
             good, seen = good + label * n, seen + n
             last = k + 1 == len(scored) or scored[k + 1][0] < score
-            if last and good >= least and good >= precision * seen:
+            if last and good + 1 >= precision * (seen + 2):
                 model.thresholds[kind] = score - 1e-9
         model.trees[kind] = trees
     return model
@@ -220,15 +220,30 @@ def with_spans(docs: DataFrame, text: str = "text", candidates: bool = True) ->
     return rows.drop("_digits", "_dots")
 
 
+def labelled(c: Column) -> Column:
+    """1, 0 or null for a candidate beside _base.
+
+    Positive: it overlaps a base span of its kind (features don't show the strict form, so this is the
+    look-alike without it), or words of its kind stand before it, its check passes and no letter follows.
+    Negative: words of something else stand before it, a letter or digit follows, or a check fails that every
+    item of the kind passes (not the phone's, which is one national form). Anything else, and what overlaps a
+    base span of another kind, says nothing: loose forms without evidence are not learned as negatives.
+    """
+    touches = lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
+    own = F.exists("_base", lambda b: (b["kind"] == c["kind"]) & touches(b))
+    sure = (c["words"] == 1) & (c["check"] == 1) & (c["after"] == 0)
+    wrong = (c["words"] == 2) | (c["after"] == 1) | ((c["check"] == 0) & (c["kind"] != KINDS.index("phone")))
+    return F.when(own, 1).when(F.exists("_base", touches), None).when(wrong, 0).when(sure, 1)
+
+
 def fitted(docs: DataFrame, text: str = "text", folds: int = 4, **options) -> Model:
-    """The model of docs. A candidate that overlaps a base span of its kind counts as a base span.
+    """The model of docs, from candidates with evidence beside the strict form; see labelled().
 
     Counts cover all documents; the driver gets at most one row for a kind, combination of features, label and
     half. A document is in the calibration fold by a hash of its text.
     """
     rows = with_spans(docs.select(text), text)
-    label = lambda c: F.exists("_base", lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["stop"]) & (c["start"] < b["stop"])).cast("int")
-    flat = rows.select((F.pmod(F.xxhash64("_t"), F.lit(folds)) > 0).cast("int").alias("fold"), F.explode(F.transform("_cand", lambda c: F.struct(c["kind"].alias("kind"), *[c[f].alias(f) for f in FEATURES], label(c).alias("label")))).alias("c")).select("fold", "c.*")
+    flat = rows.select((F.pmod(F.xxhash64("_t"), F.lit(folds)) > 0).cast("int").alias("fold"), F.explode(F.transform("_cand", lambda c: F.struct(c["kind"].alias("kind"), *[c[f].alias(f) for f in FEATURES], labelled(c).alias("label")))).alias("c")).select("fold", "c.*").where("label is not null")
     counts = flat.groupBy("kind", *FEATURES, "label", "fold").count().collect()
     return boosted([(KINDS[r["kind"]], {f: r[f] for f in FEATURES}, r["label"], r["fold"], r["count"]) for r in sorted(counts)], **options)
 

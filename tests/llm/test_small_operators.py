@@ -517,3 +517,13 @@ def test_trees_add_what_looks_like_the_base(spark):
     assert [tuple(x) for x in got[0]] == [(12, 3, 26)] and not got[1] and not got[2]
     row = {"after": 0, "edge": 0, "words": 1, "size": 2, "shape": 2, "check": 1}
     assert all(np.isfinite(t.of(row)) for ts in model.trees.values() for t in ts)
+
+
+def test_loose_forms_are_added_in_the_texts_that_are_fitted(spark):
+    rng = np.random.default_rng(1)
+    number = lambda: f"({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"
+    texts = [f"please call {'+1 ' if k % 2 else ''}{number()} soon {k}" for k in range(200)] + [f"order no. 12 {rng.integers(100, 999)} 555-{rng.integers(1000, 9999)} of lot {k}" for k in range(200)]
+    got = {r["doc_id"]: [tuple(x)[1] for x in r["spans"]] for r in pii.found(docs(spark, texts)).collect()}
+    assert all(got[k] == [3] for k in range(200)) and not any(got[k] for k in range(200, 400))
+    few = [("phone", {"after": 0, "edge": 0, "words": 1, "size": 2, "shape": 2, "check": 1}, 1, k, n) for k, n in ((0, 12), (1, 40))]
+    assert "phone" in pii.boosted(few).thresholds and "phone" not in pii.boosted([(*few[0][:4], 2), few[1]]).thresholds
