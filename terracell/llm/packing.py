@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -11,35 +12,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm.common import ranked, written
-from terracell.llm.tokens import encoder, end_id_bytes
+from terracell.llm.tokens import encoder, text_groups
 
 SEQUENCE = 1024
 
 
-def cut(n: int, most: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole if it fits, else pieces of `most` tokens behind a first piece with the rest."""
-    first = n % most or min(n, most)
-    return [(0, first), *((k, most) for k in range(first, n, most))] if n else []
+def cut(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, piece, start, length) of all pieces of documents with counts tokens: whole if they fit, else pieces
+    of `most` tokens behind a first piece with the rest."""
+    many = -(-counts // most)
+    doc = np.repeat(np.arange(len(counts)), many)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    first = (counts - (many - 1) * most)[doc]
+    return doc, piece, np.where(piece > 0, first + (piece - 1) * most, 0), np.where(piece > 0, most, first)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = SEQUENCE, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of docs (doc_id, text); a null text is empty and has the end id only."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids binary" * keep_ids
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
-
-        own, end = encoder(tokenizer), end_id_bytes(end_id)
+        own = encoder(tokenizer)
         for b in batches:
-            rows = []
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = own.ids(text or "") + end
-                for k, (start, n) in enumerate(cut(len(raw) // 4, most)):
-                    part = raw[4 * start : 4 * (start + n)]
-                    rows.append((d, k, start, n, zlib.crc32(part), *[part] * keep_ids))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * keep_ids]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+            doc_ids, texts = b.column(0).cast(pa.int64()), b.column(1).to_pylist()
+            for x, y in text_groups(texts):
+                flat, counts = own.flat(texts[x:y], end_id)
+                doc, piece, start, length = cut(counts, most)
+                raw, ends = memoryview(flat.tobytes()), np.cumsum(4 * length).tolist()
+                parts = [raw[p:q] for p, q in zip([0, *ends], ends)]
+                columns = [doc_ids.slice(x, y - x).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length, pa.int32()), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(map(bytes, parts), pa.binary())] * keep_ids], names)
 
     return docs.select("doc_id", "text").mapInArrow(split, schema)
 

@@ -13,18 +13,20 @@ import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import dropped, released, running_total, shared_dir, written
+from terracell.llm.common import dropped, running_total, shared_dir, written
 
-#: Distinct pieces that an encoder remembers; then it starts anew. Only speed depends on it.
-MEMO = 1_000_000
+#: Distinct pieces that an encoder remembers in a generation, of which it keeps two. Only speed depends on it.
+MEMO = 600_000
+#: Characters of text that are encoded at a time (a longer text is taken alone).
+GROUP = 1 << 22
 TOKENS_PER_FILE = 4_000_000
 MAGIC = b"RVBYTE01"
 HEADER = struct.Struct("<8sqqqqq")
@@ -32,87 +34,133 @@ HEADER = struct.Struct("<8sqqqqq")
 PLACES = 1 << 33
 
 
+#: Blanks other than the space and the line break.
+ASCII_BLANKS = "\t\v\f\r\x1c\x1d\x1e\x1f"
+BLANKS = ASCII_BLANKS + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices flat[start : start + length], one behind the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Token ids of whole texts with a tokenizers file, added tokens not added.
 
     The pre-tokenizer of byte-level BPE never joins what stands before a single space between two
-    non-blanks with what follows, so such pieces are encoded once and remembered. Texts with other blanks
-    around a space, texts that hold an added token's string, and other kinds of tokenizers take the plain path.
+    non-blanks with what follows. So a batch of texts is cut at such spaces, its distinct pieces are looked up
+    in what the encoder remembers, the new ones are encoded together, and the texts' ids are gathered from the
+    pieces' by array steps. Texts with other blanks around a space, texts that hold an added token's string,
+    and other kinds of tokenizers take the plain path.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), memo
-        spec = json.loads(self.tokenizer.to_str())
+        spec, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab()
         pre = spec.get("pre_tokenizer") or {}
         self.plain_only = spec.get("normalizer") is not None or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or spec.get("truncation") is not None or spec["model"].get("unk_token") is not None
         self.added = [a["content"] for a in spec.get("added_tokens", [])]
-        self.odd = re.compile("|".join([r"\s | \s|\A\s|\s\Z", *map(re.escape, self.added)]))
-        self.size = max(self.tokenizer.get_vocab().values()) + 1
-        self.marked = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)\Z")
-        self.model = self.tokenizer.model
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level BPE writes as themselves; the others follow from 256 on
-        self.byte_letters = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.odd = re.compile(r"\s | \s|\A\s|\s\Z")
+        self.size = max(vocabulary.values()) + 1
+        self.begins = np.zeros(self.size, bool)  # tokens that begin with a space, which byte-level BPE writes as U+0120
+        self.begins[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
         self.memo: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def word(self, letters: str, spaced: bool) -> bytes:
-        """Ids of letters, which are one pre-token, with a space before them or without: straight from the model."""
-        into = self.memo if spaced else self.first
-        if letters not in into:
-            text = " " + letters if spaced else letters
-            text = text.replace(" ", self.byte_letters[32]) if letters.isascii() else text.encode().decode("latin-1").translate(self.byte_letters)
-            into[letters] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
-        return into[letters]
-
-    def alone(self, marks: str) -> bytes:
-        """Ids of a text that stands for itself, remembered."""
-        if marks not in self.first:
-            self.first[marks] = self.plain(marks)
-        return self.first[marks]
-
-    def piece(self, text: str, spaced: bool) -> bytes:
-        """Ids of what stands between two single spaces.
-
-        Letters are a pre-token, and so are ASCII marks (no apostrophe) behind letters, and a line break between
-        two non-blanks; pieces made of these are put together, others are encoded whole.
-        """
-        out = []
-        for k, line in enumerate(text.split("\n")):
-            m = self.marked.match(line)
-            if not m or not m[1].isalpha() or max(m[1]) >= "\u0590":
-                return self.plain(" " + text if spaced else text)
-            out.append(self.word(m[1], spaced and not k) + (self.alone(m[2]) if m[2] else b""))
-        return self.alone("\n").join(out)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces with a space before them."""
-        if len(self.memo) + len(pieces) > self.most:
-            self.memo.clear()
-        if len(self.first) > self.most // 4:
-            self.first.clear()
-        for p in pieces:
-            self.memo[p] = self.piece(p, True)
+    def whole(self, text: str) -> bool:
+        """Whether a text has to be encoded as one."""
+        if not text or self.plain_only or any(a in text for a in self.added):
+            return True
+        if any(b in text for b in (ASCII_BLANKS if text.isascii() else BLANKS)):
+            return self.odd.search(text) is not None
+        return text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text
+
+    def spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces with a space before each: encoded as one text, and cut where a token begins with a space."""
+        raw = self.plain(" " + " ".join(pieces))
+        starts = (4 * np.flatnonzero(self.begins[np.frombuffer(raw, "<u4")])).tolist()
+        if len(starts) != len(pieces):  # another vocabulary than byte-level BPE's
+            return [self.plain(" " + p) for p in pieces]
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+
+    def known(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces with a space before each."""
+        if len(self.memo) > self.most:
+            self.memo, self.older = {}, self.memo
+        found = list(map(self.memo.get, pieces))
+        asked = [k for k, x in enumerate(found) if x is None]
+        fresh = []
+        for k in asked:
+            old = self.older.get(pieces[k])
+            if old is None:
+                fresh.append(k)
+            else:
+                found[k] = self.memo[pieces[k]] = old
+        for at in range(0, len(fresh), 1 << 14):
+            some = fresh[at : at + (1 << 14)]
+            for k, x in zip(some, self.spaced([pieces[k] for k in some])):
+                found[k] = self.memo[pieces[k]] = x
+        return found
+
+    def headed(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that begin a text."""
+        if len(self.heads) > self.most:
+            self.heads = {}
+        for p in set(pieces).difference(self.heads):
+            self.heads[p] = self.plain(p)
+        return [self.heads[p] for p in pieces]
+
+    def pieced(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """flat() of texts that needn't be encoded as one; there is at least one."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        blobs = [*self.known(distinct), *self.headed([distinct[k] for k in coded.indices.to_numpy()[bounds[:-1]].tolist()]), end]
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[bounds[:-1]] = np.arange(len(texts)) + len(distinct)
+        at = np.insert(at, bounds[1:], len(blobs) - 1)
+        lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        own = lengths[at]
+        counts = np.diff(np.concatenate(([0], np.cumsum(own)))[bounds + np.arange(len(bounds))])
+        return gathered(np.frombuffer(b"".join(blobs), "<u4"), (np.cumsum(lengths) - lengths)[at], own), counts
+
+    def flat(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other (each with the end id, if given), and how many each has."""
+        end = b"" if end_id is None else end_id_bytes(end_id)
+        whole = [k for k, t in enumerate(texts) if self.whole(t or "")]
+        if not whole:
+            return self.pieced(texts, end) if texts else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for k in whole:
+            out[k] = np.frombuffer((self.plain(texts[k]) if texts[k] else b"") + end, "<u4")
+        rest = sorted(set(range(len(texts))).difference(whole))
+        if rest:
+            ids, counts = self.pieced([texts[k] for k in rest], end)
+            for k, x in zip(rest, np.split(ids, np.cumsum(counts)[:-1])):
+                out[k] = x
+        return np.concatenate(out), np.array(list(map(len, out)), np.int64)
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text or self.plain_only or self.odd.search(text):
-            return self.plain(text)
-        head, *rest = text.split(" ")
-        if head not in self.first:
-            self.first[head] = self.piece(head, False)
-        begin = self.first[head]
-        try:
-            return begin + b"".join(map(self.memo.__getitem__, rest))
-        except KeyError:
-            self.learn([p for p in set(rest) if p not in self.memo])
-            if any(p not in self.memo for p in rest):  # the memo was cleared
-                self.learn(list(set(rest)))
-            return begin + b"".join(map(self.memo.__getitem__, rest))
+        return self.flat([text])[0].tobytes()
+
+
+def text_groups(texts: list[str | None], least: int = GROUP) -> Iterator[tuple[int, int]]:
+    """(start, stop) of groups of about `least` characters."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= least or k + 1 == len(texts):
+            yield start, k + 1
+            start, size = k + 1, 0
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -134,14 +182,20 @@ def narrow(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def binary(flat: np.ndarray, counts: np.ndarray, dtype: str) -> pa.Array:
+    """A binary array with counts[k] ids in each row."""
+    data = np.ascontiguousarray(flat, dtype)
+    bounds = np.concatenate(([0], np.cumsum(counts))) * data.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def token_ids(text: Column, path: str, end_id: int, dtype: str = "<u4") -> Column:
     """Binary column: ids of each text and the end id, of the given type; a null text has the end id only."""
 
     @F.arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        own, end = encoder(path), end_id_bytes(end_id)
-        rows = (own.ids(x or "") + end for x in texts.to_pylist())
-        return pa.array([x if dtype == "<u4" else np.frombuffer(x, "<u4").astype(dtype).tobytes() for x in rows], pa.binary())
+        own, rows = encoder(path), texts.to_pylist()
+        return pa.concat_arrays([pa.array([], pa.binary()), *(binary(*own.flat(rows[a:b], end_id), dtype) for a, b in text_groups(rows))])
 
     return encode(text)
 
@@ -230,17 +284,16 @@ def frequency_order(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: int = 2, tokens_per_file: int = TOKENS_PER_FILE) -> None:
     """Writes docs (doc_id, text) as token files below directory, in ascending order of doc_id (null first).
 
-    Texts are range-sorted by doc_id, encoded once, and kept as a table of ids below spark.checkpoint.dir,
-    whose rows are numbered by partition and place. Token frequencies are counted over all of it; then each
-    task codes its rows into files of about tokens_per_file tokens, without another shuffle. A file is named
-    by its first row's number, and written under another name before it is moved, so a task that runs twice
-    leaves one whole file. An empty table gives no file; rows of one doc_id are ordered by a hash of their text.
+    Texts are encoded once, where they lie, and kept as a table of ids below spark.checkpoint.dir. Token
+    frequencies are counted over all of it. Then the ids, a fraction of the texts' bytes, are range-sorted by doc_id
+    and numbered by partition and place, and each task codes its rows into files of about tokens_per_file tokens.
+    A file is named by its first row's number, and written under another name before it is moved, so a task that
+    runs twice leaves one whole file. An empty table gives no file; rows of one doc_id are ordered by a hash of
+    their text.
     """
     spark, size = docs.sparkSession, max(encoder(tokenizer).size, end_id + 1)
     dtype, raw = narrow(size), shared_dir(spark, "ids")
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ordered.select("doc_id", F.monotonically_increasing_id().alias("row"), token_ids(F.col("text"), tokenizer, end_id, dtype).alias("ids")).write.option("compression", "zstd").parquet(raw)
-    released(spark)
+    docs.select("doc_id", F.xxhash64("text").alias("h"), token_ids(F.col("text"), tokenizer, end_id, dtype).alias("ids")).write.option("compression", "zstd").parquet(raw)
     encoded = spark.read.parquet(raw)
     id_of = frequency_order(encoded, size, dtype)
     rank_of = np.empty(size, np.uint32)
@@ -276,7 +329,8 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
         if doc_ids:
             yield close()
 
-    written(encoded.mapInArrow(write, "first long, docs long, tokens long"), "manifest")
+    ordered = encoded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", F.monotonically_increasing_id().alias("row"), "ids")
+    written(ordered.mapInArrow(write, "first long, docs long, tokens long"), "manifest")
     dropped(spark, raw)
 
 

@@ -382,6 +382,8 @@ def test_encoder(plain_ids):
     own = tokens.Encoder(tokenizer_path(), memo=20)
     for t in [*TEXTS, *TEXTS]:
         assert own.ids(t or "") == plain_ids(t).tobytes()
+    flat, counts = own.flat(TEXTS, 2)
+    assert [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] == [[*plain_ids(t).tolist(), 2] for t in TEXTS] and own.flat([], 2)[0].size == 0
 
 
 @settings(max_examples=300, deadline=None)
@@ -413,8 +415,9 @@ def test_token_files(spark, plain_ids, tmp_path):
 
 
 def test_cutting():
-    assert packing.cut(1024, 1024) == [(0, 1024)] and packing.cut(1, 1024) == [(0, 1)] and packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]
-    assert packing.cut(2048, 1024) == [(0, 1024), (1024, 1024)]
+    got = [x.tolist() for x in packing.cut(np.array([1024, 1, 2500, 2048]), 1024)]
+    assert list(zip(*got)) == [(0, 0, 0, 1024), (1, 0, 0, 1), (2, 0, 0, 452), (2, 1, 452, 1024), (2, 2, 1476, 1024), (3, 0, 0, 1024), (3, 1, 1024, 1024)]
+    assert all(len(x) == 0 for x in packing.cut(np.zeros(0, np.int64), 1024))
 
 
 def unfolded(counts, places):
