@@ -4,7 +4,8 @@ A window is WINDOW consecutive words. Its fingerprint is the least hash of the G
 equal windows have equal fingerprints and neighbouring windows mostly share one: about one word in fifteen
 starts a fingerprint. The index keeps these in sorted immutable runs. A new batch's fingerprints are
 merge-joined with the runs; those met before, or twice in the batch, are suspects. Windows with a suspect
-fingerprint are then verified by 96 bits over all their words, counted over all documents, and words that
+fingerprint are then verified by 128 bits over all their words (words and pairs of halves are mixed without
+any algebraic structure, so no pattern of words collides by rule), counted over all documents, and words that
 a repeated window covers go. Runs are compacted once there are too many.
 """
 
@@ -14,38 +15,60 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import released, written
+from terracell.llm.common import written
 
 WINDOW, GRAM = 35, 8
-#: Bits of the filters that spare rows; those that pass are joined, so a full filter costs time, not results.
-FILTER_BITS = 27
+#: Batches in which a table enters the index, and runs that it keeps before they are merged into one.
+BATCHES, FANOUT = 4, 2
+#: Least and most bits (as powers of two) of the filters that spare rows; those that pass are joined, so a full
+#: filter costs time, not results.
+FILTER_BITS = (20, 30)
 #: Bytes of text that are hashed at a time (a longer text is taken alone).
-PIECE = 1 << 22
-_P, _Q = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+PIECE = 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_P, _Q, _M = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-#: Random odd numbers that stand for bytes in two hashes.
-_LETTERS = np.random.default_rng(42).integers(1 << 62, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks that leave the first 0 to 8 bytes of a little-endian number.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n - 1, 0), base, np.uint64))))[:n]
+    """A bijection of 64-bit numbers that spreads every bit; works in place."""
+    x ^= x >> np.uint64(32)
+    x *= _M
+    x ^= x >> np.uint64(29)
+    x *= _P
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each word raw[start:end], eight bytes at a time; raw goes on for seven bytes behind the last word."""
+    lengths = ends - starts
+    out = mix(lengths.astype(np.uint64) * _Q ^ np.uint64(seed))
+    eights = np.ndarray((max(len(raw) - 7, 0),), "<u8", raw, strides=(1,))
+    at = np.arange(len(starts))
+    for k in range(0, LONG_WORD, 8):
+        at = at[lengths[at] > k]
+        if not len(at):
+            break
+        out[at] = mix((out[at] ^ (eights[starts[at] + k] & _MASKS[np.minimum(lengths[at] - k, 8)])) * _Q + np.uint64(k + 1))
+    for w in np.flatnonzero(lengths > LONG_WORD).tolist():
+        out[w] = xxhash.xxh3_64_intdigest(raw[starts[w] : ends[w]].tobytes(), seed)
+    return out
 
 
-def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A 64-bit hash of h[start:end] for each pair: differences of running sums of a polynomial in an odd base."""
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * _powers(base, len(h)), out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), len(h) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(_Q))
+def runs_hashed(x: np.ndarray, width: int, size: int = 1) -> np.ndarray:
+    """A hash of each `width` consecutive entries, from two halves that may overlap; x has those of `size` entries, a power of two."""
+    while size < width:
+        step = min(size, width - size)
+        x, size = mix(x[: len(x) - step] * _P + x[step:] * _Q), size + step
+    return x
 
 
 def sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
@@ -62,7 +85,8 @@ class Windows:
     def __init__(self, texts: list[bytes | None], window: int = WINDOW, gram: int = GRAM):
         self.window, self.gram = window, gram
         lengths = np.array([len(t or b"") for t in texts], np.int64)
-        self.raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
+        self.raw = np.frombuffer(b"\n".join(t or b"" for t in texts) + b"\n" * 8, np.uint8)
+        self.texts = texts
         blank = _BLANK[self.raw]
         edges = np.flatnonzero(np.diff(blank, prepend=True))
         self.word_starts, self.word_ends = edges[::2], edges[1::2]
@@ -70,31 +94,31 @@ class Windows:
         self.begin = np.searchsorted(self.word_starts, offsets)
         self.counts = np.diff(np.append(self.begin, len(self.word_starts)))
         self.doc = np.repeat(np.arange(len(texts)), self.counts)
-        self.first = span_hashes(_LETTERS[0][self.raw], self.word_starts, self.word_ends, _P)
+        self.first = word_hashes(self.raw, self.word_starts, self.word_ends, 1)
         n = len(self.first)
         self.starts = np.flatnonzero(self.doc[: n - window + 1] == self.doc[window - 1 :]) if n >= window else np.zeros(0, np.int64)
 
     def keys(self) -> np.ndarray:
-        """64 bits over each text's words."""
-        return span_hashes(self.first, self.begin, self.begin + self.counts, _Q).view(np.int64)
+        """64 bits over each text."""
+        return np.array([xxhash.xxh3_64_intdigest(t or b"") for t in self.texts], np.uint64).view(np.int64)
 
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
         """The windows' fingerprints, and a list with one entry for each place that is the least of some window."""
         if not len(self.starts):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         n, span = len(self.first), self.window - self.gram + 1
-        at = np.arange(n - self.gram + 1)
-        grams = span_hashes(self.first, at, at + self.gram, _P)
+        grams = runs_hashed(self.first, self.gram)
         least = sliding(grams, span, np.minimum)
         shown = np.zeros(len(least) + 2 * (span - 1), np.uint64)
         shown[span - 1 + self.starts] = least[self.starts]
         return least[self.starts], grams[(sliding(shown, span, np.maximum)[: len(grams)] == grams) & (grams > 0)]
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits over each window's words, as 64 and 32."""
-        second = span_hashes(_LETTERS[1][self.raw], self.word_starts, self.word_ends, _Q)
-        ends = self.starts + self.window
-        return span_hashes(self.first, self.starts, ends, _Q).view(np.int64), (span_hashes(second, self.starts, ends, _P) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        """128 bits over each window's words, as two 64-bit numbers."""
+        if not len(self.starts):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        second = word_hashes(self.raw, self.word_starts, self.word_ends, 2)
+        return tuple(runs_hashed(h, self.window)[self.starts].view(np.int64) for h in (self.first, second))
 
 
 def groups(column: pa.Array, least: int = PIECE) -> Iterator[tuple[int, int, list]]:
@@ -108,10 +132,6 @@ def groups(column: pa.Array, least: int = PIECE) -> Iterator[tuple[int, int, lis
             start, size = k + 1, 0
 
 
-def _bits(x: np.ndarray, bits: int) -> np.ndarray:
-    return (x & np.uint64((1 << bits) - 1)).astype(np.int64)
-
-
 def _tally(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows of the columns and how often each occurs."""
     if not len(columns[0]):
@@ -123,16 +143,20 @@ def _tally(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return [r[first] for r in rows], np.diff(np.append(first, len(order)))
 
 
-def fingerprint_counts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(print, n): how often each fingerprint starts in docs (text), summed first in each Arrow batch."""
+def fingerprint_counts(docs: DataFrame, window: int = WINDOW, part: str | None = None) -> DataFrame:
+    """([part,] print, n): how often each fingerprint starts in docs (text), summed first in each Arrow batch; part: an int column to keep apart."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, texts in groups(b.column(0)):
-                (prints,), n = _tally(Windows(texts, window).fingerprints()[1])
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], ["print", "n"])
+            parts = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            for k in np.unique(parts).tolist():
+                for _, _, texts in groups(b.column(0).filter(pa.array(parts == k))):
+                    (prints,), n = _tally(Windows(texts, window).fingerprints()[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), k)), pa.array(prints.view(np.int64)), pa.array(n)], ["part", "print", "n"])
 
-    return docs.select("text").mapInArrow(count, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    own = F.lit(0) if part is None else F.col(part)
+    counts = docs.select("text", own.alias("part")).mapInArrow(count, "part long, print long, n long").groupBy("part", "print").agg(F.sum("n").alias("n"))
+    return counts.drop("part") if part is None else counts
 
 
 class FingerprintIndex:
@@ -141,12 +165,16 @@ class FingerprintIndex:
     runs: earlier runs' tables, to go on from. Beyond fanout runs, all are merged into one.
     """
 
-    def __init__(self, spark: SparkSession, runs: tuple[DataFrame, ...] = (), fanout: int = 4, window: int = WINDOW):
+    def __init__(self, spark: SparkSession, runs: tuple[DataFrame, ...] = (), fanout: int = FANOUT, window: int = WINDOW):
         self.spark, self.runs, self.fanout, self.window = spark, list(runs), fanout, window
 
     def add(self, batch: DataFrame, name: str = "run") -> DataFrame:
         """Indexes a batch (text); returns (print): its fingerprints that occur twice in it or in an earlier run."""
-        run = written(fingerprint_counts(batch, self.window).sortWithinPartitions("print"), name)
+        return self.add_counts(fingerprint_counts(batch, self.window), name)
+
+    def add_counts(self, counts: DataFrame, name: str = "run") -> DataFrame:
+        """add() of a batch whose fingerprint counts (print, n) are known."""
+        run = written(counts.sortWithinPartitions("print"), name)
         suspects = run.where("n > 1").select("print")
         for old in self.runs:
             suspects = suspects.unionByName(run.hint("merge").join(old.select("print"), "print", "left_semi").select("print"))
@@ -162,63 +190,67 @@ class FingerprintIndex:
         self.runs = [written(merged.groupBy("print").agg(F.sum("n").alias("n")).sortWithinPartitions("print"), f"{name}-compacted")]
 
 
-def bit_filter(df: DataFrame, column: str, bits: int = FILTER_BITS) -> np.ndarray:
-    """A map of the low bits that occur in a column: 2 ** bits bits at most on the driver and in each worker."""
+def bit_filter(df: DataFrame, column: str, n: int) -> tuple[np.ndarray, int]:
+    """A map of the low bits that occur in a column of n rows, about 16 bits a row within FILTER_BITS, and its width.
+
+    The most is 128 MB on the driver and in each worker; beyond some 1e8 rows more windows pass and are joined.
+    """
+    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     low = F.col(column).bitwiseAND((1 << bits) - 1)
     block = 1 << 15
     rows = df.groupBy((low / block).cast("long").alias("block")).agg(F.bitmap_construct_agg((low % block).cast("long")).alias("map")).toLocalIterator()
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in rows:
         out[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(bytes(r["map"]), np.uint8)[: block // 8]
-    return out
+    return out, bits
 
 
-def _among(table: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
-    at = _bits(x, bits)
+def _among(filter_: tuple[np.ndarray, int], x: np.ndarray) -> np.ndarray:
+    table, bits = filter_
+    at = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
     return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: str = "substring") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for docs (doc_id, text): kept has the words that stay, joined by a space, as binary.
 
-    suspects: (print), as the index gives them. A window that starts twice or more in docs goes, with every
+    suspects: (print), as the index gives them; written once here. A window that starts twice or more in docs goes, with every
     word that it covers, all occurrences included; windows are those of the input. Null texts have no words;
     texts shorter than a window lose nothing. A document is found again by its doc_id and 64 bits over its
-    words, so rows alike in both share a result, and repeated rows stay repeated.
+    text, so rows alike in both share a result, and repeated rows stay repeated.
     """
-    spark, bits = docs.sparkSession, FILTER_BITS
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    near = spark.sparkContext.broadcast(bit_filter(suspects, "print", bits))
+    suspects = written(suspects.distinct(), f"{name}-suspects")
+    near = spark.sparkContext.broadcast(bit_filter(suspects, "print", suspects.count()))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, texts in groups(b.column(1)):
                 w = Windows(texts, window)
-                some = _among(near.value, w.fingerprints()[0], bits)
-                x, y = w.digests() if some.any() else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+                some = _among(near.value, w.fingerprints()[0])
+                x, y = w.digests() if some.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 (x, y), n = _tally(x[some[: len(x)]], y[some[: len(y)]])
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], ["x", "y", "n"])
 
-    repeated = written(rows.mapInArrow(verify, "x long, y int, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), f"{name}-repeated")
-    released(spark)
-    twice = spark.sparkContext.broadcast(bit_filter(repeated, "x", bits))
+    repeated = written(rows.mapInArrow(verify, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).where("n > 1").select("x", "y"), f"{name}-repeated")
+    twice = spark.sparkContext.broadcast(bit_filter(repeated, "x", repeated.count()))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop, texts in groups(b.column(1)):
                 w = Windows(texts, window)
-                some = _among(near.value, w.fingerprints()[0], bits)
+                some = _among(near.value, w.fingerprints()[0])
                 if some.any():
                     ids = np.array([d or 0 for d in b.column(0)[start:stop].to_pylist()], np.int64)
                     x, y = w.digests()
-                    some &= _among(twice.value, x.view(np.uint64), bits)
+                    some &= _among(twice.value, x.view(np.uint64))
                     at = w.starts[some]
                     doc = w.doc[at]
                     yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some]), pa.array(w.keys()[doc]), pa.array(ids[doc]), pa.array((at - w.begin[doc]).astype(np.int32))], ["x", "y", "k", "d", "at"])
 
-    hits = rows.mapInArrow(locate, "x long, y int, k long, d long, at int").join(repeated.hint("merge"), ["x", "y"]).select("k", "d", "at")
+    hits = rows.mapInArrow(locate, "x long, y long, k long, d long, at int").join(repeated.hint("merge"), ["x", "y"]).select("k", "d", "at")
     spans = written(hits.groupBy("k", "d").agg(F.array_sort(F.collect_list("at")).alias("at")), f"{name}-starts")
-    released(spark)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -248,15 +280,16 @@ def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: st
     return texts.join(spans.hint("merge"), ["k", "d"], "left").select("doc_id", "n_words", "words", "at").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, batches: int = 2, name: str = "substring") -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, name: str = "substring") -> DataFrame:
     """removed() over docs, which enter a new index in batches (by a hash of doc_id) one after the other.
 
-    A window in two documents is met when the later batch is joined with the earlier runs, or as a repeat in
-    its own batch; both documents lose it.
+    A window in two documents is met when the later batch is joined with the earlier runs, compacted ones
+    included, or as a repeat in its own batch; both documents lose it. The texts are fingerprinted in one scan.
     """
     index = FingerprintIndex(docs.sparkSession, window=window)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    suspects = [index.add(docs.where(part == k), f"{name}-run{k}") for k in range(batches)]
+    counts = written(fingerprint_counts(docs.select("text", part.alias("part")), window, "part"), f"{name}-prints")
+    suspects = [index.add_counts(counts.where(F.col("part") == k).select("print", "n"), f"{name}-run{k}") for k in range(batches)]
     every = suspects[0]
     for s in suspects[1:]:
         every = every.unionByName(s)

@@ -200,6 +200,22 @@ def test_passages(spark):
     assert len(got) == len(texts) + 1 and substring_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def thue_morse(n, letters):
+    return [letters[k.bit_count() % 2] for k in range(n)]
+
+
+def test_patterns_that_polynomials_confuse_stay(spark):
+    """Thue-Morse words and their complements, of letters and of words: equal under any polynomial hash modulo 2**64."""
+    tail = prose(6, 34)
+    pairs = [("".join(thue_morse(2048, "ab")), "".join(thue_morse(2048, "ba"))), (" ".join(thue_morse(4096, ["no", "yes"])), " ".join(thue_morse(4096, ["yes", "no"])))]
+    texts = [f"{w} {tail}" for w in pairs[0]] + [f"{w}  {prose(20 + k, 40)}" for k, w in enumerate(pairs[1])] + [f"{w} x" for w in pairs[0]]
+    texts += ["\0 " * 34 + "\0", "\0\0 " * 34 + "\0", "w" * 500_000 + " " + prose(30, 40), "w" * 499_999 + "v " + prose(31, 40)]
+    got = {r["doc_id"]: r for r in substring_dedup.deduplicated(docs(spark, texts)).collect()}
+    for k, want in enumerate(brute_removal(texts, 35)):
+        assert (got[k]["n_words"], got[k]["n_removed"], bytes(got[k]["kept"])) == want, k
+    assert got[0]["n_removed"] == got[1]["n_removed"] == 0
+
+
 def test_index_runs_are_compacted(spark):
     texts = [prose(k % 7, 60) for k in range(14)]
     index = substring_dedup.FingerprintIndex(spark, fanout=2)
