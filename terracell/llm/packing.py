@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.llm.common import ranked, written
-from terracell.llm.tokens import encoder, text_groups
+from terracell.llm.tokens import encoder, merged, text_groups
 
 SEQUENCE = 1024
 
@@ -34,8 +34,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = SEQUENC
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for b in batches:
-            doc_ids, texts = b.column(0).cast(pa.int64()), b.column(1).to_pylist()
+        for b in merged(batches, 1):
+            doc_ids, texts = b.column(0).cast(pa.int64()).combine_chunks(), b.column(1).to_pylist()
             for x, y in text_groups(texts):
                 flat, counts = own.flat(texts[x:y], end_id)
                 doc, piece, start, length = cut(counts, most)

@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from terracell.llm.common import dropped, running_total, shared_dir, written
 
 #: Distinct pieces that an encoder remembers in a generation, of which it keeps two. Only speed depends on it.
-MEMO = 600_000
+MEMO = 800_000
 #: Characters of text that are encoded at a time (a longer text is taken alone).
-GROUP = 1 << 22
+GROUP = 1 << 23
 TOKENS_PER_FILE = 4_000_000
 MAGIC = b"RVBYTE01"
 HEADER = struct.Struct("<8sqqqqq")
@@ -123,7 +123,7 @@ class Encoder:
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         blobs = [*self.known(distinct), *self.headed([distinct[k] for k in coded.indices.to_numpy()[bounds[:-1]].tolist()]), end]
         at = coded.indices.to_numpy().astype(np.int64)
         at[bounds[:-1]] = np.arange(len(texts)) + len(distinct)
@@ -189,15 +189,32 @@ def binary(flat: np.ndarray, counts: np.ndarray, dtype: str) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def token_ids(text: Column, path: str, end_id: int, dtype: str = "<u4") -> Column:
-    """Binary column: ids of each text and the end id, of the given type; a null text has the end id only."""
+def merged(batches: Iterator[pa.RecordBatch], text: int, least: int = GROUP) -> Iterator[pa.Table]:
+    """Batches put together until they hold about `least` bytes of text: the more texts, the fewer distinct pieces to look up for each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.column(text).nbytes for x in held) >= least:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
-    @F.arrow_udf("binary")
-    def encode(texts: pa.Array) -> pa.Array:
-        own, rows = encoder(path), texts.to_pylist()
-        return pa.concat_arrays([pa.array([], pa.binary()), *(binary(*own.flat(rows[a:b], end_id), dtype) for a, b in text_groups(rows))])
 
-    return encode(text)
+def encoded(docs: DataFrame, path: str, end_id: int, dtype: str = "<u4") -> DataFrame:
+    """docs (text, ...) with ids in place of text: binary, each text's ids and the end id, of the given type; a null text has the end id only."""
+    rest = [c for c in docs.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "ids binary"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        for t in merged(batches, len(rest)):
+            texts = t.column(len(rest)).to_pylist()
+            for a, b in text_groups(texts):
+                part = t.slice(a, b - a).select(range(len(rest))).append_column("ids", binary(*own.flat(texts[a:b], end_id), dtype))
+                yield from part.combine_chunks().to_batches()
+
+    return docs.select(*[F.col(f"`{c}`") for c in rest], "text").mapInArrow(encode, schema)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -264,8 +281,8 @@ def from_file(raw: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
     return first, [d if k else None for d, k in zip(doc_ids.tolist(), np.unpackbits(known, count=n).astype(bool).tolist())], counts, ids
 
 
-def frequency_order(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
-    """Token ids by falling frequency over all rows of encoded (ids), then by id. The driver gets a row for a token id at most."""
+def frequency_order(coded: DataFrame, size: int, dtype: str) -> np.ndarray:
+    """Token ids by falling frequency over all rows of coded (ids), then by id. The driver gets a row for a token id at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
@@ -274,7 +291,7 @@ def frequency_order(encoded: DataFrame, size: int, dtype: str) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["token", "n"])
 
-    counts = encoded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = coded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(size, np.int64)
     for r in counts:
         total[r.token] = r.n
@@ -293,9 +310,9 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
     """
     spark, size = docs.sparkSession, max(encoder(tokenizer).size, end_id + 1)
     dtype, raw = narrow(size), shared_dir(spark, "ids")
-    docs.select("doc_id", F.xxhash64("text").alias("h"), token_ids(F.col("text"), tokenizer, end_id, dtype).alias("ids")).write.option("compression", "zstd").parquet(raw)
-    encoded = spark.read.parquet(raw)
-    id_of = frequency_order(encoded, size, dtype)
+    encoded(docs.select("doc_id", F.xxhash64("text").alias("h"), "text"), tokenizer, end_id, dtype).write.option("compression", "zstd").parquet(raw)
+    coded = spark.read.parquet(raw)
+    id_of = frequency_order(coded, size, dtype)
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
     table = spark.sparkContext.broadcast((rank_of, id_of.astype(np.uint32)))  # one entry for a token id of the vocabulary
@@ -329,7 +346,7 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, end_id: i
         if doc_ids:
             yield close()
 
-    ordered = encoded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", F.monotonically_increasing_id().alias("row"), "ids")
+    ordered = coded.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", F.monotonically_increasing_id().alias("row"), "ids")
     written(ordered.mapInArrow(write, "first long, docs long, tokens long"), "manifest")
     dropped(spark, raw)
 
