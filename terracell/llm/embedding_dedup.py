@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +15,20 @@ from terracell.llm.common import components, written
 from terracell.llm.simhash import roots, unite
 
 COSINE = 0.93
-#: Filters that a vector exceeds, on average over random directions; vectors in a bucket that are compared in one piece.
-FILTERS, TILE = 32, 2048
+#: Filters that a vector exceeds on average; classes that a filter holds on average; classes of a bucket that are compared in one piece.
+FILTERS, BUCKET, TILE = 24, 256, 2048
+#: Entries of buckets that a group of the verification holds on average.
+ENTRIES = 16384
+#: Groups of labels and lengths up to which their sizes are broadcast (a row for each).
+SMALL = 100_000
 
 
+def code_words(n: int, filters: int = FILTERS, bucket: int = BUCKET) -> int:
+    """Words of each half's code for n vectors: one for a single bucket; else so many that a filter holds about `bucket` of them."""
+    return 1 if n <= bucket else math.ceil(math.sqrt(filters * n / bucket))
+
+
+@cache
 def code(dimensions: int, words: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
     """Two code books of random unit vectors, one for each half of a randomly rotated vector, in its coordinates.
 
@@ -36,128 +45,160 @@ def code(dimensions: int, words: int, seed: int = 42) -> tuple[np.ndarray, np.nd
     return books[0], books[1]
 
 
-def decoded(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], limit: float) -> list[np.ndarray]:
-    """For each unit vector the sorted filters whose score is at least limit, at least its best one.
+@cache
+def limit(dimensions: int, words: int, filters: int = FILTERS, seed: int = 42, samples: int = 128) -> float:
+    """The score that `filters` filters reach on average, from random unit vectors' own scores.
+
+    The best 4 * filters sums of two falling lists lie among the first 4 * filters of each list, so the cost
+    doesn't depend on the number of filters. (A normal approximation is too high far out, where lists would empty.)
+    """
+    if words * words <= filters:
+        return -math.inf
+    rng, top = np.random.default_rng([seed, dimensions, words, 1]), min(words, 4 * filters)
+    units = rng.standard_normal((samples, dimensions))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    one, two = (-np.sort(-(units @ b), axis=1)[:, :top] for b in code(dimensions, words, seed))
+    sums = np.sort((one[:, :, None] + two[:, None, :]).ravel())
+    return float(sums[-min(len(sums), samples * filters)])
+
+
+def decoded(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> list[np.ndarray]:
+    """For each unit vector the sorted filters whose score is at least `least`, at least its best one.
 
-    The second half's scores are sorted once; each word of the first half then takes a prefix of them, so the
-    list is decoded without visiting the other filters.
+    The second half's scores are sorted once; each word of the first half that can reach the limit at all
+    then takes a prefix of them, so the list is decoded without visiting the other filters.
     """
     words = books[0].shape[1]
     one, two = units @ books[0], units @ books[1]
     order = np.argsort(-two, axis=1)
-    out = []
-    for a, b, o in zip(one, two, order):
-        falling = b[o]
-        take = np.searchsorted(-falling, a - limit, side="right")
-        some = np.flatnonzero(take)
-        if len(some):
-            out.append(np.sort(np.concatenate([i * words + o[: take[i]] for i in some.tolist()])))
-        else:
-            out.append(np.array([int(a.argmax()) * words + int(o[0])]))
-    return out
-
-
-def first_common(left: np.ndarray, right: np.ndarray, bucket: int, step: int = 1 << 14) -> np.ndarray:
-    """Which rows of two padded lists of filters share no filter below bucket."""
-    out = np.ones(len(left), bool)
-    for k in range(0, len(left), step):
-        a, b = left[k : k + step], right[k : k + step]
-        out[k : k + step] = ~((a[:, :, None] == b[:, None, :]) & (a < bucket)[:, :, None]).any((1, 2))
-    return out
-
-
-def _rows(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    units = np.stack([np.frombuffer(x, "<f8") for x in group["unit"]])
-    lists = [np.frombuffer(x, "<i8") for x in group["filters"]]
-    padded = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
-    for k, x in enumerate(lists):
-        padded[k, : len(x)] = x
-    return group["node"].to_numpy(np.int64), group["copies"].to_numpy(np.int64), units, padded
-
-
-def bucket_links(group: pd.DataFrame, cosine: float, bucket: int) -> pd.DataFrame:
-    """(node, links, root) of a bucket, or of two of its tiles: links to partners, counted with copies, for pairs
-    whose first common filter is this bucket, and the least node that they lead to here."""
-    first, second = group[~group["second"]], group[group["second"]]
-    own = not len(second)
-    na, ca, ua, fa = _rows(first)
-    nb, cb, ub, fb = (na, ca, ua, fa) if own else _rows(second)
-    links_a, links_b = np.zeros(len(na), np.int64), np.zeros(len(nb), np.int64)
-    both = np.unique(np.concatenate([na, nb]))
-    parent, pa_, pb_ = np.arange(len(both)), np.searchsorted(both, na), np.searchsorted(both, nb)
-    step = max(1, (1 << 20) // len(nb))
-    for k in range(0, len(na), step):
-        i, j = np.nonzero(ua[k : k + step] @ ub.T >= cosine)
-        i += k
-        some = na[i] < nb[j] if own else np.ones(len(i), bool)
-        i, j = i[some], j[some]
-        new = first_common(fa[i], fb[j], bucket)
-        i, j = i[new], j[new]
-        np.add.at(links_a, i, cb[j])
-        np.add.at(links_b, j, ca[i])
-        unite(parent, pa_[i], pb_[j])
-    links = np.zeros(len(both), np.int64)
-    np.add.at(links, pa_, links_a)
-    np.add.at(links, pb_, links_b)
+    falling = np.take_along_axis(two, order, 1)
+    v, i = np.nonzero(one + falling[:, :1] >= least)
+    need = least - one[v, i]
+    takes = np.zeros(len(v), np.int64)
+    open_, k = np.arange(len(v)), 0
+    while len(open_) and k < words:  # a few steps: prefixes are short
+        open_ = open_[falling[v[open_], k] >= need[open_]]
+        k += 1
+        takes[open_] = k
+    row = np.repeat(v, takes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
+    filters = np.repeat(i, takes) * words + order[row, place]
+    by = np.lexsort((filters, row))
+    out = np.split(filters[by], np.cumsum(np.bincount(row, minlength=len(units)))[:-1])
+    return [x if len(x) else np.array([int(one[k].argmax()) * words + int(order[k, 0])]) for k, x in enumerate(out)]
+
+
+def unit_rows(flat: np.ndarray, dimensions: int) -> np.ndarray:
+    """Vectors of length 1, in double precision, from finite vectors that aren't zero."""
+    x = flat.reshape(-1, dimensions).astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def earlier_filters(lists: list[np.ndarray], bucket: int) -> np.ndarray:
+    """Bits of each list's filters below bucket, as rows of 64-bit numbers; a column for each filter that some list has."""
+    lengths = [int(np.searchsorted(x, bucket)) for x in lists]
+    flat = np.concatenate([x[:n] for x, n in zip(lists, lengths)])
+    columns, at = np.unique(flat, return_inverse=True)
+    bits = np.zeros((len(lists), -(-len(columns) // 64) * 64), bool)
+    bits[np.repeat(np.arange(len(lists)), lengths), at] = True
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def bucket_links(node: np.ndarray, copies: np.ndarray, units: np.ndarray, lists: list[np.ndarray], second: np.ndarray, cosine: float, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, links, root) of a bucket, or of two of its tiles (second marks the other one's): links to partners,
+    counted with copies, for pairs whose first common filter is this bucket, and the least node that they lead to
+    here. Filters are looked up for vectors with a partner only."""
+    a, b = np.flatnonzero(~second), np.flatnonzero(second)
+    own = not len(b)
+    b = a if own else b
+    hits_i, hits_j, step = [], [], max(1, (1 << 20) // len(b))
+    for k in range(0, len(a), step):
+        i, j = np.nonzero(units[a[k : k + step]] @ units[b].T >= cosine)
+        some = node[a[i + k]] < node[b[j]] if own else np.ones(len(i), bool)
+        hits_i.append(a[i[some] + k])
+        hits_j.append(b[j[some]])
+    i, j = np.concatenate(hits_i), np.concatenate(hits_j)
+    if not len(i):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    members, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = at[: len(i)], at[len(i) :]
+    bits = earlier_filters([lists[k] for k in members.tolist()], bucket)
+    links, parent, step = np.zeros(len(members), np.int64), np.arange(len(members)), max(1, (1 << 22) // max(1, bits.shape[1]))
+    weight, order = copies[members], np.argsort(node[members])
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))  # so that the least place is the least node
+    for k in range(0, len(i), step):
+        p, q = i[k : k + step], j[k : k + step]
+        new = ~(bits[p] & bits[q]).any(1)
+        p, q = p[new], q[new]
+        links += np.bincount(p, weight[q], len(links)).astype(np.int64) + np.bincount(q, weight[p], len(links)).astype(np.int64)
+        unite(parent, place[p], place[q])
     some = np.flatnonzero(links)
-    return pd.DataFrame({"node": both[some], "links": links[some], "root": both[roots(parent, np.arange(len(both)))][some]})
+    return node[members[some]], links[some], node[members[order[roots(parent, place[some])]]]
 
 
-def linked(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS, tile: int = TILE, seed: int = 42, name: str = "embeddings") -> DataFrame:
+def linked(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS, bucket: int = BUCKET, tile: int = TILE, seed: int = 42, name: str = "embeddings") -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for a row of vectors (vec_id, embedding, label).
 
     Vectors are compared when their labels are equal and not null and their lengths agree. Null or zero
     vectors, and those with null or non-finite components, link with nothing and are their own component.
     Equal vectors of a label are one class, whatever their number: each links with every other one. Classes
-    are decoded to filters (their number grows with the classes, so buckets stay small), joined on (label,
-    length, filter), and verified in double precision. A bucket of more than `tile` classes is split into
-    tiles that meet in pairs. A pair is counted in its first common filter only, so nothing is counted twice
-    and no pair is ever a row. Pairs without a common filter are missed; see the README for measured recall.
+    are decoded to filters (of a code sized for their label and length, so that buckets stay small at any size),
+    joined on (label, length, filter), and verified in double precision. A bucket of more than `tile` classes is
+    split into tiles that meet in pairs. A pair is counted in its first common filter only, so nothing is counted
+    twice and no pair is ever a row. Pairs without a common filter are missed; see the README for measured recall.
     """
-    rows = vectors.select("vec_id", "embedding", "label")
+    spark, rows = vectors.sparkSession, vectors.select("vec_id", "embedding", "label")
     valid = F.coalesce(
         F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0),
         F.lit(False),
     )
     grouped = rows.where(valid).groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()), f"{name}-classes")
-    words = min(4096, max(16, math.ceil(math.sqrt(classes.count() / 4))))
-    level = NormalDist().inv_cdf(1 - min(0.5, filters / words**2))
+    classes = written(grouped.withColumn("size", F.size("embedding")).withColumn("node", F.monotonically_increasing_id()), f"{name}-classes")
+    sizes = written(classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n")), f"{name}-sizes")
+    sized = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            found = []
-            for x in b.column(1).to_pylist():
-                x = np.array(x, np.float64)
-                x = x / np.abs(x).max()
-                x /= np.linalg.norm(x)
-                d = len(x)
-                if d not in books:
-                    books[d] = code(d, words, seed)
-                found.append((decoded(x[None, :], books[d], level * math.sqrt(2 / d))[0], x))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([f.tolist() for f, _ in found], pa.list_(pa.int64())), pa.array([x.astype("<f8").tobytes() for _, x in found], pa.binary())], ["node", "filters", "unit"]
-            )
-
-    decodes = written(classes.select("node", "embedding").mapInArrow(decode, "node long, filters array<long>, unit binary"), f"{name}-decoded")
-    keyed = classes.select("node", "copies", "label", F.size("embedding").alias("size"))
-    entries = keyed.join(decodes.select("node", F.explode("filters").alias("filter")), "node")
-    sizes = entries.groupBy("label", "size", "filter").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            d, n = (b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            for size, many in sorted({*zip(d.tolist(), (1 << np.ceil(np.log2(n)).astype(np.int64)).tolist())}):
+                own = pa.array((d == size) & (1 << np.ceil(np.log2(n)).astype(np.int64) == many))
+                units, words = unit_rows(b.column(1).filter(own).flatten().to_numpy(), size), code_words(many, filters, bucket)
+                lists = decoded(units, code(size, words, seed), limit(size, words, filters, seed))
+                flat = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(list(map(len, lists))))).astype(np.int32), pa.array(np.concatenate(lists)))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(own), flat], ["node", "filters"])
+
+    decodes = written(classes.join(sized, ["label", "size"]).select("node", "embedding", "size", "n").mapInArrow(decode, "node long, filters array<long>"), f"{name}-decoded")
+    keyed = written(classes.select("node", "copies", "label", "size", "embedding").join(decodes, "node"), f"{name}-keyed")
+    entries = keyed.select("node", "label", "size", F.explode("filters").alias("filter"))
+    counts = written(entries.groupBy("label", "size", "filter").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles")).where("n > 1"), f"{name}-buckets")
+    bins = max(1, counts.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 1) // ENTRIES + 1
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    spread = entries.join(sizes, ["label", "size", "filter"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = spread.select("node", "copies", "label", "size", "filter", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), (F.col("mine") > F.col("other")).alias("second"))
-    binary = decodes.select("node", "unit", F.col("filters"))
-
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(filters=[np.asarray(x, "<i8").tobytes() for x in group["filters"]])
-        if not len(group[~group["second"]]):
-            return pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        if key[3] != key[4] and group["second"].nunique() < 2:
-            return pd.DataFrame({"node": np.zeros(0, np.int64), "links": np.zeros(0, np.int64), "root": np.zeros(0, np.int64)})
-        return bucket_links(group, cosine, int(key[2]))
-
-    found = written(spread.join(binary, "node").groupBy("label", "size", "filter", "low", "high").applyInPandas(verify, "node long, links long, root long"), f"{name}-links")
+    spread = entries.join(counts, ["label", "size", "filter"]).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    spread = spread.select("node", "size", "filter", F.xxhash64("label", "filter", low, high).alias("key"), (F.col("mine") > F.col("other")).alias("second"), "label", low.alias("low"), high.alias("high"))
+    carried = spread.join(keyed.select("node", "copies", "embedding", "filters"), "node").withColumn("bin", F.pmod("key", F.lit(bins)))
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(k, "ascending") for k in ("label", "filter", "low", "high", "node")]).combine_chunks()
+        size = table.column("size")[0].as_py()
+        node, copies, bucket_of, low, high = (table.column(k).to_numpy() for k in ("node", "copies", "filter", "low", "high"))
+        second, label = table.column("second").to_numpy().astype(bool), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        units = unit_rows(table.column("embedding").combine_chunks().flatten().to_numpy(), size)
+        column = table.column("filters").combine_chunks()
+        lists = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
+        edges = np.flatnonzero((np.diff(bucket_of) != 0) | (np.diff(label) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
+        found = []
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(node)]):
+            sides = int(second[a:b].sum())
+            if b - a > 1 and (low[a] == high[a] or 0 < sides < b - a):
+                found.append(bucket_links(node[a:b], copies[a:b], units[a:b], lists[a:b], second[a:b], cosine, int(bucket_of[a])))
+        columns = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64)] * 3
+        return pa.table(columns, ["node", "links", "root"])
+
+    schema = "node long, links long, root long"
+    found = written(carried.repartition(min(bins, 1 << 16), "size", "bin").groupBy("size", "bin").applyInArrow(verify, schema), f"{name}-links")
     stars = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), name)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = classes.join(links, "node", "left").join(stars.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
