@@ -15,8 +15,8 @@ from terracell.llm.common import components, written
 from terracell.llm.simhash import roots, unite
 
 COSINE = 0.93
-#: Filters that a vector exceeds on average; classes that a filter holds on average; classes of a bucket that are compared in one piece.
-FILTERS, BUCKET, TILE = 24, 256, 2048
+#: Filters that a vector exceeds; classes that a filter holds on average; classes of a bucket that are compared in one piece.
+FILTERS, BUCKET, TILE = 16, 256, 2048
 #: Entries of buckets that a group of the verification holds on average.
 ENTRIES = 16384
 #: Groups of labels and lengths up to which their sizes are broadcast (a row for each).
@@ -45,47 +45,20 @@ def code(dimensions: int, words: int, seed: int = 42) -> tuple[np.ndarray, np.nd
     return books[0], books[1]
 
 
-@cache
-def limit(dimensions: int, words: int, filters: int = FILTERS, seed: int = 42, samples: int = 128) -> float:
-    """The score that `filters` filters reach on average, from random unit vectors' own scores.
-
-    The best 4 * filters sums of two falling lists lie among the first 4 * filters of each list, so the cost
-    doesn't depend on the number of filters. (A normal approximation is too high far out, where lists would empty.)
-    """
-    if words * words <= filters:
-        return -math.inf
-    rng, top = np.random.default_rng([seed, dimensions, words, 1]), min(words, 4 * filters)
-    units = rng.standard_normal((samples, dimensions))
-    units /= np.linalg.norm(units, axis=1, keepdims=True)
-    one, two = (-np.sort(-(units @ b), axis=1)[:, :top] for b in code(dimensions, words, seed))
-    sums = np.sort((one[:, :, None] + two[:, None, :]).ravel())
-    return float(sums[-min(len(sums), samples * filters)])
-
-
-def decoded(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], least: float) -> list[np.ndarray]:
-    """For each unit vector the sorted filters whose score is at least `least`, at least its best one.
+def decoded(units: np.ndarray, books: tuple[np.ndarray, np.ndarray], filters: int) -> np.ndarray:
+    """For each unit vector the sorted filters that exceed its own limit: the score of the best one but `filters`.
 
-    The second half's scores are sorted once; each word of the first half that can reach the limit at all
-    then takes a prefix of them, so the list is decoded without visiting the other filters.
+    A limit of its own gives every vector a full list, also one that no direction is near to; with one limit for
+    all, such vectors' lists are short, and shorter the more filters there are. The best `filters` sums of two
+    falling lists lie among the first `filters` of each, so the list is decoded without visiting the others.
     """
     words = books[0].shape[1]
+    top = min(words, filters)
     one, two = units @ books[0], units @ books[1]
-    order = np.argsort(-two, axis=1)
-    falling = np.take_along_axis(two, order, 1)
-    v, i = np.nonzero(one + falling[:, :1] >= least)
-    need = least - one[v, i]
-    takes = np.zeros(len(v), np.int64)
-    open_, k = np.arange(len(v)), 0
-    while len(open_) and k < words:  # a few steps: prefixes are short
-        open_ = open_[falling[v[open_], k] >= need[open_]]
-        k += 1
-        takes[open_] = k
-    row = np.repeat(v, takes)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(takes) - takes, takes)
-    filters = np.repeat(i, takes) * words + order[row, place]
-    by = np.lexsort((filters, row))
-    out = np.split(filters[by], np.cumsum(np.bincount(row, minlength=len(units)))[:-1])
-    return [x if len(x) else np.array([int(one[k].argmax()) * words + int(order[k, 0])]) for k, x in enumerate(out)]
+    i, j = np.argsort(-one, axis=1)[:, :top], np.argsort(-two, axis=1)[:, :top]
+    sums = (np.take_along_axis(one, i, 1)[:, :, None] + np.take_along_axis(two, j, 1)[:, None, :]).reshape(len(units), -1)
+    best = np.argsort(-sums, axis=1, kind="stable")[:, :filters]
+    return np.sort(np.take_along_axis(i, best // top, 1) * words + np.take_along_axis(j, best % top, 1), axis=1)
 
 
 def unit_rows(flat: np.ndarray, dimensions: int) -> np.ndarray:
@@ -165,8 +138,8 @@ def linked(vectors: DataFrame, cosine: float = COSINE, filters: int = FILTERS, b
             for size, many in sorted({*zip(d.tolist(), (1 << np.ceil(np.log2(n)).astype(np.int64)).tolist())}):
                 own = pa.array((d == size) & (1 << np.ceil(np.log2(n)).astype(np.int64) == many))
                 units, words = unit_rows(b.column(1).filter(own).flatten().to_numpy(), size), code_words(many, filters, bucket)
-                lists = decoded(units, code(size, words, seed), limit(size, words, filters, seed))
-                flat = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(list(map(len, lists))))).astype(np.int32), pa.array(np.concatenate(lists)))
+                lists = decoded(units, code(size, words, seed), filters)
+                flat = pa.ListArray.from_arrays((np.arange(len(lists) + 1) * lists.shape[1]).astype(np.int32), pa.array(lists.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(own), flat], ["node", "filters"])
 
     decodes = written(classes.join(sized, ["label", "size"]).select("node", "embedding", "size", "n").mapInArrow(decode, "node long, filters array<long>"), f"{name}-decoded")

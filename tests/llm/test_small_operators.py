@@ -363,9 +363,54 @@ def test_embeddings(spark):
     assert embedding_dedup.linked(df.where("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("n", [1000, 100_000, 1_000_000, 10_000_000])
+def test_recall_holds_at_any_size(n):
+    """Pairs at the threshold share a filter of the code that n classes get; vectors closer than it share more."""
+    rng, words = np.random.default_rng(3), embedding_dedup.code_words(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for d in (64, 384):
+        u, w = unit(rng.standard_normal((400, d))), rng.standard_normal((400, d))
+        v = 0.93 * u + np.sqrt(1 - 0.93**2) * unit(w - (w * u).sum(1, keepdims=True) * u)
+        a, b = (embedding_dedup.decoded(x, embedding_dedup.code(d, words), embedding_dedup.FILTERS) for x in (u, v))
+        assert np.mean([bool(set(x) & set(y)) for x, y in zip(a.tolist(), b.tolist())]) >= 0.95, d
+
+
+def test_filters_are_the_best_ones():
+    rng = np.random.default_rng(4)
+    u, books = embedding_dedup.unit_rows(rng.standard_normal(20 * 10), 10), embedding_dedup.code(10, 9)
+    scores = ((u @ books[0])[:, :, None] + (u @ books[1])[:, None, :]).reshape(20, -1)
+    assert embedding_dedup.decoded(u, books, 7).tolist() == np.sort(np.argsort(-scores, axis=1)[:, :7], axis=1).tolist()
+    assert embedding_dedup.decoded(u, embedding_dedup.code(10, 1), 7).tolist() == [[0]] * 20
+
+
+def test_embeddings_of_clashing_names_and_one_hot_group(spark):
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(16)
+    rows = [(k, (centre + 0.05 * rng.standard_normal(16)).tolist() if k < 150 else rng.standard_normal(16).tolist(), 3) for k in range(220)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({n: F.lit(7) for n in ("node", "filter", "filters", "size", "n", "bin", "key", "kept", "links", "_ok")})
+    got = {r["vec_id"]: r for r in embedding_dedup.linked(df, bucket=16, tile=20).collect()}
+    unit = np.array([v for _, v, _ in rows]) / np.linalg.norm([v for _, v, _ in rows], axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & ~np.eye(220, dtype=bool)
+    assert len(got) == 220 and near[:150, :150].sum() > 20000 and all(got[k]["n_links"] == near[k].sum() for k in range(220))
+    assert all(got[k]["component_id"] == (0 if k < 150 else k) for k in range(220))
+
+
 # 7
 
 
+def test_turn_codes_and_prefixes_are_apart(spark):
+    """Separators and NULs in roles and texts, and nulls beside them, make different turns."""
+    first = [("a\x01b", "c"), ("a", "b\x01c"), (None, "x"), ("\0", "x"), ("", "x"), ("-", None), (None, None), ("=1:a", "="), ("1", ":a="), (None, "="), ("x", "\0"), ("x", None), ("x", "")]
+    turns = [(k, n, *t) for k, x in enumerate(first) for n, t in enumerate([x, ("user", str(k % 2))])]
+    df = clashing(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).withColumns({n: F.lit(1) for n in ("depth", "prefix", "_keep", "_n", "_digest")})
+    got = {r["conv_id"]: r["n_turns"] for r in chat.rendered(df).collect()}
+    assert got == dict.fromkeys(range(len(first)), 2)
+    kept = chat.maximal(df)
+    assert kept.columns == df.columns and kept.count() == 2 * len(first)
+    long = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("u").alias("role"), F.lit("t").alias("text"))
+    assert [tuple(r) for r in chat.rendered(long.unionByName(long.where("turn < 2999").withColumn("conv_id", F.lit(2).cast("long")))).select("conv_id", "n_turns").collect()] == [(1, 3000)]
+
+
 def test_conversations(spark):
     turns = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "hello"),
