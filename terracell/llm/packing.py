@@ -1,20 +1,22 @@
-"""Best-fit packing of documents into sequences of one length, in bulk rounds."""
+"""Best-fit packing of documents into sequences of one length, in bulk-synchronous rounds."""
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terracell.llm.common import ranked, written
 from terracell.llm.tokens import encoder, merged, text_groups
 
 SEQUENCE = 1024
+#: Rows of a range-sorted partition that one task sweeps, about.
+SWEEP = 1_000_000
 
 
 def cut(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,71 +49,118 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = SEQUENC
     return docs.select("doc_id", "text").mapInArrow(split, schema)
 
 
-def best_fit(counts: dict[int, int], most: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Places of pieces by length and rank: (length, first rank, pieces, pieces in a sequence, first sequence, offset).
+def bands(most: int) -> list[tuple[int, int]]:
+    """(lo, hi] of the lengths that are placed together, longest first, below those over half a sequence: a third, a quarter, then halves."""
+    ends = [most // 2, most // 3, most // 4]
+    while ends[-1] > 1:
+        ends.append(ends[-1] // (2 if ends[-1] > 16 else 4))
+    ends = sorted({*ends, 0}, reverse=True)
+    return list(zip(ends[1:], ends))
 
-    The rounds of best fit, on runs: pieces of one length, and sequences filled alike, are interchangeable,
-    so a round handles all pieces of a length (longest first) as one run of ranks, and all gaps of a size as
-    one run of sequences. Each run of pieces finds its successor, the smallest gap that holds it; where
-    several want one gap, ranks decide, in order; gaps are updated, and the sweep goes on until all of the
-    length are placed, in new sequences if no gap is left. The runs are at most a few for each length, and a
-    sequence holds at most sqrt(2 * most) different lengths: the table has under 150,000 rows for 1,024
-    tokens, however many documents there are.
+
+def matched(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pieces, places) that a sweep over places (kind 0) and pieces (kind 1), largest first, puts together.
+
+    Each piece takes the last free place before it, the smallest that holds it: closing and opening brackets. The
+    number of open brackets says which belong together: those that follow each other at one level.
+    """
+    level = np.cumsum(1 - 2 * kind) + kind
+    order = np.lexsort((np.arange(len(kind)), level))
+    k, at = kind[order], level[order]
+    pair = np.flatnonzero((at[1:] == at[:-1]) & (k[1:] == 1) & (k[:-1] == 0))
+    return order[pair + 1], order[pair]
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sweep over one range-sorted partition (id, size, kind, part): its pieces with the sequence and gap that they
+    get here, if any, and what is left of pieces and places, numbered by rank (no)."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    ids, size, kind, part = (t.column(k).to_numpy().astype(np.int64) for k in range(4))
+    piece, place = matched(kind)
+    seq, gap, free, no = np.zeros(len(ids), np.int64), np.full(len(ids), -1), np.ones(len(ids), bool), np.full(len(ids), -1)
+    seq[piece], gap[piece] = ids[place], size[place]
+    free[piece] = free[place] = False
+    for k in (0, 1):
+        left = np.flatnonzero(free & (kind == k))
+        no[left] = np.arange(len(left))
+    show = (kind == 1) | free
+    none = gap[show] < 0
+    columns = [*(pa.array(x[show]) for x in (ids, size, kind)), *(pa.array(x[show], mask=none) for x in (seq, gap)), *(pa.array(x[show]) for x in (part, no))]
+    yield pa.RecordBatch.from_arrays(columns, ["id", "size", "kind", "seq", "gap", "part", "no"])
+
+
+def swept(waiting: DataFrame, places: DataFrame, rows: int, name: str) -> DataFrame:
+    """(id, length, seq, gap): one sweep of pieces (id, length) over places (seq, gap); seq and gap are null for pieces without a place.
+
+    Both are range-sorted by size, largest first, places before pieces. A task sweeps its own part; what is left
+    in it is pieces that need an earlier part's places, then places for later parts. The parts' counts (one row for
+    each) give each of these its bracket level over all parts, and those that follow each other at a level match.
+    A level holds a few rows for each part, so no size, however common, is in one task.
     """
-    gaps: list[tuple[int, int, int]] = []  # gap, first sequence, sequences; ascending
-    out, new = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(gaps, (length, -1, -1))
-            if at == len(gaps):
-                n = -(-left // (most // length))
-                gaps.append((most, new, n))
-                new += n
-            gap, first, n = gaps.pop(at)
-            each = gap // length
-            full = min(n, left // each)
-            if full:
-                out.append((length, rank, full * each, each, first, most - gap))
-                rank, left = rank + full * each, left - full * each
-                if gap > each * length:
-                    insort(gaps, (gap - each * length, first, full))
-            first, n = first + full, n - full
-            if n and left and left < each:
-                out.append((length, rank, left, left, first, most - gap))
-                insort(gaps, (gap - left * length, first, 1))
-                rank, left, first, n = rank + left, 0, first + 1, n - 1
-            if n:
-                insort(gaps, (gap, first, n))
-    return out
-
-
-def placed(length: Column, rank: Column, places: list[tuple[int, int, int, int, int, int]]) -> Column:
-    """struct(sequence_id, offset) of pieces by length and rank: a binary search in the table of places."""
-    t = np.array(sorted(places), np.int64).reshape(-1, 6)
-    heads = t[:, 0] << 44 | t[:, 1]
-
-    @F.arrow_udf("struct<sequence_id:long,offset:long>")
-    def find(lengths: pa.Array, ranks: pa.Array) -> pa.Array:
-        n, r = lengths.to_numpy(zero_copy_only=False).astype(np.int64), ranks.to_numpy(zero_copy_only=False).astype(np.int64)
-        run = t[np.searchsorted(heads, n << 44 | r, side="right") - 1]
-        sequence, place = np.divmod(r - run[:, 1], run[:, 3])
-        return pa.StructArray.from_arrays([pa.array(run[:, 4] + sequence), pa.array(run[:, 5] + place * n)], ["sequence_id", "offset"])
-
-    return find(length, rank)
+    events = waiting.select("id", F.col("length").alias("size"), F.lit(1).alias("kind")).unionByName(places.select(F.col("seq").alias("id"), F.col("gap").alias("size"), F.lit(0).alias("kind")))
+    many = max(4, rows // SWEEP + 1)
+    order = [F.col("size").desc(), F.col("kind"), F.col("id")]
+    local = events.repartitionByRange(many, *order).sortWithinPartitions(*order).select("id", "size", "kind", F.spark_partition_id().alias("part"))
+    local = written(local.mapInArrow(sweep, "id long, size long, kind long, seq long, gap long, part long, no long"), f"{name}-swept")
+    left = local.where("no >= 0")
+    counts = left.groupBy("part").agg(F.sum("kind").alias("u"), F.sum(1 - F.col("kind")).alias("v"))
+    before = F.sum(F.col("v") - F.col("u")).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("part").alias("p"), "u", F.coalesce(before, F.lit(0)).alias("start"))
+    level = F.when(F.col("kind") == 1, F.col("start") - F.col("no")).otherwise(F.col("start") - F.col("u") + F.col("no") + 1)
+    prior = F.lag(F.struct("kind", "id", "size")).over(Window.partitionBy("level").orderBy("part", F.col("kind").desc()))
+    across = left.join(F.broadcast(starts), F.col("part") == F.col("p")).withColumn("level", level).withColumn("prior", prior).where("kind = 1")
+    got = F.when(F.col("prior.kind") == 0, F.col("prior"))
+    across = across.select("id", F.col("size").alias("length"), got["id"].alias("seq"), got["size"].alias("gap"))
+    return written(local.where("kind = 1 and no < 0").select("id", F.col("size").alias("length"), "seq", "gap").unionByName(across), f"{name}-matched")
 
 
 def packed(parts: DataFrame, most: int = SEQUENCE, name: str = "pack") -> DataFrame:
     """parts (doc_id, piece, length up to most, ...) with sequence_id and offset, in about as few sequences as can be.
 
-    The driver sees the number of pieces of each length (most rows at most). Ranks among pieces of a length come
-    from ranked(), which splits a length that a third of all pieces have. Repeated rows are pieces of their
-    own. No piece gives no row.
+    Pieces over half a sequence open one each. Then the others come in bands of length, longest first, each in
+    rounds: pieces and gaps are range-sorted, a sweep gives each piece the smallest free gap that holds it (a gap of
+    several times the band's length offers as many places), ranks decide where pieces want the same, gaps are
+    updated, and the sweep is repeated until it places nothing. What no gap holds opens new sequences, as many to one
+    as surely fit, by rank among those alike in that. The driver sees counts only; the number of rounds doesn't grow
+    with the pieces. Repeated rows are pieces of their own. No piece gives no row.
     """
-    parts = written(parts, f"{name}-pieces")
-    counts = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}
-    order = [c for c in ("doc_id", "piece") if c in parts.columns]
-    rows = ranked(parts, ["length"], order, name, "_rank")
-    if not counts:
-        return rows.select(*parts.columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return rows.withColumn("_at", placed(F.col("length"), F.col("_rank"), best_fit(counts, most))).select(*parts.columns, "_at.sequence_id", "_at.offset")
+    parts = written(parts.withColumn("_id", F.monotonically_increasing_id()), f"{name}-pieces")
+    slim = parts.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("length"))
+    inside = [(F.col("length") > lo) & (F.col("length") <= hi) for lo, hi in bands(most)]
+    sizes = slim.agg(*[F.count_if(x).alias(f"b{k}") for k, x in enumerate(inside)]).first()
+    large = slim.where(F.col("length") > most // 2)
+    done = [large.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps = large.select(F.col("id").alias("seq"), (most - F.col("length")).alias("gap")).where("gap > 0")
+    for (lo, hi), own, n in zip(bands(most), inside, sizes):
+        waiting = slim.where(own)
+        while n:
+            usable = gaps.where(F.col("gap") > lo)
+            g = usable.count()
+            if not g:
+                break
+            offered = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / hi), F.lit(-(-2 * n // g)))).cast("int")
+            result = swept(waiting, usable.withColumn("_k", F.explode(F.sequence(F.lit(1), offered))), g + 3 * n, name)
+            placed = result.where("seq is not null")
+            in_order = Window.partitionBy("seq").orderBy(F.col("length").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
+            done.append(placed.select("id", F.col("seq").alias("sequence_id"), (most - F.col("gap") + F.coalesce(F.sum("length").over(in_order), F.lit(0))).alias("offset")))
+            used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
+            gaps = written(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), f"{name}-gaps")
+            waiting, before = result.where("seq is null").select("id", "length"), n
+            n = waiting.count()
+            if n == before:
+                break
+        if n:
+            each = F.floor(F.lit(most) / F.col("length")).cast("long")
+            alike = ranked(waiting.withColumn("each", each).withColumn("less", -F.col("length")), ["each"], ["less", "id"], name)
+            alike = written(alike.withColumn("sequence_id", -1 - (F.expr("rank div each") * (most + 1) + F.col("each"))), f"{name}-opened")
+            in_order = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+            done.append(alike.select("id", "sequence_id", F.coalesce(F.sum("length").over(in_order), F.lit(0)).alias("offset")))
+            opened = alike.groupBy(F.col("sequence_id").alias("seq")).agg((most - F.sum("length")).alias("gap")).where("gap > 0")
+            gaps = written(gaps.unionByName(opened), f"{name}-gaps")
+    every = done[0]
+    for d in done[1:]:
+        every = every.unionByName(d)
+    return parts.join(every, F.col("_id") == F.col("id")).select(*[c for c in parts.columns if c != "_id"], "sequence_id", "offset")

@@ -481,46 +481,59 @@ def test_cutting():
     assert all(len(x) == 0 for x in packing.cut(np.zeros(0, np.int64), 1024))
 
 
-def unfolded(counts, places):
-    bins: dict = {}
-    for n, rank, pieces, each, first, offset in places:
-        for r in range(pieces):
-            bins.setdefault(first + r // each, []).append((offset + r % each * n, n, rank + r))
-    return bins
+def brute_best_fit(lengths, most):
+    """Number of sequences of best fit, one piece after the other, longest first."""
+    gaps: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in gaps if g >= n]
+        if fit:
+            gaps.remove(min(fit))
+        gaps.append((min(fit) if fit else most) - n)
+    return len(gaps)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 20), st.integers(1, 30), max_size=12))
-def test_best_fit_by_brute_force(counts):
-    bins = unfolded(counts, packing.best_fit(counts, 20))
-    gaps: list[int] = []
-    for n in sorted(counts, reverse=True):
-        for _ in range(counts[n]):
-            fit = [g for g in gaps if g >= n]
-            if fit:
-                gaps.remove(min(fit))
-                gaps.append(min(fit) - n)
-            else:
-                gaps.append(20 - n)
-    assert len(bins) == len(gaps) and Counter(20 - sum(n for _, n, _ in b) for b in bins.values()) == Counter(gaps)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 1)), max_size=40))
+def test_sweep_by_brute_force(events):
+    events = sorted(events, key=lambda e: (-e[0], e[1]))
+    free, want = [], {}
+    for k, (_, kind) in enumerate(events):
+        if kind == 0:
+            free.append(k)
+        elif free:
+            want[k] = free.pop()
+    piece, place = packing.matched(np.array([e[1] for e in events], np.int64))
+    assert dict(zip(piece.tolist(), place.tolist())) == want
+
+
+def check_packed(rows, most):
+    bins: dict = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for b in bins.values():
         b.sort()
-        assert [o for o, _, _ in b] == [sum(n for _, n, _ in b[:k]) for k in range(len(b))]
-    ranks = sorted((n, r) for b in bins.values() for _, n, r in b)
-    assert ranks == [(n, r) for n in sorted(counts) for r in range(counts[n])]
+        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= most
+    return len(bins)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rounds_pack_like_best_fit(spark, seed, monkeypatch):
+    monkeypatch.setattr(packing, "SWEEP", 50)  # many parts, so that pieces and gaps meet across them
+    rng = np.random.default_rng(seed)
+    lengths = [rng.integers(1, 101, 300), np.minimum(rng.geometric(0.1, 400), 100), rng.choice([34, 51, 49, 33, 3], 300), np.concatenate([np.full(40, 70), rng.integers(1, 4, 600)])][seed].tolist()
+    df = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length int")
+    rows = packing.packed(df, 100).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in rows) == Counter(enumerate(lengths))
+    assert check_packed(rows, 100) <= max(brute_best_fit(lengths, 100) * 1.05, sum(lengths) / 100 + 3)
 
 
 def test_packing(spark, plain_ids):
     df = clashing(docs(spark, TEXTS)).unionByName(clashing(docs(spark, TEXTS)).where("doc_id = 3"))
     got = packing.packed(packing.pieces(df, tokenizer_path())).collect()
-    bins: dict = {}
     for r in got:
         ids = np.append(plain_ids(TEXTS[r["doc_id"]]), 2).astype("<u4")
         assert zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
-        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    for b in bins.values():
-        b.sort()
-        assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 1024
+    check_packed(got, 1024)
     assert sum(r["length"] for r in got) == sum(len(plain_ids(t)) + 1 for t in [*TEXTS, TEXTS[3]])
     assert packing.packed(packing.pieces(docs(spark, []), tokenizer_path())).count() == 0
 
