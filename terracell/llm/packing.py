@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +50,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = SEQUENC
 
 
 def bands(most: int) -> list[tuple[int, int]]:
-    """(lo, hi] of the lengths that are placed together, longest first, below those over half a sequence: a third, a quarter, then halves."""
+    """(lo, hi] of the lengths that are placed together, longest first, below those over half a sequence: to a third, to a quarter, then to a quarter of that each time."""
     ends = [most // 2, most // 3, most // 4]
-    while ends[-1] > 1:
-        ends.append(ends[-1] // (2 if ends[-1] > 16 else 4))
+    while ends[-1] > 16:
+        ends.append(ends[-1] // 4)
     ends = sorted({*ends, 0}, reverse=True)
     return list(zip(ends[1:], ends))
 
@@ -92,8 +92,9 @@ def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, ["id", "size", "kind", "seq", "gap", "part", "no"])
 
 
-def swept(waiting: DataFrame, places: DataFrame, rows: int, name: str) -> DataFrame:
+def swept(waiting: DataFrame, places: DataFrame, rows: int, name: str) -> tuple[DataFrame, int, int]:
     """(id, length, seq, gap): one sweep of pieces (id, length) over places (seq, gap); seq and gap are null for pieces without a place.
+    With it, how many these are, and the longest one's length.
 
     Both are range-sorted by size, largest first, places before pieces. A task sweeps its own part; what is left
     in it is pieces that need an earlier part's places, then places for later parts. The parts' counts (one row for
@@ -114,7 +115,10 @@ def swept(waiting: DataFrame, places: DataFrame, rows: int, name: str) -> DataFr
     across = left.join(F.broadcast(starts), F.col("part") == F.col("p")).withColumn("level", level).withColumn("prior", prior).where("kind = 1")
     got = F.when(F.col("prior.kind") == 0, F.col("prior"))
     across = across.select("id", F.col("size").alias("length"), got["id"].alias("seq"), got["size"].alias("gap"))
-    return written(local.where("kind = 1 and no < 0").select("id", F.col("size").alias("length"), "seq", "gap").unionByName(across), f"{name}-matched")
+    every, seen = local.where("kind = 1 and no < 0").select("id", F.col("size").alias("length"), "seq", "gap").unionByName(across), Observation()
+    left = F.col("seq").isNull()
+    result = written(every.observe(seen, F.count_if(left).alias("n"), F.coalesce(F.max(F.when(left, F.col("length"))), F.lit(0)).alias("longest")), f"{name}-matched")
+    return result, seen.get["n"], seen.get["longest"]
 
 
 def packed(parts: DataFrame, most: int = SEQUENCE, name: str = "pack") -> DataFrame:
@@ -130,36 +134,38 @@ def packed(parts: DataFrame, most: int = SEQUENCE, name: str = "pack") -> DataFr
     parts = written(parts.withColumn("_id", F.monotonically_increasing_id()), f"{name}-pieces")
     slim = parts.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("length"))
     inside = [(F.col("length") > lo) & (F.col("length") <= hi) for lo, hi in bands(most)]
-    sizes = slim.agg(*[F.count_if(x).alias(f"b{k}") for k, x in enumerate(inside)]).first()
+    sizes = slim.agg(*[F.struct(F.count_if(x), F.coalesce(F.max(F.when(x, F.col("length"))), F.lit(0))) for x in inside]).first()
     large = slim.where(F.col("length") > most // 2)
     done = [large.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    gaps = large.select(F.col("id").alias("seq"), (most - F.col("length")).alias("gap")).where("gap > 0")
-    for (lo, hi), own, n in zip(bands(most), inside, sizes):
+
+    def kept(gaps: DataFrame) -> tuple[DataFrame, list[int]]:
+        """gaps that are left, and how many of them each band can use."""
+        seen = Observation()
+        table = written(gaps.where("gap > 0").observe(seen, *[F.count_if(F.col("gap") > lo).alias(f"g{lo}") for lo, _ in bands(most)]), f"{name}-gaps")
+        return table, [seen.get[f"g{lo}"] for lo, _ in bands(most)]
+
+    gaps, usable = kept(large.select(F.col("id").alias("seq"), (most - F.col("length")).alias("gap")))
+    for k, ((lo, _), own, (n, longest)) in enumerate(zip(bands(most), inside, sizes)):
         waiting = slim.where(own)
-        while n:
-            usable = gaps.where(F.col("gap") > lo)
-            g = usable.count()
-            if not g:
+        while n and usable[k]:
+            offered = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / longest), F.lit(-(-2 * n // usable[k])))).cast("int")
+            before, n_places = n, usable[k] + 2 * n
+            result, n, longest = swept(waiting, gaps.where(F.col("gap") > lo).withColumn("_k", F.explode(F.sequence(F.lit(1), offered))), n + n_places, name)
+            if n == before:
                 break
-            offered = F.greatest(F.lit(1), F.least(F.floor(F.col("gap") / hi), F.lit(-(-2 * n // g)))).cast("int")
-            result = swept(waiting, usable.withColumn("_k", F.explode(F.sequence(F.lit(1), offered))), g + 3 * n, name)
             placed = result.where("seq is not null")
             in_order = Window.partitionBy("seq").orderBy(F.col("length").desc(), "id").rowsBetween(Window.unboundedPreceding, -1)
             done.append(placed.select("id", F.col("seq").alias("sequence_id"), (most - F.col("gap") + F.coalesce(F.sum("length").over(in_order), F.lit(0))).alias("offset")))
             used = placed.groupBy("seq").agg(F.sum("length").alias("used"))
-            gaps = written(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")).where("gap > 0"), f"{name}-gaps")
-            waiting, before = result.where("seq is null").select("id", "length"), n
-            n = waiting.count()
-            if n == before:
-                break
+            gaps, usable = kept(gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap")))
+            waiting = result.where("seq is null").select("id", "length")
         if n:
             each = F.floor(F.lit(most) / F.col("length")).cast("long")
             alike = ranked(waiting.withColumn("each", each).withColumn("less", -F.col("length")), ["each"], ["less", "id"], name)
             alike = written(alike.withColumn("sequence_id", -1 - (F.expr("rank div each") * (most + 1) + F.col("each"))), f"{name}-opened")
             in_order = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
             done.append(alike.select("id", "sequence_id", F.coalesce(F.sum("length").over(in_order), F.lit(0)).alias("offset")))
-            opened = alike.groupBy(F.col("sequence_id").alias("seq")).agg((most - F.sum("length")).alias("gap")).where("gap > 0")
-            gaps = written(gaps.unionByName(opened), f"{name}-gaps")
+            gaps, usable = kept(gaps.unionByName(alike.groupBy(F.col("sequence_id").alias("seq")).agg((most - F.sum("length")).alias("gap"))))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
