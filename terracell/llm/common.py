@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,19 +49,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that nothing refers to any more."""
-    for _ in range(2):  # what the first round frees may hold on to more
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def cleared(spark: SparkSession) -> None:
-    """Deletes all tables that operators have written; results that still read them must have been written before."""
-    dropped(spark, shared_dir(spark, "").rpartition("/")[0])
-
-
 def _nullable(schema: StructType) -> StructType:
     return StructType([type(f)(f.name, f.dataType, True, f.metadata) for f in schema.fields])
 

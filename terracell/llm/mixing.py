@@ -65,10 +65,11 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 15
 def sampled(docs: DataFrame, name: str = "mix", **options) -> DataFrame:
     """docs, each row as often as the mix takes it, with its own columns.
 
-    Decisions are made on narrow rows (ids, a hash of the text, source and size) and joined back; rows alike
-    in doc_id, source and text are one row with the sum of their copies.
+    Decisions are made on narrow rows (a SHA-256 of id, source and text, and the size) and joined back; rows
+    alike in doc_id, source and text are one row with the sum of their copies.
     """
-    key = F.xxhash64("doc_id", "source", F.coalesce(F.sha2("text", 256), F.lit("")))
+    absent = F.lit("-")
+    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), absent), F.coalesce(F.sha2("text", 256), absent), F.coalesce(F.concat(F.lit("="), "source"), absent)), 256)
     keyed = carried(docs, "doc_id", "source", "text", key.alias("_key"))
     copies = mixed(keyed.select("doc_id", "source", n_words(F.col("text")).alias("size"), "_key"), name=name, **options)
     taken = copies.groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
