@@ -14,27 +14,58 @@ from terracell.llm.common import carried, components, ranked, written
 BITS, RADIUS, SHINGLE, TILE = 64, 4, 4, 32768
 #: Beyond this radius nearly all cells of quarter counts are near each other, and tiles are compared as they are.
 CELL_RADIUS = 8
+#: Buckets of a sketch.
+SKETCH = 32
 #: Pairs whose exclusive-or is held at a time.
 BLOCK = 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """A bit is 1 if over half of the shingles' XXH64 have it; texts without words give 0."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a text, repeats included; of a text of fewer words, that of all of it; none of a text without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist())), np.uint64, len(words) - shingle + 1)
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if over half of the hashes have it; no hash gives 0."""
     votes = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         votes += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """print_of() a text's word shingles."""
+    return print_of(shingle_hashes(text, shingle, seed))
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """15 bits of the least hash in each of SKETCH buckets, plus 1; 0 where a bucket is empty. Repeats change nothing."""
+    keys = np.sort((hashes % np.uint64(SKETCH)) << np.uint64(58) | hashes >> np.uint64(6))
+    bucket = (keys >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    out = np.zeros(SKETCH, "<u2")
+    out[bucket[first]] = (keys[first] & np.uint64(0x7FFF)) + np.uint64(1)
+    return out
+
+
+def alike(sketch: np.ndarray, others: np.ndarray, similar: float) -> np.ndarray:
+    """Which other sketches agree in as many buckets that either fills as sets that similar do, less a wide margin.
+
+    Sets with Jaccard similarity s agree in a share s of the buckets on average, with a deviation of 0.07 or less
+    (fewer elements than buckets differ in fewer buckets still); the margin is six of these.
+    """
+    filled = (others > 0) | (sketch > 0)
+    return ((others == sketch) & filled).sum(1) >= (similar - 6 * 0.07) * filled.sum(1)
+
+
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """Signed 64-bit column with the bits of each text's fingerprint; null texts count as empty. Only A-Z are lower-cased."""
 
@@ -45,10 +76,21 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return sign(text)
 
 
+def signatures(text: Column, shingle: int) -> Column:
+    """struct(bits, sketch) of each text, from one pass over its shingles."""
+
+    @F.arrow_udf("struct<bits:long,sketch:binary>")
+    def sign(texts: pa.Array) -> pa.Array:
+        hashes = [shingle_hashes(x or b"", shingle) for x in texts.cast(pa.large_binary()).to_pylist()]
+        bits = np.array([print_of(h) for h in hashes], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(bits), pa.array([sketch_of(h).tobytes() for h in hashes], pa.binary())], ["bits", "sketch"])
+
+    return sign(text)
+
+
 def shingles(text: bytes, shingle: int) -> np.ndarray:
-    """Sorted distinct XXH64 of a text's word shingles; of a text of fewer words, that of all of it."""
-    words = text.lower().split()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle])) for k in range(max(1, len(words) - shingle + 1))), np.uint64))
+    """Sorted distinct hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def text_keys(text: Column) -> Column:
@@ -196,11 +238,13 @@ def similar_links(bits: np.ndarray, side: np.ndarray | None, sets: list[np.ndarr
 
 
 def verified_links(signed: DataFrame, shingle: int, radius: int, similar: float, tile: int, name: str) -> DataFrame:
-    """(a, b): keys that connect all texts of signed (key, bits, text) within the radius and at least `similar` alike.
+    """(a, b): keys that connect all texts of signed (key, bits, sketch, text) within the radius and at least `similar` alike.
 
-    First each pair of tiles says which prints have a partner in it; only their texts, once for each pair of
-    tiles, are then sent to where the pair is compared again, with Jaccard similarities of word shingles.
-    Distinct texts of one print are a pair of their own. Pairs never become rows.
+    First each pair of tiles says which prints have a partner in it. Prints of texts that have nothing in common
+    are within a wide radius by chance, ever more often the more there are; so sketches of 64 bytes are compared
+    next, and only texts that have a partner in these too are sent, once for each pair of tiles, to where the pair
+    is compared again, with Jaccard similarities of word shingles. Distinct texts of one print are a pair of their
+    own. Pairs never become rows.
     """
 
     def involved(group: pd.DataFrame) -> pd.DataFrame:
@@ -210,18 +254,35 @@ def verified_links(signed: DataFrame, shingle: int, radius: int, similar: float,
         which = np.isin(prints, side[1]).astype(np.int8) if len(side) > 1 else np.full(len(prints), -1, np.int8)
         return pd.DataFrame({"pair": group["pair"].iloc[0], "bits": prints.view(np.int64), "side": which})
 
+    def sketched(group: pd.DataFrame) -> pd.DataFrame:
+        bits, side = group["bits"].to_numpy(np.int64).view(np.uint64), group["side"].to_numpy()
+        sketches = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(-1, SKETCH)
+        met = np.zeros(len(bits), bool)
+        for i in range(len(bits) - 1):
+            near = np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= radius
+            if side[0] >= 0:
+                near &= side[i + 1 :] != side[i]
+            if met[i]:
+                near &= ~met[i + 1 :]  # only what isn't known yet
+            j = np.flatnonzero(near) + i + 1
+            j = j[alike(sketches[i], sketches[j], similar)]
+            met[j] = True
+            met[i] |= len(j) > 0
+        return group.loc[met, ["pair", "bits", "key", "side"]]
+
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key")
         key, side = group["key"].to_numpy(np.int64), group["side"].to_numpy()
         i, j = similar_links(group["bits"].to_numpy(np.int64).view(np.uint64), None if side[0] < 0 else side, [shingles(x.encode(), shingle) for x in group["text"]], radius, similar)
         return pd.DataFrame({"a": key[i], "b": key[j]})
 
-    nodes = written(signed.groupBy("bits", "key").count(), f"{name}-nodes")
+    nodes = written(signed.groupBy("bits", "key").agg(F.min("sketch").alias("sketch")), f"{name}-nodes")
     near = _dealt(tile_pairs(nodes.select("bits").distinct(), radius, tile, name)).applyInPandas(involved, "pair string, bits long, side int")
     same = nodes.groupBy("bits").count().where("count > 1").select(F.concat(F.lit("="), F.col("bits").cast("string")).alias("pair"), "bits", F.lit(-1).alias("side"))
-    asked = written(near.unionByName(same), f"{name}-asked")
-    texts = signed.join(asked.select("bits").distinct(), "bits").select("bits", "key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["bits", "key"])
-    return _dealt(asked.join(texts, "bits")).applyInPandas(verify, "a long, b long")
+    asked = _dealt(near.unionByName(same).join(nodes, "bits")).applyInPandas(sketched, "pair string, bits long, key long, side int")
+    asked = written(asked, f"{name}-asked")
+    texts = signed.join(asked.select("bits", "key").distinct(), ["bits", "key"]).select("bits", "key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["bits", "key"])
+    return _dealt(asked.join(texts, ["bits", "key"])).applyInPandas(verify, "a long, b long")
 
 
 def clustered(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, tile: int = TILE, name: str = "simhash", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -246,7 +307,8 @@ def clustered_similar(docs: DataFrame, similar: float, shingle: int, radius: int
     Documents have one root if links between texts lead from one to the other: prints within the radius and
     Jaccard similarity of the word shingles of at least `similar`. Documents of the same words are one node.
     """
-    signed = written(docs.select("doc_id", *keep, "text", fingerprints(F.col("text"), shingle).alias("bits"), text_keys(F.col("text")).alias("key")), f"{name}-bits")
+    signed = docs.select("doc_id", *keep, "text", signatures(F.col("text"), shingle).alias("_s"), text_keys(F.col("text")).alias("key"))
+    signed = written(signed.select("doc_id", *keep, "text", "_s.bits", "_s.sketch", "key"), f"{name}-bits")
     stars = components(verified_links(signed, shingle, radius, similar, tile, name), name)
     rows = signed.select("doc_id", *keep, "key").join(stars, F.col("key") == F.col("node"), "left")
     return rows.select("doc_id", *keep, F.coalesce("root", "key").alias("root"))

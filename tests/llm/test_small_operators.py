@@ -297,6 +297,18 @@ def test_near_duplicates_are_verified(spark):
     assert (corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.SIMILAR) == (5, 0.8) and (simhash.SHINGLE, simhash.RADIUS) == (4, 4)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 2000), st.floats(0.8, 1.0))
+def test_sketches_keep_what_is_similar(seed, n, similar):
+    """Sets of any size with the similarity agree enough; sets with nothing in common don't."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2**63, 3 * n, dtype=np.uint64)
+    common = int(np.ceil(similar * n))
+    a, b = x[:n], np.concatenate([x[n - common : n], x[n : n + max(0, int(common / similar) - n)]])
+    assert simhash.alike(simhash.sketch_of(a), simhash.sketch_of(np.tile(b, 2))[None], 0.8 if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) else 0.0)[0]
+    assert not simhash.alike(simhash.sketch_of(a), simhash.sketch_of(x[2 * n :])[None], 0.8)[0]
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2**32), st.integers(0, 6))
 def test_tiles_by_brute_force(seed, radius):
