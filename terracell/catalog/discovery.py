@@ -43,8 +43,14 @@ def collections_table(catalog: Catalog, theme_id: str) -> DataFrame:
     return collections(catalog, theme_id).join(version_lists(catalog.items, "collection_id", "version"), "collection_id", "left").withColumn("n_versions", F.coalesce("n_versions", F.lit(0))).orderBy("collection_id")
 
 
+def ids(df: DataFrame, key: str) -> DataFrame:
+    """The distinct values of a key, in order."""
+    return df.select(key).distinct().orderBy(key)
+
+
 def collection_ids(catalog: Catalog) -> DataFrame:
-    return catalog.collections.select("collection_id").distinct().orderBy("collection_id")
+    """All collections' ids, in order."""
+    return ids(catalog.collections, "collection_id")
 
 
 def version_key(version: Column) -> Column:

@@ -16,7 +16,7 @@ from terracell.catalog import products
 LICENSE = "CC-BY-4.0"
 ITEM_LINKS = ("cite-as", "about", "license")
 MEDIA_TYPES = {
-    "zarr": "application/vnd+zarr", "parquet": "application/vnd.apache.parquet", "netcdf": "application/x-netcdf",
+    "zarr": "application/vnd.zarr", "parquet": "application/vnd.apache.parquet", "netcdf": "application/x-netcdf",
     "cog": "image/tiff; application=geotiff; profile=cloud-optimized", "geotiff": "image/tiff; application=geotiff",
 }
 
@@ -105,6 +105,11 @@ def repeated(df: DataFrame, *key: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def tree(themes: DataFrame, collections: DataFrame, items: DataFrame) -> DataFrame:
+    """Each item with its collection and theme: the tree as one table (theme_id, collection_id, item_id, and other columns)."""
+    return themes.join(collections, "theme_id").join(items, "collection_id")
+
+
 def differing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys of one table only."""
     a, b = left.select(key).distinct(), right.select(key).distinct()

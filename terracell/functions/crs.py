@@ -187,8 +187,30 @@ class EqualAreaConic(Transform):
         return m.atan2(sign * u, sign * v) / n * (180 / math.pi) + self.lon0, _latitude(beta, e2, m) * (180 / math.pi)
 
 
+ELLIPSOIDS = {"WGS84": WGS84, "GRS80": GRS80}
+
+
+def described(text: str) -> Transform:
+    """The projection of a +proj string: longlat, laea, aea or utm, on WGS84 or GRS80, in metres."""
+    given = dict(x.lstrip("+").partition("=")[::2] for x in text.split() if x.startswith("+"))
+    number = lambda k: float(given.get(k, 0.0))
+    ellipsoid = ELLIPSOIDS.get(given.get("ellps", given.get("datum", "WGS84")))
+    if ellipsoid is not None and given.get("units", "m") == "m":
+        if given["proj"] == "longlat":
+            return Geographic()
+        if given["proj"] == "laea":
+            return EqualAreaAzimuthal(number("lat_0"), number("lon_0"), number("x_0"), number("y_0"))
+        if given["proj"] == "aea":
+            return EqualAreaConic(number("lat_1"), number("lat_2"), number("lat_0"), number("lon_0"), number("x_0"), number("y_0"), ellipsoid)
+        if given["proj"] == "utm":
+            return TransverseMercator(6.0 * int(given["zone"]) - 183, northing=10_000_000.0 if "south" in given else 0.0, ellipsoid=ellipsoid)
+    raise ValueError(f"no projection known for {text!r}")
+
+
 def named(crs: str) -> Transform:
-    """The projection of an EPSG code: 4326, 3035, 31977-31985 (SIRGAS 2000 / UTM, south), and the UTM zones of 258xx, 326xx and 327xx."""
+    """The projection of a +proj string, or of an EPSG code: 4326, 3035, 31977-31985 (SIRGAS 2000 / UTM, south), and the UTM zones of 258xx, 326xx and 327xx."""
+    if "+proj=" in crs:
+        return described(crs)
     m = re.fullmatch(r"(?:EPSG:)?(\d{4,5})", crs.strip(), re.IGNORECASE)
     code = int(m[1]) if m else 0
     if code == 4326:

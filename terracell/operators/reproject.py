@@ -14,14 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.cube import Cube
-from terracell.functions.crs import Transform, named
+from terracell.functions.crs import PLAIN, Transform, named
 from terracell.grid import GridSpec
 
 KERNELS = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
 AREA = ("average", "sum", "rms", "mode", "max", "min", "med", "q1", "q3")
 METHODS = ("nearest", *KERNELS, *AREA)
-#: Between CRSs, a source cell is cut into this many pieces along each axis for the area methods.
+#: Between CRSs, area methods cut source cells so that a cell (and a target cell, if that is smaller) has at least so many pieces along each axis.
 PARTS = 4
+#: Points along each axis of the source grid at which cell sizes are compared.
+PROBES = 9
 
 
 def kernel(method: str, d: Column) -> Column:
@@ -97,7 +99,7 @@ def reproject(cube: Cube, target: GridSpec, methods: str | dict[str, str] = "nea
     NULLs are left out and the other weights made to sum to 1; average, sum and rms weigh by overlap; mode is
     the value with most overlap, the smallest on a tie; max, min, med, q1 and q3 are of all cells that
     overlap, quartiles interpolated (between CRSs med, q1 and q3 count a cell once for each of its pieces, see
-    _sampled). dense: cells that nothing reaches are rows of NULLs (static cubes only).
+    _sampled, which leaves no gaps). dense: cells that nothing reaches are rows of NULLs (static cubes only).
     """
     table = {v: methods if isinstance(methods, str) else methods.get(v, "nearest") for v in cube.variables}
     for m in table.values():
@@ -132,15 +134,36 @@ def _gathered(rows: DataFrame, variables: list[str], method: str, keys: list[str
     return rows.groupBy(*keys).agg(*[_reduced(method, F.col(v), F.col("_w")).alias(v) for v in variables])
 
 
-def _sampled(cube: Cube, target: GridSpec, parts: int = PARTS) -> DataFrame:
-    """Source cells as parts * parts equal pieces, each in the target cell (of another CRS) that holds its centre.
+def pieces(source: GridSpec, target: GridSpec) -> int:
+    """Pieces of a source cell along each axis: PARTS, and as many times more as a source cell is longer than a target cell of another CRS.
+
+    Lengths are compared at PROBES by PROBES places of the source, on the driver.
+    """
+    back, to = named(source.crs), named(target.crs)
+    place = lambda u, v: to.point(*back.unproject(source.x0 + source.dx * u, source.y0 + source.dy * v, PLAIN))
+    most = 1.0
+    for i in range(PROBES):
+        for j in range(PROBES):
+            u, v = (source.width - 1) * i / (PROBES - 1), (source.height - 1) * j / (PROBES - 1)
+            try:
+                (x, y), *others = (place(u, v), place(u + 1, v), place(u, v + 1))
+            except (ValueError, ZeroDivisionError):  # not in the target's projection
+                continue
+            spans = [max(abs(a - x) / abs(target.dx), abs(b - y) / abs(target.dy)) for a, b in others]
+            most = max([most, *(r for r in spans if math.isfinite(r))])
+    return math.ceil(PARTS * most)
+
+
+def _sampled(cube: Cube, target: GridSpec) -> DataFrame:
+    """Source cells as equal pieces, each in the target cell (of another CRS) that holds its centre.
 
     A piece has the weight of its share of the source cell, so overlaps are exact up to pieces that an edge
-    cuts. No join and no lattice: a projection of the source's rows and an explode. A target cell that no
-    piece's centre falls into has no row, so targets much finer than the source want nearest or a kernel.
+    cuts. No join and no lattice: a projection of the source's rows and an explode. There are pieces enough
+    that each target cell within the source holds some, however fine it is.
     """
     s, back, to = cube.grid, named(cube.grid.crs), named(target.crs)
-    steps = F.array(*[F.lit((k + 0.5) / parts) for k in range(parts)])
+    parts = pieces(s, target)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: (k + 0.5) / parts)
     rows = cube.df.withColumnsRenamed({"ix": "_sx", "iy": "_sy"}).withColumn("_u", F.explode(steps)).withColumn("_v", F.explode(steps))
     lon, lat = back.inverse_columns(F.lit(s.x0) + F.lit(s.dx) * (F.col("_sx") + F.col("_u")), F.lit(s.y0) + F.lit(s.dy) * (F.col("_sy") + F.col("_v")))
     rows = rows.withColumns({"_lon": lon, "_lat": lat})

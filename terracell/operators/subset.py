@@ -13,6 +13,8 @@ from terracell.cube import Cube
 from terracell.functions.crs import Transform
 
 Ring = list[tuple[float, float]]
+#: Edges of a polygon up to which its test is one expression.
+EDGES = 64
 
 
 def bbox(cube: Cube, west: float, south: float, east: float, north: float) -> Cube:
@@ -24,35 +26,38 @@ def bbox(cube: Cube, west: float, south: float, east: float, north: float) -> Cu
     return cube.having(cube.df.where(F.col("ix").between(x1, x2) & F.col("iy").between(y1, y2)))
 
 
-def inside_ring(x: Column, y: Column, ring: Ring) -> Column:
-    """Even-odd rule: whether a ray to the right of (x, y) crosses the ring's edges an odd number of times."""
-    crossings = F.lit(0)
-    for (xa, ya), (xb, yb) in zip(ring, ring[1:] + ring[:1]):
-        if ya == yb:
-            continue
-        spans = (y < ya) != (y < yb) if ya < yb else (y < yb) != (y < ya)
-        at = F.lit(xa) + (y - ya) * F.lit((xb - xa) / (yb - ya))
-        crossings = crossings + (spans & (x < at)).cast("int")
-    return crossings % 2 == 1
+def inside(x: Column, y: Column, rings: list[Ring]) -> Column:
+    """Even-odd rule: whether a ray to the right of (x, y) crosses the rings' edges an odd number of times, so a ring inside another is a hole.
+
+    Few edges are an expression of their own; of more, an array that one function runs over.
+    """
+    edges = [(xa, ya, yb, (xb - xa) / (yb - ya)) for r in rings for (xa, ya), (xb, yb) in zip(r, r[1:] + r[:1]) if ya != yb]
+    crosses = lambda xa, ya, yb, slope: (((y < ya) != (y < yb)) & (x < xa + (y - ya) * slope)).cast("int")
+    if len(edges) <= EDGES:
+        return sum((crosses(*[F.lit(float(v)) for v in e]) for e in edges), F.lit(0)) % 2 == 1
+    columns = F.arrays_zip(*[F.lit([float(e[k]) for e in edges]).alias(n) for k, n in enumerate(("xa", "ya", "yb", "slope"))])
+    return F.aggregate(columns, F.lit(0), lambda n, e: n + crosses(e["xa"], e["ya"], e["yb"], e["slope"])) % 2 == 1
 
 
-def polygon(cube: Cube, rings: list[Ring], mask: bool = False, transform: Transform | None = None) -> Cube:
-    """Cells in the box around all rings; with mask, only those whose centre is inside one of them.
+def polygon(cube: Cube, rings: list[Ring] | list[list[Ring]], mask: bool = False, transform: Transform | None = None) -> Cube:
+    """Cells in the box around all rings; with mask, only those whose centre is inside.
 
-    Rings are (longitude, latitude) unless transform is None; it projects their corners to the cube's CRS.
+    rings: those of a polygon, holes included, or a list of polygons, which may overlap. They are (longitude,
+    latitude) unless transform is None; it projects their corners to the cube's CRS.
     """
-    if not rings or any(len(r) < 3 for r in rings):
+    polygons = rings if rings and rings[0] and isinstance(rings[0][0][0], (list, tuple)) else [rings]
+    if any(not p or any(len(r) < 3 for r in p) for p in polygons):
         raise ValueError("a polygon needs rings of three corners or more")
     if transform is not None:
-        rings = [[transform.point(*p) for p in r] for r in rings]
-    xs, ys = [p[0] for r in rings for p in r], [p[1] for r in rings for p in r]
+        polygons = [[[transform.point(*c) for c in r] for r in p] for p in polygons]
+    xs, ys = [c[0] for p in polygons for r in p for c in r], [c[1] for p in polygons for r in p for c in r]
     boxed = bbox(cube, min(xs), min(ys), max(xs), max(ys))
     if not mask:
         return boxed
     x, y = cube.grid.x(F.col("ix")), cube.grid.y(F.col("iy"))
-    hit = inside_ring(x, y, rings[0])
-    for r in rings[1:]:
-        hit = hit | inside_ring(x, y, r)
+    hit = inside(x, y, polygons[0])
+    for p in polygons[1:]:
+        hit = hit | inside(x, y, p)
     return boxed.having(boxed.df.where(hit))
 
 
@@ -106,6 +111,15 @@ def at_label(cube: Cube, label: object) -> Cube:
     return cube.having(cube.df.where(F.col(cube.time) == F.lit(label)).drop(cube.time), time=None)
 
 
+def at_index(cube: Cube, place: int) -> Cube:
+    """The slice at a place in the order of times (from 0; negative ones count from the last), without a time column."""
+    times = cube.df.select(cube.time).where(F.col(cube.time).isNotNull()).distinct()
+    first = times.orderBy(F.col(cube.time).asc() if place >= 0 else F.col(cube.time).desc()).limit(place + 1 if place >= 0 else -place).collect()
+    if len(first) < (place + 1 if place >= 0 else -place):
+        raise IndexError(f"no time slice {place}")
+    return at_label(cube, first[-1][0])
+
+
 def where(cube: Cube, condition: Column, other: object = None) -> Cube:
     """Variables where the condition holds, `other` elsewhere; all cells stay."""
     return cube.having(cube.df.withColumns({v: F.when(condition, F.col(v)).otherwise(F.lit(other)) for v in cube.variables}))

@@ -69,12 +69,12 @@ def item_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("item_id", "collection_id", "version")
 
 
-@query(f"""SELECT n_name || '_v' || v AS item_id, 'zarr_' || r AS asset_key, r AS resolution, 's3://data/' || n_name || '/' || n_name || '_v' || v || '_' || r || '.zarr' AS href
+@query(f"""SELECT n_name || '_v' || v AS item_id, 'zarr_' || r AS asset_key, r AS resolution, 's3://data/' || n_name || '/' || n_name || '_v' || v || '_' || r || '.zarr' AS href, 'application/vnd.zarr' AS media_type
   FROM nation, ({VERSIONS}) t(v), (VALUES ('10m'), ('100m')) s(r)""")
 def asset_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = spark.createDataFrame([("10m",), ("100m",)], "resolution string")
     res = collections(spark, sf_dir).select("collection_id").crossJoin(sizes)
-    return tables.assets_of(_items(spark, sf_dir), res, "s3://data").select("item_id", "asset_key", "resolution", "href")
+    return tables.assets_of(_items(spark, sf_dir), res, "s3://data").select("item_id", "asset_key", "resolution", "href", "media_type")
 
 
 @query("""SELECT p_partkey AS id, 'fine' AS resolution, p_brand AS name FROM part UNION ALL SELECT p_partkey, 'coarse', p_brand FROM part UNION ALL SELECT p_partkey, 'coarse', p_type FROM part""")
@@ -105,8 +105,9 @@ def dup_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT r_name, n_name, s_name FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey""")
 def tree_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
-    return r.join(n, F.col("n_regionkey") == F.col("r_regionkey")).join(s, F.col("s_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "s_name")
+    themes = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("theme_id"), "r_name")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("collection_id"), F.col("n_regionkey").alias("theme_id"), "n_name")
+    return tables.tree(themes, nations, table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("collection_id"), "s_name")).select("r_name", "n_name", "s_name")
 
 
 @query("""SELECT k, side FROM (SELECT c_custkey AS k, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_orderkey FROM orders)
@@ -135,7 +136,7 @@ def collections_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT DISTINCT p_brand AS collection_id FROM part""")
 def distinct_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_brand").alias("collection_id")).distinct().orderBy("collection_id")
+    return discovery.ids(table(spark, sf_dir, "part").select(F.col("p_brand").alias("collection_id")), "collection_id")
 
 
 @query("""SELECT version, CAST(row_number() OVER (ORDER BY CAST(split_part(version, '.', 1) AS INTEGER), CAST(split_part(version, '.', 2) AS INTEGER)) AS INTEGER) AS place

@@ -7,12 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracell.catalog.products import AMAZON_ALBERS
 from terracell.cube import Cube
 from terracell.functions.crs import GRS80, named
 from terracell.grid import GridSpec, cells_across, snapped_column
 from terracell.operators import coarsen as C
 from terracell.operators.merge import merge
-from terracell.operators.reproject import projected, reproject
+from terracell.operators.reproject import pieces, projected, reproject
 from terracell.plans.align import Aligner, methods_of
 from terracell.queries import query
 from terracell.queries.cubes import EVENT_CELLS, GRID, STATIC, event_cells, static, table
@@ -136,7 +137,7 @@ def resampling_per_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _laea_sql() -> str:
-    """The projection of EPSG:3035 from its published formulas, with its constants as numbers."""
+    """xy: pts (lon, lat, ...) with x, y of EPSG:3035, from its published formulas with its constants as numbers."""
     a, f = GRS80[0], 1 / GRS80[1]
     e2 = 2 * f - f * f
     e = math.sqrt(e2)
@@ -145,13 +146,15 @@ def _laea_sql() -> str:
     qp = q(1.0)
     b1, rq = math.asin(q(s0) / qp), a * math.sqrt(qp / 2)
     d = a * math.cos(math.radians(52)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b1))
-    return f"""pts AS (SELECT c_custkey, CAST((c_custkey % 400) / 10.0 - 10 AS DOUBLE) AS lon, CAST(35 + (c_custkey % 350) / 10.0 AS DOUBLE) AS lat FROM customer),
-      b AS (SELECT c_custkey, radians(lon - 10) AS l, asin({1 - e2!r}::DOUBLE * (sin(radians(lat)) / (1 - {e2!r}::DOUBLE * pow(sin(radians(lat)), 2)) - ln((1 - {e!r}::DOUBLE * sin(radians(lat))) / (1 + {e!r}::DOUBLE * sin(radians(lat)))) / {2 * e!r}::DOUBLE) / {qp!r}::DOUBLE) AS b FROM pts),
-      k AS (SELECT *, {rq!r}::DOUBLE * sqrt(2 / (1 + {math.sin(b1)!r}::DOUBLE * sin(b) + {math.cos(b1)!r}::DOUBLE * cos(b) * cos(l))) AS k FROM b)
-      SELECT c_custkey, round(4321000 + k * {d!r}::DOUBLE * cos(b) * sin(l), 2) AS x, round(3210000 + k / {d!r}::DOUBLE * ({math.cos(b1)!r}::DOUBLE * sin(b) - {math.sin(b1)!r}::DOUBLE * cos(b) * cos(l)), 2) AS y FROM k"""
+    return f"""b AS (SELECT *, radians(lon - 10) AS l, asin({1 - e2!r}::DOUBLE * (sin(radians(lat)) / (1 - {e2!r}::DOUBLE * pow(sin(radians(lat)), 2)) - ln((1 - {e!r}::DOUBLE * sin(radians(lat))) / (1 + {e!r}::DOUBLE * sin(radians(lat)))) / {2 * e!r}::DOUBLE) / {qp!r}::DOUBLE) AS b FROM pts),
+      k AS (SELECT *, {rq!r}::DOUBLE * sqrt(2 / (1 + {math.sin(b1)!r}::DOUBLE * sin(b) + {math.cos(b1)!r}::DOUBLE * cos(b) * cos(l))) AS k FROM b),
+      xy AS (SELECT *, 4321000 + k * {d!r}::DOUBLE * cos(b) * sin(l) AS x, 3210000 + k / {d!r}::DOUBLE * ({math.cos(b1)!r}::DOUBLE * sin(b) - {math.sin(b1)!r}::DOUBLE * cos(b) * cos(l)) AS y FROM k)"""
 
 
-@query(f"WITH {_laea_sql()}")
+_POINTS = "pts AS (SELECT c_custkey, CAST((c_custkey % 400) / 10.0 - 10 AS DOUBLE) AS lon, CAST(35 + (c_custkey % 350) / 10.0 AS DOUBLE) AS lat FROM customer)"
+
+
+@query(f"WITH {_POINTS}, {_laea_sql()} SELECT c_custkey, round(x, 2) AS x, round(y, 2) AS y FROM xy")
 def crs_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 400) / 10.0 - 10).alias("lon"), (35 + (F.col("c_custkey") % 350) / 10.0).alias("lat"))
     return projected(points, named("EPSG:3035")).select("c_custkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
@@ -182,3 +185,85 @@ def align_coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merge_no_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = static(spark, sf_dir)
     return merge([cube.having(cube.df.where("iy < 20").select("iy", "ix", "v")), cube.having(cube.df.where("iy >= 10"))]).df
+
+
+#: A lattice of degrees, and one of 20 km under it.
+DEGREES = GridSpec("EPSG:4326", 4.0, 46.0, 0.25, 0.25, 32, 32)
+METRES = GridSpec("EPSG:3035", 3_900_000.0, 2_500_000.0, 20_000.0, 20_000.0, 40, 40)
+#: A lattice as fine as a fifth of a degree's cell, within its middle.
+FINE_METRES = GridSpec("EPSG:3035", 4_200_000.0, 2_900_000.0, 5_000.0, 5_000.0, 32, 32)
+
+
+def _on(spark: SparkSession, sf_dir: str, grid: GridSpec) -> Cube:
+    cube = static(spark, sf_dir).select("v")
+    return cube.having(cube.df, grid=grid)
+
+
+@query(f"""WITH {STATIC}, pts AS (SELECT ix, iy, 4 + 0.25::DOUBLE * (ix + 0.5) AS lon, 46 + 0.25::DOUBLE * (iy + 0.5) AS lat FROM range(32) a(ix), range(32) b(iy)), {_laea_sql()}
+  SELECT xy.iy, xy.ix, s.v FROM xy JOIN static s ON s.ix = CAST(floor((x - 3900000) / 20000) AS BIGINT) AND s.iy = CAST(floor((y - 2500000) / 20000) AS BIGINT)""")
+def reproject_across_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reproject(_on(spark, sf_dir, METRES), DEGREES, "nearest").df
+
+
+def _across(name: str, method: str, grid: GridSpec, sql: str) -> None:
+    n = pieces(DEGREES, grid)
+    pts = f"""pts AS (SELECT v, 4 + 0.25::DOUBLE * (ix + (i + 0.5) / {n}::DOUBLE) AS lon, 46 + 0.25::DOUBLE * (iy + (j + 0.5) / {n}::DOUBLE) AS lat FROM static, range({n}) a(i), range({n}) b(j))"""
+    cells = f"""cells AS (SELECT CAST(floor((x - {grid.x0}) / {grid.dx}) AS BIGINT) AS ix, CAST(floor((y - {grid.y0}) / {grid.dy}) AS BIGINT) AS iy, v FROM xy)"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return reproject(_on(spark, sf_dir, DEGREES), grid, method).df.withColumn("v", _whole("v"))
+
+    query(f"WITH {STATIC}, {pts}, {_laea_sql()}, {cells} SELECT iy, ix, CAST(floor({sql} + 0.314) AS BIGINT) AS v FROM cells WHERE ix BETWEEN 0 AND {grid.width - 1} AND iy BETWEEN 0 AND {grid.height - 1} GROUP BY 1, 2", name)(run)
+
+
+_across("reproject_across_average", "average", METRES, "avg(CAST(v AS DOUBLE))")
+_across("reproject_across_max", "max", METRES, "max(v)")
+_across("reproject_across_finer", "average", FINE_METRES, "avg(CAST(v AS DOUBLE))")
+
+
+def _albers_sql() -> str:
+    """The projection of AMAZON_ALBERS from its published formulas, with its constants as numbers."""
+    a, f = GRS80[0], 1 / GRS80[1]
+    e2 = 2 * f - f * f
+    e = math.sqrt(e2)
+    q = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+    m = lambda v: math.cos(math.radians(v)) / math.sqrt(1 - e2 * math.sin(math.radians(v)) ** 2)
+    q1, q2, q0 = (q(math.sin(math.radians(v))) for v in (-2, -22, -12))
+    n = (m(-2) ** 2 - m(-22) ** 2) / (q2 - q1)
+    c = m(-2) ** 2 + n * q1
+    s = "sin(radians(lat))"
+    return f"""pts AS (SELECT c_custkey, CAST((c_custkey % 300) / 10.0 - 70 AS DOUBLE) AS lon, CAST((c_custkey % 250) / 10.0 - 20 AS DOUBLE) AS lat FROM customer),
+      p AS (SELECT c_custkey, {n!r}::DOUBLE * radians(lon + 54) AS t, {a!r}::DOUBLE * sqrt({c!r}::DOUBLE - {n!r}::DOUBLE * {1 - e2!r}::DOUBLE * ({s} / (1 - {e2!r}::DOUBLE * {s} * {s}) - ln((1 - {e!r}::DOUBLE * {s}) / (1 + {e!r}::DOUBLE * {s})) / {2 * e!r}::DOUBLE)) / {n!r}::DOUBLE AS rho FROM pts)
+      SELECT c_custkey, round(5000000 + rho * sin(t), 2) AS x, round(10000000 + {a * math.sqrt(c - n * q0) / n!r}::DOUBLE - rho * cos(t), 2) AS y FROM p"""
+
+
+@query(f"WITH {_albers_sql()}")
+def crs_albers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 300) / 10.0 - 70).alias("lon"), ((F.col("c_custkey") % 250) / 10.0 - 20).alias("lat"))
+    return projected(points, named(AMAZON_ALBERS)).select("c_custkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
+
+
+def lattice_of_lines(spark: SparkSession, sf_dir: str) -> Cube:
+    """(iy, ix, v in cents): line items by order and line, a lattice that grows with the table."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    df = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ix"), F.col("l_linenumber").cast("bigint").alias("iy")).agg(F.sum(cents).alias("v"))
+    return Cube(df, GridSpec("EPSG:3035", 0.0, 0.0, 1.0, 1.0, 1 << 40, 8))
+
+
+_LINES = "lines AS (SELECT l_orderkey AS ix, CAST(l_linenumber AS BIGINT) AS iy, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS v FROM lineitem GROUP BY 1, 2)"
+
+
+@query(f"WITH {_LINES} SELECT iy // 4 AS iy, ix // 4 AS ix, CAST(sum(v) AS BIGINT) AS v FROM lines GROUP BY 1, 2")
+def coarsen_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.coarsen(lattice_of_lines(spark, sf_dir), 4, "sum").df
+
+
+@query(f"WITH {_LINES} SELECT t.iy, t.ix, s.v FROM (SELECT * FROM range(4) a(iy), (SELECT unnest(range((SELECT max(ix) // 2 + 1 FROM lines))) AS ix)) t JOIN lines s ON s.iy = t.iy * 2 + 1 AND s.ix = t.ix * 2 + 1")
+def reproject_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reproject(lattice_of_lines(spark, sf_dir), GridSpec("EPSG:3035", 0.0, 0.0, 2.0, 2.0, 1 << 39, 4), "nearest").df
+
+
+@query(f"WITH {_LINES} SELECT iy, ix, v, CASE WHEN iy >= 3 THEN v % 7 END AS w FROM lines")
+def merge_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = lattice_of_lines(spark, sf_dir)
+    return merge([cube, cube.having(cube.df.where("iy >= 3").select("iy", "ix", (F.col("v") % 7).alias("w")))]).df

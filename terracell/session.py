@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -33,3 +34,9 @@ def importable(spark: SparkSession) -> SparkSession:
     if home not in there:
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, there)])
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name below spark.checkpoint.dir, which all executors see; where that is unset (local sessions), below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    return f"{root.rstrip('/')}/terracell/{name}-{uuid.uuid4().hex}"

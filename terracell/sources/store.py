@@ -1,7 +1,8 @@
 """Cubes as Parquet: written by chunk and time slice, opened through the catalog.
 
-A cube's folder holds `data` (partitioned by time, sorted by chunk) and `cube` (one JSON row with the grid and
-attributes). Chunk columns cy, cx stand in the data, so that a box reads the row groups of its chunks only.
+A cube's folder holds `data` (layers in time, partitioned by it), `static` (layers without time), or both, sorted
+by chunk, and `cube` (one JSON row with the grid, the attributes, and which of the two there are). Chunk columns
+cy, cx stand in the data, so that a box reads the row groups of its chunks only.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +26,37 @@ def chunked(cube: Cube, chunk: tuple[int, int]) -> DataFrame:
 
 
 def write(cube: Cube, path: str, chunk: tuple[int, int] = (2048, 2048), append: bool = False) -> None:
-    """Writes a cube, or with append the time slices that it has.
+    """Writes a cube in place of what is there, or with append adds the layers that it has.
 
-    Rows are range-partitioned by chunk, so each file covers few chunks. Appending replaces the slices that the
-    cube has and leaves the others, so a slice that is written again isn't there twice. Time slices appended
-    to a cube without time become its layers beside the static ones.
+    Rows are range-partitioned by chunk, so each file covers few chunks. Appending time slices replaces those
+    that the cube has and leaves the others, so a slice that is written again isn't there twice; appending a cube
+    without time replaces the static layers. Static and time layers stand beside each other, whichever came first.
+    ValueError if an appended cube has another grid, or another time column than the slices that are there.
     """
-    spark = cube.df.sparkSession
+    spark, name = cube.df.sparkSession, "data" if cube.time else "static"
+    old = _description(spark, path) if append else None
+    if old and (GridSpec(**old["grid"]) != cube.grid or cube.time and old["time"] not in (None, cube.time)):
+        raise ValueError(f"the cube at {path} has another grid or time column")
+    more = bool(old) and name in old["tables"]
     rows = chunked(cube, chunk)
     order = [*([cube.time] if cube.time else []), "cy", "cx"]
     writer = rows.repartitionByRange(*order).sortWithinPartitions(*order, "iy", "ix").write.option("compression", "zstd")
     if cube.time:
-        writer = writer.partitionBy(cube.time).option("partitionOverwriteMode", "dynamic" if append else "static")
-    writer.mode("overwrite").parquet(f"{path}/{'data' if cube.time or not append else 'static'}")
-    if not append:
-        meta = json.dumps({"grid": asdict(cube.grid), "time": cube.time, "attributes": kept(cube.attributes), "chunk": chunk})
-        spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/cube")
+        writer = writer.partitionBy(cube.time).option("partitionOverwriteMode", "dynamic" if more else "static")
+    writer.mode("overwrite").parquet(f"{path}/{name}")
+    if not more:
+        was = old or {"tables": [], "time": None, "attributes": {}, "chunk": chunk}
+        meta = {"grid": asdict(cube.grid), "time": cube.time or was["time"], "attributes": {**was["attributes"], **kept(cube.attributes)}, "chunk": was["chunk"], "tables": sorted({*was["tables"], name})}
+        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/cube")
+
+
+def _description(spark: SparkSession, path: str) -> dict | None:
+    try:
+        return json.loads(spark.read.text(f"{path}/cube").first()[0])
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def write_all(cubes: dict[str, Cube], base: str, chunks: dict[str, tuple[int, int]] | None = None) -> dict[str, str]:
@@ -51,13 +68,27 @@ def write_all(cubes: dict[str, Cube], base: str, chunks: dict[str, tuple[int, in
 
 
 def read(spark: SparkSession, path: str, variables: list[str] | None = None) -> Cube:
-    """The cube at a path, with the variables asked for; nothing but its description is read yet."""
-    meta = json.loads(spark.read.text(f"{path}/cube").first()[0])
-    df = spark.read.parquet(f"{path}/data")
-    if meta["time"] and dict(df.dtypes)[meta["time"]] in ("date", "timestamp", "string"):
-        df = df.withColumn(meta["time"], F.col(meta["time"]).cast("timestamp_ntz"))
-    cube = Cube(df.drop("cy", "cx"), GridSpec(**meta["grid"]), meta["time"], meta["attributes"])
-    return cube.select(*variables) if variables else cube
+    """The cube at a path, with the variables asked for; nothing but its description is read yet.
+
+    Static layers stand beside each time slice of their cell; a cell that only they have is one row without a time.
+    Where the variables asked for are all static or all in time, only that table is read.
+    """
+    meta = _description(spark, path)
+    if meta is None:
+        raise FileNotFoundError(f"no cube at {path}")
+    cubes = {}
+    for name in meta["tables"]:
+        df, time = spark.read.parquet(f"{path}/{name}"), meta["time"] if name == "data" else None
+        if time and dict(df.dtypes)[time] in ("date", "timestamp", "string"):
+            df = df.withColumn(time, F.col(time).cast("timestamp_ntz"))
+        cubes[name] = Cube(df.drop("cy", "cx"), GridSpec(**meta["grid"]), time, meta["attributes"])
+    for cube in cubes.values():
+        if len(cubes) == 1 or variables and set(variables) <= set(cube.variables):
+            return cube.select(*variables) if variables else cube
+    data, static = cubes["data"], cubes["static"]
+    own = [v for v in static.variables if v not in data.variables]  # of layers of one name, those in time count
+    both = data.having(data.df.join(static.df.select("iy", "ix", *own), ["iy", "ix"], "full_outer"))
+    return both.select(*variables) if variables else both
 
 
 def open_item(spark: SparkSession, catalog: Catalog, collection: str, version: str, resolution: str | None = None, variables: list[str] | None = None, asset_key: str = "zarr", region: str | None = None) -> Cube:

@@ -68,6 +68,7 @@ def test_broken_references(spark, catalog):
 def test_tree_of_files(spark, catalog, tmp_path):
     n = tables.written(tables.documents(catalog, f"file://{tmp_path}"))
     assert n == 1 + 5 + 17 + 25
+    assert {r["media_type"] for r in catalog.assets.collect()} == {"application/vnd.zarr"}
     root = json.loads((tmp_path / "catalog.json").read_text())
     assert len(root["links"]) == 5
     item = json.loads(next(tmp_path.glob("als-lidar/ALS_PRODUCTS/ALS_PRODUCTS_SPAIN_v1.0/item.json")).read_text())
@@ -130,6 +131,27 @@ def test_store_and_slices(spark, tmp_path, catalog):
             store.open_item(spark, own, *bad)
 
 
+def test_static_and_time_layers(spark, tmp_path):
+    static = Cube(spark.createDataFrame([(y, x, y + x) for y in range(4) for x in range(4)], "iy long, ix long, s int"), GRID, None, {"a": 1})
+    slices = Cube(spark.createDataFrame([(y, x, t, t) for t in (1, 2) for y in range(2) for x in range(4)], "iy long, ix long, t int, v int"), GRID, "t", {"b": 2})
+    for name, (first, then) in {"x": (static, slices), "y": (slices, static)}.items():
+        path = str(tmp_path / name)
+        store.write(first, path, (2, 2))
+        store.write(then, path, (2, 2), append=True)
+        store.write(then, path, (2, 2), append=True)
+        back = store.read(spark, path)
+        rows = sorted((r["iy"], r["ix"], r["t"] or 0, r["v"], r["s"]) for r in back.df.collect())
+        assert back.time == "t" and back.attributes == {"a": 1, "b": 2} and len(rows) == 16 + 8
+        assert rows == sorted([(y, x, t, t, y + x) for t in (1, 2) for y in range(2) for x in range(4)] + [(y, x, 0, None, y + x) for y in (2, 3) for x in range(4)])
+        assert store.read(spark, path, ["s"]).time is None and store.read(spark, path, ["s"]).df.count() == 16 and store.read(spark, path, ["v"]).df.count() == 16
+        store.write(static, path, (2, 2))
+        assert store.read(spark, path).variables == ["s"]
+    with pytest.raises(ValueError, match="another grid"):
+        store.write(Cube(static.df, GridSpec("EPSG:4326", 0.0, 0.0, 2.0, 2.0, 4, 4)), path, append=True)
+    with pytest.raises(FileNotFoundError):
+        store.read(spark, str(tmp_path / "nowhere"))
+
+
 def test_stream_of_slices(spark, tmp_path):
     source, target = tmp_path / "in", tmp_path / "out"
     df = spark.createDataFrame([(0, 0, 2001, 5), (0, 1, 2001, 6)], "iy long, ix long, yr int, v int")

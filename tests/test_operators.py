@@ -260,3 +260,41 @@ def test_box_reaches_the_scan(spark, tmp_path):
     write(square(spark), str(tmp_path / "c"), (2, 2))
     plan = subset.bbox(read(spark, str(tmp_path / "c")), 0, 0, 2, 2).df._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "LessThanOrEqual(ix,1)" in plan
+
+
+def test_polygons_with_holes_and_many_edges(spark):
+    import math
+
+    from terracell.operators import subset
+
+    grid = GridSpec("EPSG:4326", 0.0, 0.0, 1.0, 1.0, 10, 10)
+    cube = Cube(grid.lattice(spark).withColumn("v", F.lit(1)), grid)
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    cells = lambda c: {(r["iy"], r["ix"]) for r in c.df.collect()}
+    box = lambda a, b: {(y, x) for y in range(a, b) for x in range(a, b)}
+    assert cells(subset.polygon(cube, [square(1, 9), square(3, 6)], mask=True)) == box(1, 9) - box(3, 6)
+    assert cells(subset.polygon(cube, [[square(1, 5)], [square(3, 8)]], mask=True)) == box(1, 5) | box(3, 8)
+    circle = [(5 + 4 * math.cos(k / 500 * math.tau), 5 + 4 * math.sin(k / 500 * math.tau)) for k in range(500)]
+    assert cells(subset.polygon(cube, [circle], mask=True)) == {(y, x) for y in range(10) for x in range(10) if (x - 4.5) ** 2 + (y - 4.5) ** 2 < 16}
+    times = Cube(spark.createDataFrame([(0, 0, t, t * t) for t in (3, 5, 9)], "iy long, ix long, t int, v int"), grid, "t")
+    assert [subset.at_index(times, k).df.first()["v"] for k in (0, 1, -1)] == [9, 25, 81]
+    with pytest.raises(IndexError):
+        subset.at_index(times, 3)
+
+
+def test_area_methods_between_crss_leave_no_gaps(spark):
+    from terracell.catalog.products import AMAZON_ALBERS
+    from terracell.functions.crs import named
+    from terracell.operators.reproject import pieces, reproject
+
+    source = GridSpec("EPSG:4326", 9.5, 51.5, 0.1, 0.1, 10, 10)
+    cube = Cube(source.lattice(spark).withColumn("v", F.lit(7.0)), source)
+    target = GridSpec("EPSG:3035", 4_310_000.0, 3_200_000.0, 1000.0, 1000.0, 20, 20)
+    for method in ("average", "max", "mode"):
+        rows = reproject(cube, target, method).df.collect()
+        assert len(rows) == 400 and all(r["v"] == pytest.approx(7.0) for r in rows)
+    assert pieces(source, target) >= 40 and pieces(source, GridSpec("EPSG:3035", 4e6, 3e6, 1e5, 1e5, 9, 9)) == 4
+    x, y = named(AMAZON_ALBERS).point(-54.0, -12.0)
+    assert (round(x, 3), round(y, 3)) == (5_000_000.0, 10_000_000.0)
+    with pytest.raises(ValueError):
+        named("+proj=merc +ellps=WGS84")
