@@ -220,19 +220,21 @@ def similar_links(bits: np.ndarray, side: np.ndarray | None, sets: list[np.ndarr
     side: only texts of different sides are compared; None: all. Each pair is compared, unless links already
     connect it.
     """
-    parent, size, out = np.arange(len(bits)), np.array([len(x) for x in sets]), []
+    label, size, out = np.arange(len(bits)), np.array([len(x) for x in sets]), []
     for i in range(len(bits) - 1):
-        near = np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= radius
+        near = label[i + 1 :] != label[i]
+        near &= np.bitwise_count(bits[i + 1 :] ^ bits[i]) <= radius
         near &= np.minimum(size[i + 1 :], size[i]) >= similar * np.maximum(size[i + 1 :], size[i])
         if side is not None:
             near &= side[i + 1 :] != side[i]
-        for j in (np.flatnonzero(near) + i + 1).tolist():
-            if roots(parent, np.array([i]))[0] == roots(parent, np.array([j]))[0]:
-                continue
+        waiting = np.flatnonzero(near) + i + 1
+        while len(waiting):
+            j, waiting = int(waiting[0]), waiting[1:]
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if both >= similar * (size[i] + size[j] - both):
-                unite(parent, np.array([i]), np.array([j]))
+                label[label == label[j]] = label[i]
                 out.append((i, j))
+                waiting = waiting[label[waiting] != label[i]]
     found = np.array(out, np.int64).reshape(-1, 2)
     return found[:, 0], found[:, 1]
 

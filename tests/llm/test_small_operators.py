@@ -297,6 +297,30 @@ def test_near_duplicates_are_verified(spark):
     assert (corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.SIMILAR) == (5, 0.8) and (simhash.SHINGLE, simhash.RADIUS) == (4, 4)
 
 
+@pytest.mark.parametrize("n, drift, sided", [(0, False, False), (120, True, False), (120, True, True), (120, False, True), (3000, False, False)])
+def test_links_of_a_hot_group(n, drift, sided):
+    """Chains and thousands of near copies: links connect what all pairs of similar texts connect."""
+    rng = np.random.default_rng(n)
+    base, sets = rng.integers(0, 2**63, 200, dtype=np.uint64), []
+    for _ in range(n):
+        own = base.copy()
+        own[rng.integers(0, 200, 6)] = rng.integers(0, 2**63, 6, dtype=np.uint64)
+        base = own if drift else base
+        sets.append(np.unique(own))
+    prints = np.array([simhash.print_of(x) for x in sets], np.uint64)
+    side = (np.arange(n) % 2).astype(np.int8) if sided else None
+    i, j = simhash.similar_links(prints, side, sets, 14, 0.8)
+    assert len(i) <= max(n - 1, 0)
+    label = np.arange(n)
+    for a, b in zip(i, j):
+        assert len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) and (side is None or side[a] != side[b])
+        label[label == label[b]] = label[a]
+    for a in range(min(n, 120)):
+        near = np.flatnonzero(np.bitwise_count(prints ^ prints[a]) <= 14)
+        near = [b for b in near if (side is None or side[a] != side[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))]
+        assert all(label[b] == label[a] for b in near)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 2**32), st.integers(1, 2000), st.floats(0.8, 1.0))
 def test_sketches_keep_what_is_similar(seed, n, similar):
