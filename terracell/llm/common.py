@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,6 +16,9 @@ from terracell.session import importable
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch. Documents can be long, so batches are kept short.
 BATCH_ROWS = 500
+#: Least and most bits (as powers of two) of the filters that spare rows; those that pass are joined, so a full
+#: filter costs time, not results.
+FILTER_BITS = (20, 30)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +109,28 @@ def running_total(df: DataFrame, order: str, value: str, out: str, block: int =
     return df.withColumn("_b", F.expr(f"`{order}` div {block}")).withColumn("_in", inner).join(blocks, "_b").withColumn(out, F.col("_in") + F.col("_before")).drop("_b", "_in", "_before")
 
 
+def bit_filter(df: DataFrame, column: str, n: int) -> tuple[np.ndarray, int]:
+    """A map of the low bits that occur in a column of n hashes, about 16 bits a row within FILTER_BITS, and its width.
+
+    The most is 128 MB on the driver and in each worker; beyond some 1e8 rows more rows pass and are joined.
+    """
+    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
+    low = F.col(column).bitwiseAND((1 << bits) - 1)
+    block = 1 << 15
+    rows = df.groupBy((low / block).cast("long").alias("block")).agg(F.bitmap_construct_agg((low % block).cast("long")).alias("map")).toLocalIterator()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in rows:
+        out[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(bytes(r["map"]), np.uint8)[: block // 8]
+    return out, bits
+
+
+def among(filter_: tuple[np.ndarray, int], x: np.ndarray) -> np.ndarray:
+    """Which unsigned hashes may be in the filter's column; all that are in it pass."""
+    table, bits = filter_
+    at = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def components(edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
     """(node, root): each node of the edges (a, b) with the least node that links lead to.
 

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from terracell.llm.common import carried, components, ranked, written
+from terracell.llm.common import among, bit_filter, carried, components, ranked, written
 
 BITS, RADIUS, SHINGLE, TILE = 64, 4, 4, 32768
 #: Beyond this radius nearly all cells of quarter counts are near each other, and tiles are compared as they are.
@@ -283,7 +283,14 @@ def verified_links(signed: DataFrame, shingle: int, radius: int, similar: float,
     same = nodes.groupBy("bits").count().where("count > 1").select(F.concat(F.lit("="), F.col("bits").cast("string")).alias("pair"), "bits", F.lit(-1).alias("side"))
     asked = _dealt(near.unionByName(same).join(nodes, "bits")).applyInPandas(sketched, "pair string, bits long, key long, side int")
     asked = written(asked, f"{name}-asked")
-    texts = signed.join(asked.select("bits", "key").distinct(), ["bits", "key"]).select("bits", "key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["bits", "key"])
+    keys = asked.select("key").distinct()
+    some = signed.sparkSession.sparkContext.broadcast(bit_filter(keys, "key", keys.count()))
+
+    @F.arrow_udf("boolean")
+    def waited_for(key: pa.Array) -> pa.Array:
+        return pa.array(among(some.value, key.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    texts = signed.where(waited_for("key")).select("bits", "key", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["bits", "key"])
     return _dealt(asked.join(texts, ["bits", "key"])).applyInPandas(verify, "a long, b long")
 
 

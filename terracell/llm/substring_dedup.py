@@ -19,14 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm.common import written
+from terracell.llm.common import among, bit_filter, written
 
 WINDOW, GRAM = 35, 8
 #: Batches in which a table enters the index, and runs that it keeps before they are merged into one.
 BATCHES, FANOUT = 4, 2
-#: Least and most bits (as powers of two) of the filters that spare rows; those that pass are joined, so a full
-#: filter costs time, not results.
-FILTER_BITS = (20, 30)
 #: Bytes of text that are hashed at a time (a longer text is taken alone).
 PIECE = 1 << 21
 #: Words of more bytes are hashed one by one.
@@ -190,27 +187,6 @@ class FingerprintIndex:
         self.runs = [written(merged.groupBy("print").agg(F.sum("n").alias("n")).sortWithinPartitions("print"), f"{name}-compacted")]
 
 
-def bit_filter(df: DataFrame, column: str, n: int) -> tuple[np.ndarray, int]:
-    """A map of the low bits that occur in a column of n rows, about 16 bits a row within FILTER_BITS, and its width.
-
-    The most is 128 MB on the driver and in each worker; beyond some 1e8 rows more windows pass and are joined.
-    """
-    bits = min(max((16 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
-    low = F.col(column).bitwiseAND((1 << bits) - 1)
-    block = 1 << 15
-    rows = df.groupBy((low / block).cast("long").alias("block")).agg(F.bitmap_construct_agg((low % block).cast("long")).alias("map")).toLocalIterator()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in rows:
-        out[r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(bytes(r["map"]), np.uint8)[: block // 8]
-    return out, bits
-
-
-def _among(filter_: tuple[np.ndarray, int], x: np.ndarray) -> np.ndarray:
-    table, bits = filter_
-    at = (x & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-
 def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: str = "substring") -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for docs (doc_id, text): kept has the words that stay, joined by a space, as binary.
 
@@ -228,7 +204,7 @@ def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: st
         for b in batches:
             for _, _, texts in groups(b.column(1)):
                 w = Windows(texts, window)
-                some = _among(near.value, w.fingerprints()[0])
+                some = among(near.value, w.fingerprints()[0])
                 x, y = w.digests() if some.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 (x, y), n = _tally(x[some[: len(x)]], y[some[: len(y)]])
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n)], ["x", "y", "n"])
@@ -240,11 +216,11 @@ def removed(docs: DataFrame, suspects: DataFrame, window: int = WINDOW, name: st
         for b in batches:
             for start, stop, texts in groups(b.column(1)):
                 w = Windows(texts, window)
-                some = _among(near.value, w.fingerprints()[0])
+                some = among(near.value, w.fingerprints()[0])
                 if some.any():
                     ids = np.array([d or 0 for d in b.column(0)[start:stop].to_pylist()], np.int64)
                     x, y = w.digests()
-                    some &= _among(twice.value, x.view(np.uint64))
+                    some &= among(twice.value, x.view(np.uint64))
                     at = w.starts[some]
                     doc = w.doc[at]
                     yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(y[some]), pa.array(w.keys()[doc]), pa.array(ids[doc]), pa.array((at - w.begin[doc]).astype(np.int32))], ["x", "y", "k", "d", "at"])
