@@ -17,6 +17,9 @@ from terracell.llm.tokens import encoder, merged, text_groups
 SEQUENCE = 1024
 #: Rows of a range-sorted partition that one task sweeps, about.
 SWEEP = 1_000_000
+#: Pieces that the encoder remembers in a generation, and bytes of text it takes at a time: packing leaves memory to
+#: the stages that run before it in the same workers. Only speed and memory depend on these.
+MEMO, GROUP = 400_000, 1 << 22
 
 
 def cut(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -35,10 +38,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, most: int = SEQUENC
     names = [x.split()[0] for x in schema.split(", ")]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
-        for b in merged(batches, 1):
+        own = encoder(tokenizer, MEMO)
+        for b in merged(batches, 1, GROUP):
             doc_ids, texts = b.column(0).cast(pa.int64()).combine_chunks(), b.column(1).to_pylist()
-            for x, y in text_groups(texts):
+            for x, y in text_groups(texts, GROUP):
                 flat, counts = own.flat(texts[x:y], end_id)
                 doc, piece, start, length = cut(counts, most)
                 raw, ends = memoryview(flat.tobytes()), np.cumsum(4 * length).tolist()

@@ -163,14 +163,14 @@ def text_groups(texts: list[str | None], least: int = GROUP) -> Iterator[tuple[i
             start, size = k + 1, 0
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """The worker's encoder for a file and a memo's size; it lives as long as the worker."""
+    if (path, memo) not in _ENCODERS:
+        _ENCODERS[path, memo] = Encoder(path, memo)
+    return _ENCODERS[path, memo]
 
 
 def end_id_bytes(end_id: int) -> bytes:
