@@ -40,13 +40,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/terracell/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written_to(df: DataFrame, path: str) -> DataFrame:
     """df as a written and reread table: its lineage ends there, and what a lost executor held is read again."""
-    path = shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """written_to() a fresh folder, which stays."""
+    return written_to(df, shared_dir(df.sparkSession, name))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a folder made by shared_dir once nothing reads it any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,8 +74,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, rank: str = "rank") -> DataFrame:
-    """df with the 0-based rank of each row among the rows of the same keys.
+def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, rank: str = "rank", total: str | None = None) -> DataFrame:
+    """df with the 0-based rank of each row among the rows of the same keys, and in total (if named) how many these are.
 
     Rows are range-sorted, so that a key with a third of all rows is spread over many partitions. A small
     table of row counts by (key, partition) gives each partition the rank that it starts from; only then each
@@ -84,6 +88,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], name: str, rank: st
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_part").alias("_p"),
         F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
+        *([F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []),
     )
     own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
     same = F.col("_part") == F.col("_p")

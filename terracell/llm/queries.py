@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.llm import chat, embedding_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, tokens
+from terracell.llm import chat, embedding_dedup, infill, line_dedup, manifest, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, tokens
 from terracell.llm.common import n_words, table, tuned
 
 END_ID = 2
@@ -69,11 +69,34 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(parts, name="op10").select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op11_merkle_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest, and what its proofs make of a copy of the table in which some texts were lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    text, upper = F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, F.translate(text, upper, upper.lower())).otherwise(text)
+    columns = [changed if c == "text" else F.col(c) for c in manifest.COLUMNS]
+    rows = manifest.manifest(docs, also={"tampered": manifest.digest(*columns)}, name="op11")
+    rows = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("proof")), 256).alias("proof_sha256"), manifest.folded(F.col("tampered"), F.col("proof")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_bloom_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"), name="op12")
+    return rows.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op13_duckdb_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = infill.transformed(table(tuned(spark), sf_dir, "documents").select("doc_id", "text"))
+    out, form = F.col("infill.output"), F.col("infill.form")
+    return rows.select("doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars", F.sha2(out, 256).alias("output_sha256"), F.sha2(infill.restored(out, form), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_naive_bayes_svm, op2_compression_bands, op3_systematic_mix, op4_window_index, op5_simhash_tiles,
         op6_cap_filters, op7_snapshot_collapse, op8_ranked_varbyte, op9_candidate_boosting, op10_best_fit,
+        op11_merkle_buckets, op12_bloom_lines, op13_duckdb_infill,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_window_index": substring_dedup.ORACLE_SQL, "op7_snapshot_collapse": chat.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_window_index": substring_dedup.ORACLE_SQL, "op7_snapshot_collapse": chat.ORACLE_SQL, "op11_merkle_buckets": manifest.ORACLE_SQL, "op12_bloom_lines": line_dedup.ORACLE_SQL, "op13_duckdb_infill": infill.ORACLE_SQL}
