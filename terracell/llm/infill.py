@@ -7,11 +7,13 @@ id alone, so reruns, retries and other partitionings give the same rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +97,7 @@ def transformed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", for
                 con.register("batch", table)
                 got = con.sql(query).to_arrow_table()
                 con.unregister("batch")
-                got = got.take(pa.compute.sort_indices(got["i"]))
+                got = got.take(pc.sort_indices(got["i"]))
                 cols = [got[n].combine_chunks().cast(t) for n, t, _ in FIELDS]
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.StructArray.from_arrays(cols, names)], ["_row", "_out"])
 
@@ -107,7 +109,7 @@ def transformed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", for
 
 def restored(output: Column, form: Column, forms: Forms = Forms()) -> Column:
     """The text that an output of a form was made of: exact, as cut texts hold none of the marks."""
-    parts = F.split(output, "|".join(r"\Q" + m + r"\E" for m in forms.marks), -1)
+    parts = F.split(output, "|".join(map(re.escape, forms.marks)), -1)
     return F.when(form == "psm", F.concat(parts[1], parts[3], parts[2])).when(form == "spm", F.concat(parts[2], parts[3], parts[1])).otherwise(output)
 
 

@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     for _, stage in corpus_pipeline.STAGES:
         assert list(inspect.signature(stage).parameters) == ["spark", "docs", "sf_dir"]
