@@ -11,16 +11,24 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PLAIN = SimpleNamespace(sin=math.sin, cos=math.cos, tan=math.tan, asin=math.asin, atan=math.atan, atan2=math.atan2, sqrt=math.sqrt, log=math.log)
-COLUMNS = SimpleNamespace(sin=F.sin, cos=F.cos, tan=F.tan, asin=F.asin, atan=F.atan, atan2=F.atan2, sqrt=F.sqrt, log=F.log)
+PLAIN = SimpleNamespace(sin=math.sin, cos=math.cos, asin=math.asin, atan2=math.atan2, sqrt=math.sqrt, log=math.log, sinh=math.sinh, cosh=math.cosh, atanh=math.atanh, floor=math.floor, abs=abs, positive=lambda a: max(a, 0.0), divide=lambda a, b: a / b)
+COLUMNS = SimpleNamespace(sin=F.sin, cos=F.cos, asin=F.asin, atan2=F.atan2, sqrt=F.sqrt, log=F.log, sinh=F.sinh, cosh=F.cosh, atanh=F.atanh, floor=F.floor, abs=F.abs, positive=lambda a: F.greatest(a, F.lit(0.0)), divide=lambda a, b: F.try_divide(F.lit(a), b))
 
 # Semi-major axis in metres and inverse flattening of the ellipsoids.
 GRS80 = (6378137.0, 298.257222101)
 WGS84 = (6378137.0, 298.257223563)
 
 
+def wrapped(turn: Any, m: SimpleNamespace, period: float = 360.0) -> Any:
+    """An angle moved by whole turns into [-period / 2, period / 2)."""
+    return turn - period * m.floor((turn + period / 2) / period)
+
+
 class Transform:
-    """From longitude and latitude in degrees to a projection's x and y in metres, and back."""
+    """From longitude and latitude in degrees to a projection's x and y in metres, and back.
+
+    Outside of a projection's domain, columns are NULL and plain numbers raise ValueError.
+    """
 
     def project(self, lon: Any, lat: Any, m: SimpleNamespace) -> tuple[Any, Any]:
         raise NotImplementedError
@@ -28,17 +36,41 @@ class Transform:
     def unproject(self, x: Any, y: Any, m: SimpleNamespace) -> tuple[Any, Any]:
         raise NotImplementedError
 
+    def room(self, lon: Any, lat: Any, m: SimpleNamespace) -> list[Any]:
+        """All positive where a longitude and latitude can be projected."""
+        return []
+
+    def inverse_room(self, x: Any, y: Any, m: SimpleNamespace) -> list[Any]:
+        """All positive where x and y stand for a place."""
+        return []
+
     def point(self, lon: float, lat: float) -> tuple[float, float]:
-        return self.project(lon, lat, PLAIN)
+        return _numbers(self.project, self.room, lon, lat)
 
     def inverse_point(self, x: float, y: float) -> tuple[float, float]:
-        return self.unproject(x, y, PLAIN)
+        return _numbers(self.unproject, self.inverse_room, x, y)
 
     def columns(self, lon: Column, lat: Column) -> tuple[Column, Column]:
-        return self.project(lon, lat, COLUMNS)
+        return _nulls(self.project, self.room, lon, lat)
 
     def inverse_columns(self, x: Column, y: Column) -> tuple[Column, Column]:
-        return self.unproject(x, y, COLUMNS)
+        return _nulls(self.unproject, self.inverse_room, x, y)
+
+
+def _numbers(f: Any, room: Any, a: float, b: float) -> tuple[float, float]:
+    try:
+        if all(r > 0 for r in room(a, b, PLAIN)) and all(map(math.isfinite, out := f(a, b, PLAIN))):
+            return out
+    except (ZeroDivisionError, OverflowError):
+        pass
+    raise ValueError(f"({a}, {b}) is outside of the projection")
+
+
+def _nulls(f: Any, room: Any, a: Column, b: Column) -> tuple[Column, Column]:
+    x, y = f(a, b, COLUMNS)
+    for r in room(a, b, COLUMNS):
+        x, y = F.when((r > 0) & ~F.isnan(r), x), F.when((r > 0) & ~F.isnan(r), y)
+    return x, y
 
 
 @dataclass(frozen=True)
@@ -51,6 +83,12 @@ class Geographic(Transform):
     def unproject(self, x, y, m):
         return x, y
 
+    def columns(self, lon, lat):
+        return lon, lat
+
+    def inverse_columns(self, x, y):
+        return x, y
+
 
 def _square_eccentricity(ellipsoid: tuple[float, float]) -> float:
     f = 1 / ellipsoid[1]
@@ -62,14 +100,16 @@ def _q(sine, e: float, m):
     return (1 - e * e) * (sine / (1 - e * e * sine * sine) - m.log((1 - e * sine) / (1 + e * sine)) / (2 * e))
 
 
-def _latitude(beta, e2: float, m):
-    """Latitude of an authalic latitude (3-18)."""
-    return beta + (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040) * m.sin(2 * beta) + (23 * e2**2 / 360 + 251 * e2**3 / 3780) * m.sin(4 * beta) + (761 * e2**3 / 45360) * m.sin(6 * beta)
+def _latitude(s, e2: float, m):
+    """Latitude of an authalic latitude's sine (3-18, its multiple angles as powers of the sine)."""
+    a, b, c = e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360
+    s2 = s * s
+    return m.asin(s) + s * m.sqrt(m.positive(1 - s2)) * ((2 * a + 4 * b + 6 * c) - s2 * ((8 * b + 32 * c) - s2 * (32 * c)))
 
 
 @dataclass(frozen=True)
 class EqualAreaAzimuthal(Transform):
-    """Lambert azimuthal equal-area on an ellipsoid (24-17 to 24-26)."""
+    """Lambert azimuthal equal-area on an ellipsoid (24-17 to 24-26); up to some tenths of a degree from the antipode."""
 
     lat0: float
     lon0: float
@@ -87,23 +127,32 @@ class EqualAreaAzimuthal(Transform):
     def project(self, lon, lat, m):
         _, e, qp, b0, rq, d = self._constants()
         turn = (lon - self.lon0) * (math.pi / 180)
-        beta = m.asin(_q(m.sin(lat * (math.pi / 180)), e, m) / qp)
-        k = rq * m.sqrt(2 / (1 + math.sin(b0) * m.sin(beta) + math.cos(b0) * m.cos(beta) * m.cos(turn)))
-        return k * d * m.cos(beta) * m.sin(turn) + self.easting, k / d * (math.cos(b0) * m.sin(beta) - math.sin(b0) * m.cos(beta) * m.cos(turn)) + self.northing
+        s = _q(m.sin(lat * (math.pi / 180)), e, m) / qp  # of the authalic latitude
+        c = m.sqrt(m.positive(1 - s * s))
+        k = m.sqrt(m.divide(2.0, 1 + math.sin(b0) * s + math.cos(b0) * c * m.cos(turn)))
+        return (rq * d) * k * c * m.sin(turn) + self.easting, (rq / d) * k * (math.cos(b0) * s - math.sin(b0) * c * m.cos(turn)) + self.northing
+
+    def room(self, lon, lat, m):
+        lat0, turn = math.radians(self.lat0), (lon - self.lon0) * (math.pi / 180)
+        return [1 - 1e-5 + math.sin(lat0) * m.sin(lat * (math.pi / 180)) + math.cos(lat0) * m.cos(lat * (math.pi / 180)) * m.cos(turn)]
+
+    def inverse_room(self, x, y, m):
+        _, _, _, _, rq, d = self._constants()
+        u, v = (x - self.easting) / (2 * rq * d), (y - self.northing) * (d / (2 * rq))
+        return [1 - u * u - v * v]
 
     def unproject(self, x, y, m):
         e2, _, _, b0, rq, d = self._constants()
-        u, v = (x - self.easting) / d, (y - self.northing) * d
-        rho = m.sqrt(u * u + v * v) + 1e-12
-        c = 2 * m.asin(rho / (2 * rq))
-        beta = m.asin(m.cos(c) * math.sin(b0) + v * m.sin(c) * math.cos(b0) / rho)
-        turn = m.atan2(u * m.sin(c), rho * math.cos(b0) * m.cos(c) - v * math.sin(b0) * m.sin(c))
-        return turn * (180 / math.pi) + self.lon0, _latitude(beta, e2, m) * (180 / math.pi)
+        u, v = (x - self.easting) / (rq * d), (y - self.northing) * (d / rq)
+        k2 = (u * u + v * v) / 4  # the squared sine of half the distance from the centre
+        far, near = m.sqrt(m.positive(1 - k2)), 1 - 2 * k2
+        turn = m.atan2(u * far, math.cos(b0) * near - math.sin(b0) * v * far)
+        return turn * (180 / math.pi) + self.lon0, _latitude(math.sin(b0) * near + math.cos(b0) * v * far, e2, m) * (180 / math.pi)
 
 
 @dataclass(frozen=True)
 class TransverseMercator(Transform):
-    """Transverse Mercator on an ellipsoid (8-9 to 8-25)."""
+    """Transverse Mercator on an ellipsoid by Krueger's series in the third flattening to its fourth power: below a millimetre up to REACH degrees from the meridian."""
 
     lon0: float
     lat0: float = 0.0
@@ -112,42 +161,55 @@ class TransverseMercator(Transform):
     northing: float = 0.0
     ellipsoid: tuple[float, float] = WGS84
 
-    def _meridian(self, phi, m):
-        a, e2 = self.ellipsoid[0], _square_eccentricity(self.ellipsoid)
-        return a * (
-            (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi
-            - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * m.sin(2 * phi)
-            + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * m.sin(4 * phi)
-            - (35 * e2**3 / 3072) * m.sin(6 * phi)
-        )
+    REACH = 70.0
+
+    def _constants(self):
+        """Metres a unit, eccentricity, and the series' coefficients: forward, inverse, and from conformal to geodetic latitude."""
+        a, f = self.ellipsoid[0], 1 / self.ellipsoid[1]
+        n = f / (2 - f)
+        forward = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+        inverse = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+        latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+        return self.scale * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), math.sqrt(_square_eccentricity(self.ellipsoid)), forward, inverse, latitude
+
+    def _raw(self, turn, lat, m):
+        """(xi, eta) of degrees from the meridian and of latitude, without scale and offsets."""
+        _, e, forward, _, _ = self._constants()
+        s = m.sin(lat * (math.pi / 180))
+        t = m.sinh(m.atanh(s) - e * m.atanh(e * s))
+        xi = m.atan2(t, m.cos(turn * (math.pi / 180)))
+        eta = m.atanh(m.sin(turn * (math.pi / 180)) / m.sqrt(1 + t * t))
+        north, east = xi, eta
+        for j, c in enumerate(forward, 1):
+            north = north + c * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+            east = east + c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        return north, east
 
     def project(self, lon, lat, m):
-        a, e2 = self.ellipsoid[0], _square_eccentricity(self.ellipsoid)
-        ep, phi = e2 / (1 - e2), lat * (math.pi / 180)
-        n = a / m.sqrt(1 - e2 * m.sin(phi) * m.sin(phi))
-        t, c = m.tan(phi) * m.tan(phi), ep * m.cos(phi) * m.cos(phi)
-        d = (lon - self.lon0) * (math.pi / 180) * m.cos(phi)
-        d2 = d * d
-        arc = self._meridian(phi, m) - self._meridian(math.radians(self.lat0), PLAIN)
-        x = self.scale * n * (d + (1 - t + c) * d * d2 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * d * d2 * d2 / 120)
-        y = self.scale * (arc + n * m.tan(phi) * (d2 / 2 + (5 - t + 9 * c + 4 * c * c) * d2 * d2 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * d2 * d2 * d2 / 720))
-        return x + self.easting, y + self.northing
+        unit = self._constants()[0]
+        north, east = self._raw(wrapped(lon - self.lon0, m), lat, m)
+        return unit * east + self.easting, unit * (north - self._raw(0.0, self.lat0, PLAIN)[0]) + self.northing
+
+    def room(self, lon, lat, m):
+        return [self.REACH - m.abs(wrapped(lon - self.lon0, m))]
+
+    def inverse_room(self, x, y, m):
+        unit = self._constants()[0]
+        far = self._raw(self.REACH, 0.0, PLAIN)[1]
+        return [far - m.abs((x - self.easting) / unit), math.pi / 2 - m.abs((y - self.northing) / unit + self._raw(0.0, self.lat0, PLAIN)[0])]
 
     def unproject(self, x, y, m):
-        a, e2 = self.ellipsoid[0], _square_eccentricity(self.ellipsoid)
-        ep = e2 / (1 - e2)
-        arc = self._meridian(math.radians(self.lat0), PLAIN) + (y - self.northing) / self.scale
-        mu = arc / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-        k = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
-        phi = mu + (3 * k / 2 - 27 * k**3 / 32) * m.sin(2 * mu) + (21 * k**2 / 16 - 55 * k**4 / 32) * m.sin(4 * mu) + (151 * k**3 / 96) * m.sin(6 * mu) + (1097 * k**4 / 512) * m.sin(8 * mu)
-        s2 = 1 - e2 * m.sin(phi) * m.sin(phi)
-        n, r = a / m.sqrt(s2), a * (1 - e2) / (s2 * m.sqrt(s2))
-        t, c = m.tan(phi) * m.tan(phi), ep * m.cos(phi) * m.cos(phi)
-        d = (x - self.easting) / (n * self.scale)
-        d2 = d * d
-        lat = phi - n * m.tan(phi) / r * (d2 / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * d2 * d2 / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * d2 * d2 * d2 / 720)
-        turn = (d - (1 + 2 * t + c) * d * d2 / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * d * d2 * d2 / 120) / m.cos(phi)
-        return turn * (180 / math.pi) + self.lon0, lat * (180 / math.pi)
+        unit, _, _, inverse, latitude = self._constants()
+        xi, eta = (y - self.northing) / unit + self._raw(0.0, self.lat0, PLAIN)[0], (x - self.easting) / unit
+        north, east = xi, eta
+        for j, c in enumerate(inverse, 1):
+            north = north - c * m.sin(2 * j * xi) * m.cosh(2 * j * eta)
+            east = east - c * m.cos(2 * j * xi) * m.sinh(2 * j * eta)
+        chi = m.asin(m.sin(north) / m.cosh(east))
+        lat = chi
+        for j, c in enumerate(latitude, 1):
+            lat = lat + c * m.sin(2 * j * chi)
+        return m.atan2(m.sinh(east), m.cos(north)) * (180 / math.pi) + self.lon0, lat * (180 / math.pi)
 
 
 @dataclass(frozen=True)
@@ -175,16 +237,20 @@ class EqualAreaConic(Transform):
     def project(self, lon, lat, m):
         a, _, e, n, c, rho0 = self._constants()
         rho = a * m.sqrt(c - n * _q(m.sin(lat * (math.pi / 180)), e, m)) / n
-        turn = n * (lon - self.lon0) * (math.pi / 180)
+        turn = n * wrapped(lon - self.lon0, m) * (math.pi / 180)
         return rho * m.sin(turn) + self.easting, rho0 - rho * m.cos(turn) + self.northing
 
+    def inverse_room(self, x, y, m):
+        a, _, e, n, c, rho0 = self._constants()
+        sign, u, v = 1 if n > 0 else -1, x - self.easting, rho0 - (y - self.northing)
+        return [math.pi * abs(n) - m.abs(m.atan2(sign * u, sign * v)), 1 - m.abs((c - (u * u + v * v) * (n * n / (a * a))) / (n * _q(1.0, e, PLAIN)))]
+
     def unproject(self, x, y, m):
         a, e2, e, n, c, rho0 = self._constants()
         u, v = x - self.easting, rho0 - (y - self.northing)
         sign = 1 if n > 0 else -1
         q = (c - (u * u + v * v) * (n * n / (a * a))) / n
-        beta = m.asin(q / _q(1.0, e, PLAIN))
-        return m.atan2(sign * u, sign * v) / n * (180 / math.pi) + self.lon0, _latitude(beta, e2, m) * (180 / math.pi)
+        return m.atan2(sign * u, sign * v) / n * (180 / math.pi) + self.lon0, _latitude(q / _q(1.0, e, PLAIN), e2, m) * (180 / math.pi)
 
 
 ELLIPSOIDS = {"WGS84": WGS84, "GRS80": GRS80}
@@ -199,7 +265,7 @@ def described(text: str) -> Transform:
         if given["proj"] == "longlat":
             return Geographic()
         if given["proj"] == "laea":
-            return EqualAreaAzimuthal(number("lat_0"), number("lon_0"), number("x_0"), number("y_0"))
+            return EqualAreaAzimuthal(number("lat_0"), number("lon_0"), number("x_0"), number("y_0"), ellipsoid)
         if given["proj"] == "aea":
             return EqualAreaConic(number("lat_1"), number("lat_2"), number("lat_0"), number("lon_0"), number("x_0"), number("y_0"), ellipsoid)
         if given["proj"] == "utm":

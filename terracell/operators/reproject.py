@@ -2,8 +2,7 @@
 
 Source cells are scattered to the target cells that they contribute to: the range of targets and the weight
 follow from grid arithmetic on each axis, so a resampling is a projection and one grouped aggregate, without
-a join. Between grids of different CRSs, target centres are mapped into the source and joined on cell indices;
-area methods map pieces of source cells into the target instead.
+a join. Between grids of different CRSs, cells are scattered by their projected outlines; see across.
 """
 
 from __future__ import annotations
@@ -14,16 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracell.cube import Cube
-from terracell.functions.crs import PLAIN, Transform, named
+from terracell.functions.crs import Transform
 from terracell.grid import GridSpec
+from terracell.operators.across import around, holds, overlaps
 
 KERNELS = {"bilinear": 1, "cubic": 2, "cubic_spline": 2, "lanczos": 3}
 AREA = ("average", "sum", "rms", "mode", "max", "min", "med", "q1", "q3")
 METHODS = ("nearest", *KERNELS, *AREA)
-#: Between CRSs, area methods cut source cells so that a cell (and a target cell, if that is smaller) has at least so many pieces along each axis.
-PARTS = 4
-#: Points along each axis of the source grid at which cell sizes are compared.
-PROBES = 9
 
 
 def kernel(method: str, d: Column) -> Column:
@@ -98,8 +94,7 @@ def reproject(cube: Cube, target: GridSpec, methods: str | dict[str, str] = "nea
     nearest takes the source cell that holds the target's centre. Kernels widen when the target is coarser.
     NULLs are left out and the other weights made to sum to 1; average, sum and rms weigh by overlap; mode is
     the value with most overlap, the smallest on a tie; max, min, med, q1 and q3 are of all cells that
-    overlap, quartiles interpolated (between CRSs med, q1 and q3 count a cell once for each of its pieces, see
-    _sampled, which leaves no gaps). dense: cells that nothing reaches are rows of NULLs (static cubes only).
+    overlap, quartiles interpolated. dense: cells that nothing reaches are rows of NULLs (static cubes only).
     """
     table = {v: methods if isinstance(methods, str) else methods.get(v, "nearest") for v in cube.variables}
     for m in table.values():
@@ -109,7 +104,7 @@ def reproject(cube: Cube, target: GridSpec, methods: str | dict[str, str] = "nea
     out = None
     for method in dict.fromkeys(table.values()):
         names = [v for v, m in table.items() if m == method]
-        part = _across(cube.select(*names), target, method) if target.crs != cube.grid.crs else _within(cube.select(*names), target, method, keys)
+        part = _across(cube.select(*names), target, method, keys) if target.crs != cube.grid.crs else _within(cube.select(*names), target, method, keys)
         out = part if out is None else out.join(part, keys, "full_outer")
     if dense and not cube.time:
         out = target.lattice(out.sparkSession).join(out, ["iy", "ix"], "left")
@@ -134,70 +129,14 @@ def _gathered(rows: DataFrame, variables: list[str], method: str, keys: list[str
     return rows.groupBy(*keys).agg(*[_reduced(method, F.col(v), F.col("_w")).alias(v) for v in variables])
 
 
-def pieces(source: GridSpec, target: GridSpec) -> int:
-    """Pieces of a source cell along each axis: PARTS, and as many times more as a source cell is longer than a target cell of another CRS.
-
-    Lengths are compared at PROBES by PROBES places of the source, on the driver.
-    """
-    back, to = named(source.crs), named(target.crs)
-    place = lambda u, v: to.point(*back.unproject(source.x0 + source.dx * u, source.y0 + source.dy * v, PLAIN))
-    most = 1.0
-    for i in range(PROBES):
-        for j in range(PROBES):
-            u, v = (source.width - 1) * i / (PROBES - 1), (source.height - 1) * j / (PROBES - 1)
-            try:
-                (x, y), *others = (place(u, v), place(u + 1, v), place(u, v + 1))
-            except (ValueError, ZeroDivisionError):  # not in the target's projection
-                continue
-            spans = [max(abs(a - x) / abs(target.dx), abs(b - y) / abs(target.dy)) for a, b in others]
-            most = max([most, *(r for r in spans if math.isfinite(r))])
-    return math.ceil(PARTS * most)
-
-
-def _sampled(cube: Cube, target: GridSpec) -> DataFrame:
-    """Source cells as equal pieces, each in the target cell (of another CRS) that holds its centre.
-
-    A piece has the weight of its share of the source cell, so overlaps are exact up to pieces that an edge
-    cuts. No join and no lattice: a projection of the source's rows and an explode. There are pieces enough
-    that each target cell within the source holds some, however fine it is.
-    """
-    s, back, to = cube.grid, named(cube.grid.crs), named(target.crs)
-    parts = pieces(s, target)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: (k + 0.5) / parts)
-    rows = cube.df.withColumnsRenamed({"ix": "_sx", "iy": "_sy"}).withColumn("_u", F.explode(steps)).withColumn("_v", F.explode(steps))
-    lon, lat = back.inverse_columns(F.lit(s.x0) + F.lit(s.dx) * (F.col("_sx") + F.col("_u")), F.lit(s.y0) + F.lit(s.dy) * (F.col("_sy") + F.col("_v")))
-    rows = rows.withColumns({"_lon": lon, "_lat": lat})
-    x, y = to.columns(F.col("_lon"), F.col("_lat"))
-    rows = rows.withColumns({"ix": F.floor((x - target.x0) / target.dx), "iy": F.floor((y - target.y0) / target.dy), "_w": F.lit(1 / parts**2)})
-    inside = F.col("ix").between(0, target.width - 1) & F.col("iy").between(0, target.height - 1)
-    return rows.where(inside).select(*cube.keys, *cube.variables, "_w")
-
-
-def mapped(target: GridSpec, source: GridSpec, lattice: DataFrame) -> DataFrame:
-    """lattice (iy, ix of the target) with _u, _v: the centre's position in the source, in cells."""
-    to, back = named(source.crs), named(target.crs)
-    lon, lat = back.inverse_columns(target.x(F.col("ix")), target.y(F.col("iy")))
-    x, y = to.columns(lon, lat)
-    return lattice.select("iy", "ix", ((x - source.x0) / source.dx).alias("_u"), ((y - source.y0) / source.dy).alias("_v"))
-
-
-def _across(cube: Cube, target: GridSpec, method: str) -> DataFrame:
-    """Between CRSs, by target centres: the source cell that holds each (nearest), or the cells around it (kernels).
-
-    Area methods go the other way, from parts of source cells to the target cells that hold them.
-    """
+def _across(cube: Cube, target: GridSpec, method: str, keys: list[str]) -> DataFrame:
+    """Between CRSs: by the areas that cells share, the cell that holds a target's centre, or the cells around it."""
     if method in AREA:
-        return _gathered(_sampled(cube, target), cube.variables, method, cube.keys)
-    spread = mapped(target, cube.grid, target.lattice(cube.df.sparkSession))
+        return _gathered(overlaps(cube, target, share=method == "sum"), cube.variables, method, keys)
     if method == "nearest":
-        at = spread.select("iy", "ix", F.floor("_v").alias("_sy"), F.floor("_u").alias("_sx"))
-        return at.join(cube.df.withColumnsRenamed({"iy": "_sy", "ix": "_sx"}), ["_sy", "_sx"]).drop("_sy", "_sx")
-    reach = KERNELS[method]
-    at = spread.withColumn("_sx", F.explode(F.sequence(F.floor(F.col("_u") - reach - 0.5) + 1, F.ceil(F.col("_u") + reach - 0.5) - 1)))
-    at = at.withColumn("_sy", F.explode(F.sequence(F.floor(F.col("_v") - reach - 0.5) + 1, F.ceil(F.col("_v") + reach - 0.5) - 1)))
-    at = at.withColumn("_w", kernel(method, F.col("_u") - F.col("_sx") - 0.5) * kernel(method, F.col("_v") - F.col("_sy") - 0.5)).where("_w != 0")
-    rows = at.join(cube.df.withColumnsRenamed({"iy": "_sy", "ix": "_sx"}), ["_sy", "_sx"])
-    return rows.groupBy(*cube.keys).agg(*[_reduced(method, F.col(v), F.col("_w")).alias(v) for v in cube.variables])
+        return around(cube, target, 0.5, holds).select(*keys, *cube.variables)
+    weight = lambda du, dv: kernel(method, du) * kernel(method, dv)
+    return _gathered(around(cube, target, KERNELS[method], weight), cube.variables, method, keys)
 
 
 def projected(cells: DataFrame, transform: Transform, lon: str = "lon", lat: str = "lat") -> DataFrame:

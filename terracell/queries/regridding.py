@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from terracell.catalog.products import AMAZON_ALBERS
 from terracell.cube import Cube
-from terracell.functions.crs import GRS80, named
+from terracell.functions.crs import GRS80, WGS84, named
 from terracell.grid import GridSpec, cells_across, snapped_column
 from terracell.operators import coarsen as C
 from terracell.operators.merge import merge
-from terracell.operators.reproject import pieces, projected, reproject
+from terracell.operators.across import overlaps
+from terracell.operators.reproject import projected, reproject
 from terracell.plans.align import Aligner, methods_of
 from terracell.queries import query
 from terracell.queries.cubes import EVENT_CELLS, GRID, STATIC, event_cells, static, table
@@ -136,8 +137,8 @@ def resampling_per_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reproject(cube, COARSE, methods).df.withColumn("v", _whole("v"))
 
 
-def _laea_sql() -> str:
-    """xy: pts (lon, lat, ...) with x, y of EPSG:3035, from its published formulas with its constants as numbers."""
+def _laea_constants() -> tuple[float, float, float, float, float, float]:
+    """e squared, e, q at the pole, authalic latitude of the centre, its radius, and D of EPSG:3035."""
     a, f = GRS80[0], 1 / GRS80[1]
     e2 = 2 * f - f * f
     e = math.sqrt(e2)
@@ -145,7 +146,12 @@ def _laea_sql() -> str:
     s0 = math.sin(math.radians(52))
     qp = q(1.0)
     b1, rq = math.asin(q(s0) / qp), a * math.sqrt(qp / 2)
-    d = a * math.cos(math.radians(52)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b1))
+    return e2, e, qp, b1, rq, a * math.cos(math.radians(52)) / math.sqrt(1 - e2 * s0 * s0) / (rq * math.cos(b1))
+
+
+def _laea_sql() -> str:
+    """xy: pts (lon, lat, ...) with x, y of EPSG:3035, from its published formulas with its constants as numbers."""
+    e2, e, qp, b1, rq, d = _laea_constants()
     return f"""b AS (SELECT *, radians(lon - 10) AS l, asin({1 - e2!r}::DOUBLE * (sin(radians(lat)) / (1 - {e2!r}::DOUBLE * pow(sin(radians(lat)), 2)) - ln((1 - {e!r}::DOUBLE * sin(radians(lat))) / (1 + {e!r}::DOUBLE * sin(radians(lat)))) / {2 * e!r}::DOUBLE) / {qp!r}::DOUBLE) AS b FROM pts),
       k AS (SELECT *, {rq!r}::DOUBLE * sqrt(2 / (1 + {math.sin(b1)!r}::DOUBLE * sin(b) + {math.cos(b1)!r}::DOUBLE * cos(b) * cos(l))) AS k FROM b),
       xy AS (SELECT *, 4321000 + k * {d!r}::DOUBLE * cos(b) * sin(l) AS x, 3210000 + k / {d!r}::DOUBLE * ({math.cos(b1)!r}::DOUBLE * sin(b) - {math.sin(b1)!r}::DOUBLE * cos(b) * cos(l)) AS y FROM k)"""
@@ -205,20 +211,100 @@ def reproject_across_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reproject(_on(spark, sf_dir, METRES), DEGREES, "nearest").df
 
 
-def _across(name: str, method: str, grid: GridSpec, sql: str) -> None:
-    n = pieces(DEGREES, grid)
-    pts = f"""pts AS (SELECT v, 4 + 0.25::DOUBLE * (ix + (i + 0.5) / {n}::DOUBLE) AS lon, 46 + 0.25::DOUBLE * (iy + (j + 0.5) / {n}::DOUBLE) AS lat FROM static, range({n}) a(i), range({n}) b(j))"""
-    cells = f"""cells AS (SELECT CAST(floor((x - {grid.x0}) / {grid.dx}) AS BIGINT) AS ix, CAST(floor((y - {grid.y0}) / {grid.dy}) AS BIGINT) AS iy, v FROM xy)"""
+def _clipped_sql(grid: GridSpec) -> str:
+    """areas (sy, sx, v, iy, ix, w): what projected cells of DEGREES share with cells of grid.
 
+    The common polygon's corners (corners of one inside the other, and crossings) are put in order by their angle
+    around their mean, and its area follows from these.
+    """
+    return f"""pts AS (SELECT iy AS sy, ix AS sx, v, c, 4 + 0.25::DOUBLE * (ix + cx) AS lon, 46 + 0.25::DOUBLE * (iy + cy) AS lat FROM static, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) q(c, cx, cy)), {_laea_sql()},
+      quads AS (SELECT sy, sx, v, list((x - {grid.x0!r}::DOUBLE) / {grid.dx!r}::DOUBLE ORDER BY c) AS us, list((y - {grid.y0!r}::DOUBLE) / {grid.dy!r}::DOUBLE ORDER BY c) AS vs FROM xy GROUP BY 1, 2, 3),
+      wide AS (SELECT *, unnest(range(CAST(greatest(floor(list_min(us)), 0) AS BIGINT), CAST(least(ceil(list_max(us)), {grid.width}) AS BIGINT))) AS ix FROM quads),
+      cand AS (SELECT *, unnest(range(CAST(greatest(floor(list_min(vs)), 0) AS BIGINT), CAST(least(ceil(list_max(vs)), {grid.height}) AS BIGINT))) AS iy FROM wide),
+      unit AS (SELECT sy, sx, v, iy, ix, list_transform(us, lambda z: z - ix) AS us, list_transform(vs, lambda z: z - iy) AS vs FROM cand),
+      edges AS (SELECT sy, sx, iy, ix, us[k] AS xa, vs[k] AS ya, us[k % 4 + 1] AS xb, vs[k % 4 + 1] AS yb FROM unit, range(1, 5) r(k)),
+      corners AS (
+        SELECT sy, sx, iy, ix, xa AS x, ya AS y FROM edges WHERE xa BETWEEN 0 AND 1 AND ya BETWEEN 0 AND 1
+        UNION ALL SELECT sy, sx, iy, ix, x, y FROM edges, (VALUES (0.0::DOUBLE, 0.0::DOUBLE), (1, 0), (1, 1), (0, 1)) b(x, y) GROUP BY ALL HAVING min((xb - xa) * (y - ya) - (yb - ya) * (x - xa)) >= 0
+        UNION ALL SELECT sy, sx, iy, ix, z, ya + (z - xa) / (xb - xa) * (yb - ya) FROM edges, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) b(z) WHERE xa <> xb AND (z - xa) / (xb - xa) BETWEEN 0 AND 1 AND ya + (z - xa) / (xb - xa) * (yb - ya) BETWEEN 0 AND 1
+        UNION ALL SELECT sy, sx, iy, ix, xa + (z - ya) / (yb - ya) * (xb - xa), z FROM edges, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) b(z) WHERE ya <> yb AND (z - ya) / (yb - ya) BETWEEN 0 AND 1 AND xa + (z - ya) / (yb - ya) * (xb - xa) BETWEEN 0 AND 1),
+      centred AS (SELECT sy, sx, iy, ix, x - avg(x) OVER g AS x, y - avg(y) OVER g AS y FROM corners WINDOW g AS (PARTITION BY sy, sx, iy, ix)),
+      rings AS (SELECT sy, sx, iy, ix, list({{'x': x, 'y': y}} ORDER BY atan2(y, x)) AS p FROM centred GROUP BY 1, 2, 3, 4),
+      sized AS (SELECT sy, sx, iy, ix, list_sum(list_transform(range(1, len(p) + 1), lambda k: p[k].x * p[k % len(p) + 1].y - p[k % len(p) + 1].x * p[k].y)) / 2 AS w FROM rings),
+      areas AS (SELECT sized.*, quads.v FROM sized JOIN quads ON sized.sy = quads.sy AND sized.sx = quads.sx WHERE w > 1e-8)"""
+
+
+@query(f"WITH {STATIC}, {_clipped_sql(METRES)} SELECT sy, sx, iy, ix, CAST(floor(w * 1000000 + 0.314) AS BIGINT) AS millionths FROM areas")
+def overlaps_across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = overlaps(_on(spark, sf_dir, DEGREES), METRES).where("_w > 1e-8")
+    return rows.select(F.col("_sy").alias("sy"), F.col("_sx").alias("sx"), "iy", "ix", F.floor(F.col("_w") * 1_000_000 + 0.314).alias("millionths"))
+
+
+def _across(name: str, method: str, grid: GridSpec, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return reproject(_on(spark, sf_dir, DEGREES), grid, method).df.withColumn("v", _whole("v"))
+        return reproject(_on(spark, sf_dir, DEGREES), grid, method).df.withColumn("v", F.col("v") / 1000).withColumn("v", _whole("v"))
 
-    query(f"WITH {STATIC}, {pts}, {_laea_sql()}, {cells} SELECT iy, ix, CAST(floor({sql} + 0.314) AS BIGINT) AS v FROM cells WHERE ix BETWEEN 0 AND {grid.width - 1} AND iy BETWEEN 0 AND {grid.height - 1} GROUP BY 1, 2", name)(run)
+    query(f"WITH {STATIC}, {_clipped_sql(grid)} SELECT iy, ix, CAST(floor(({sql}) / 1000 + 0.314) AS BIGINT) AS v FROM areas GROUP BY 1, 2", name)(run)
 
 
-_across("reproject_across_average", "average", METRES, "avg(CAST(v AS DOUBLE))")
+_across("reproject_across_average", "average", METRES, "sum(v * w) / sum(w)")
+_across("reproject_across_sum", "sum", METRES, "sum(v * w / (SELECT list_sum(list_transform(range(1, 5), lambda k: us[k] * vs[k % 4 + 1] - us[k % 4 + 1] * vs[k])) / 2 FROM quads q WHERE q.sy = areas.sy AND q.sx = areas.sx))")
 _across("reproject_across_max", "max", METRES, "max(v)")
-_across("reproject_across_finer", "average", FINE_METRES, "avg(CAST(v AS DOUBLE))")
+_across("reproject_across_finer", "average", FINE_METRES, "sum(v * w) / sum(w)")
+
+#: The whole globe, and a lattice of 500 km that goes beyond the projection's domain on all sides.
+GLOBE = GridSpec("EPSG:4326", -180.0, -90.0, 11.25, 5.625, 32, 32)
+FAR = GridSpec("EPSG:3035", 4_321_000.0 - 15_000_000, 3_210_000.0 + 15_000_000, 500_000.0, -500_000.0, 60, 60)
+
+
+def _laea_back_sql() -> str:
+    """geo: xy (x, y, ...) with lon, lat of EPSG:3035, where there are any."""
+    e2, _, _, b1, rq, d = _laea_constants()
+    return f"""r AS (SELECT *, (x - 4321000) / {d!r}::DOUBLE AS u, (y - 3210000) * {d!r}::DOUBLE AS w, sqrt(pow((x - 4321000) / {d!r}::DOUBLE, 2) + pow((y - 3210000) * {d!r}::DOUBLE, 2)) + 1e-12 AS rho FROM xy),
+      c AS (SELECT *, 2 * asin(rho / {2 * rq!r}::DOUBLE) AS c FROM r WHERE rho <= {2 * rq!r}::DOUBLE),
+      t AS (SELECT *, asin(cos(c) * {math.sin(b1)!r}::DOUBLE + w * sin(c) * {math.cos(b1)!r}::DOUBLE / rho) AS beta, degrees(atan2(u * sin(c), rho * {math.cos(b1)!r}::DOUBLE * cos(c) - w * {math.sin(b1)!r}::DOUBLE * sin(c))) + 10 AS lon FROM c),
+      geo AS (SELECT *, degrees(beta + {e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040!r}::DOUBLE * sin(2 * beta) + {23 * e2**2 / 360 + 251 * e2**3 / 3780!r}::DOUBLE * sin(4 * beta) + {761 * e2**3 / 45360!r}::DOUBLE * sin(6 * beta)) AS lat FROM t)"""
+
+
+_FAR_XY = f"xy AS (SELECT iy, ix, {FAR.x0!r}::DOUBLE + {FAR.dx!r}::DOUBLE * (ix + 0.5) AS x, {FAR.y0!r}::DOUBLE + {FAR.dy!r}::DOUBLE * (iy + 0.5) AS y FROM range({FAR.height}) a(iy), range({FAR.width}) b(ix))"
+
+
+@query(f"WITH {STATIC}, {_FAR_XY}, {_laea_back_sql()} SELECT g.iy, g.ix, s.v FROM geo g JOIN static s ON s.ix = CAST(floor((g.lon + 180) / 11.25) AS BIGINT) % 32 AND s.iy = CAST(floor((g.lat + 90) / 5.625) AS BIGINT)")
+def reproject_across_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reproject(_on(spark, sf_dir, GLOBE), FAR, "nearest").df
+
+
+_HALF = GridSpec("EPSG:4326", 5.0, 53.0, 0.5, -0.5, 14, 13)
+
+
+@query(f"""WITH {STATIC}, pts AS (SELECT ix, iy, 5 + 0.5::DOUBLE * (ix + 0.5) AS lon, 53 - 0.5::DOUBLE * (iy + 0.5) AS lat FROM range(14) a(ix), range(13) b(iy)), {_laea_sql()},
+  p AS (SELECT iy, ix, (x - 3900000) / 20000::DOUBLE AS u, (y - 2500000) / 20000::DOUBLE AS w FROM xy),
+  n AS (SELECT p.iy, p.ix, s.v, (1 - abs(u - s.ix - 0.5)) * (1 - abs(w - s.iy - 0.5)) AS k FROM p JOIN static s ON abs(u - s.ix - 0.5) < 1 AND abs(w - s.iy - 0.5) < 1)
+  SELECT iy, ix, CAST(floor(sum(v * k) / sum(k) / 1000 + 0.314) AS BIGINT) AS v FROM n GROUP BY 1, 2""")
+def reproject_across_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reproject(_on(spark, sf_dir, METRES), _HALF, "bilinear").df.withColumn("v", F.col("v") / 1000).withColumn("v", _whole("v"))
+
+
+def _utm_sql() -> str:
+    """Zone 32 of EPSG:326xx by Krueger's series, with its constants as numbers."""
+    a, f = WGS84[0], 1 / WGS84[1]
+    n, e = f / (2 - f), math.sqrt(f * (2 - f))
+    unit = 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    north = " + ".join(f"{c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(series, 1))
+    east = " + ".join(f"{c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(series, 1))
+    return f"""pts AS (SELECT c_custkey, CAST((c_custkey % 360) - 180 AS DOUBLE) AS lon, CAST(-80 + (c_custkey % 161) AS DOUBLE) AS lat FROM customer),
+      t AS (SELECT c_custkey, radians(lon - 9) AS turn, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t FROM pts WHERE abs(lon - 9) < 70),
+      g AS (SELECT c_custkey, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM t),
+      u AS (SELECT c_custkey, round({unit!r}::DOUBLE * (eta + {east}) + 500000, 2) AS x, round({unit!r}::DOUBLE * (xi + {north}), 2) AS y FROM g)
+      SELECT p.c_custkey, u.x, u.y FROM pts p LEFT JOIN u ON p.c_custkey = u.c_custkey"""
+
+
+@query(f"WITH {_utm_sql()}")
+def crs_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points all over the globe in one zone: NULL beyond the projection's reach."""
+    points = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 360 - 180).cast("double").alias("lon"), (F.col("c_custkey") % 161 - 80).cast("double").alias("lat"))
+    return projected(points, named("EPSG:32632")).select("c_custkey", F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 def _albers_sql() -> str:
