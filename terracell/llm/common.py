@@ -40,9 +40,22 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/terracell/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written_to(df: DataFrame, path: str) -> DataFrame:
-    """df as a written and reread table: its lineage ends there, and what a lost executor held is read again."""
-    df.write.option("compression", "zstd").parquet(path)
+    """df as a written and reread table: its lineage ends there, and what a lost executor held is read again.
+
+    The write's own shuffle files go when it is done, as nothing reads them any more.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(_nullable(df.schema)).parquet(path)
 
 
