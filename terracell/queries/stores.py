@@ -42,6 +42,28 @@ def store_static_and_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, path).df.select("iy", "ix", "yr", "yearly", "v", "q")
 
 
+@query(f"WITH {OBS} SELECT iy, ix, yr, CASE WHEN yr <> 1998 THEN v END AS v, CASE WHEN yr >= 1998 THEN v % 100 END AS w FROM obs")
+def store_new_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices to which later ones bring a second variable: one slice with the new one only, others with both, one of these in two commits."""
+    path, cube = shared_folder(spark, "store"), observations(spark, sf_dir).select("v")
+    more = cube.having(cube.df.withColumn("w", F.col("v") % 100))
+    store.write(cube.having(cube.df.where("yr < 1998 or yr = 2000")), path, (8, 8))
+    store.write(more.having(more.df.where("yr = 1998").drop("v")), path, (8, 8), append=True)
+    store.write(more.having(more.df.where("yr > 1998 and yr <> 2000")), path, (8, 8), append=True)
+    store.write(more.having(more.df.where("yr = 2000").drop("v")), path, (8, 8), append=True)
+    return store.read(spark, path).df.select("iy", "ix", "yr", "v", "w")
+
+
+@query(f"WITH {STATIC} SELECT iy, ix, CASE WHEN iy < 20 THEN -v END AS v, CASE WHEN ix < 9 THEN q END AS q FROM static WHERE iy < 20 OR ix < 9")
+def store_second_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Static layers that are appended one by one, the first of which is written again."""
+    path, cube = shared_folder(spark, "store"), static(spark, sf_dir)
+    store.write(cube.select("v"), path, (8, 8))
+    store.write(cube.having(cube.df.where("ix < 9").select("iy", "ix", "q")), path, (8, 8), append=True)
+    store.write(cube.having(cube.df.where("iy < 20").select("iy", "ix", (-F.col("v")).alias("v"))), path, (8, 8), append=True)
+    return store.read(spark, path).df.select("iy", "ix", "v", "q")
+
+
 @query(f"WITH {STATIC} SELECT '1' AS resolution, iy, ix, v FROM static UNION ALL SELECT '4', iy // 4, ix // 4, CAST(sum(v) AS BIGINT) FROM static GROUP BY 2, 3")
 def store_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = static(spark, sf_dir).select("v")
@@ -80,6 +102,19 @@ def slices_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read(spark, target, ["v"]).df
 
 
+@query(f"WITH {OBS} SELECT iy, ix, yr, CASE WHEN iy BETWEEN 10 AND 19 THEN -v ELSE v END AS v FROM obs")
+def slices_in_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All slices come in two batches that overlap; where they do, the second counts. A third start finds nothing new."""
+    source, target, progress = (shared_folder(spark, n) for n in ("in", "out", "progress"))
+    df = observations(spark, sf_dir).df.select("iy", "ix", "yr", "v")
+    for part in (df.where("iy < 20"), df.where("iy >= 10").withColumn("v", F.when(F.col("iy") < 20, -F.col("v")).otherwise(F.col("v"))), None):
+        if part is not None:
+            part.write.mode("append").parquet(source)
+        ingest(spark, source, df.schema, GRID, "yr", target, progress).awaitTermination(120)
+    store.compacted(spark, target)
+    return store.read(spark, target, ["v"]).df
+
+
 @query("SELECT '32x32' AS shape, 64 AS digits, (SELECT count(DISTINCT n_regionkey) FROM nation) AS kinds")
 def grid_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of grids that differ by their origin only, one for a region, are as many."""

@@ -1,18 +1,22 @@
-"""Cubes as Parquet: written by chunk and time slice, opened through the catalog.
+"""Cubes as Parquet: written by chunk and time slice, committed by a record in a log, opened through the catalog.
 
-A cube's folder holds `data` (layers in time, partitioned by it), `static` (layers without time), or both, sorted
-by chunk, and `cube` (one JSON row with the grid, the attributes, and which of the two there are). Chunk columns
-cy, cx stand in the data, so that a box reads the row groups of its chunks only.
+A cube's folder holds `data` (layers in time) and `static` (layers without), with a folder for each commit, partitioned
+by time and sorted by chunk, and `log`, with one JSON row for each commit: its files' folders, variables and types, the
+grid and attributes. Rows count from the moment that their record is there; a write that failed has none and is not
+seen. Chunk columns cy, cx stand in the data, so that a box reads the row groups of its chunks only.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from collections import defaultdict
 from dataclasses import asdict
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terracell.catalog import discovery
 from terracell.catalog.tables import Catalog
@@ -20,43 +24,167 @@ from terracell.cube import Cube
 from terracell.functions.metadata import kept
 from terracell.grid import GridSpec
 
+#: How a commit meets what is there: start anew; take the place of its slices' (or static) layers of the same names; lay its cells over them.
+MODES = ("overwrite", "replace", "add")
+#: Key of static layers among slices.
+STATIC = ""
+
 
 def chunked(cube: Cube, chunk: tuple[int, int]) -> DataFrame:
     return cube.df.withColumns({"cy": F.floor(F.col("iy") / chunk[0]), "cx": F.floor(F.col("ix") / chunk[1])})
 
 
-def write(cube: Cube, path: str, chunk: tuple[int, int] = (2048, 2048), append: bool = False) -> None:
-    """Writes a cube in place of what is there, or with append adds the layers that it has.
+def history(spark: SparkSession, path: str) -> list[dict]:
+    """Records of all commits that count, in order: those from the last that started anew. Empty if there is no cube."""
+    try:
+        rows = spark.read.text(f"{path}/log").collect()  # one for each commit
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    records = sorted((json.loads(r["value"]) for r in rows), key=lambda r: (r["seq"], r["id"]))
+    first = max((k for k, r in enumerate(records) if r["mode"] == "overwrite"), default=0)
+    return records[first:]
+
+
+def _types(records: list[dict]) -> dict[str, str]:
+    return {v: t for r in records for v, t in r["variables"].items()}
 
-    Rows are range-partitioned by chunk, so each file covers few chunks. Appending time slices replaces those
-    that the cube has and leaves the others, so a slice that is written again isn't there twice; appending a cube
-    without time replaces the static layers. Static and time layers stand beside each other, whichever came first.
-    ValueError if an appended cube has another grid, or another time column than the slices that are there.
+
+def _checked(cube: Cube, old: list[dict], path: str) -> dict[str, str]:
+    """Types of the cube's variables; ValueError if it doesn't go with what is there."""
+    fields = {f.name: f.dataType.json() for f in cube.df.schema.fields}
+    types = {v: fields[v] for v in cube.variables}
+    time = next((r["time"] for r in old if r["time"]), None)
+    if old and (GridSpec(**old[-1]["grid"]) != cube.grid or cube.time and time and [cube.time, fields[cube.time]] != time):
+        raise ValueError(f"the cube at {path} has another grid or time column")
+    there = _types(old)
+    other = [v for v in types if v in there and there[v] != types[v]]
+    if other:
+        raise ValueError(f"the cube at {path} has variables of other types: {other}")
+    return types
+
+
+def write(cube: Cube, path: str, chunk: tuple[int, int] = (2048, 2048), append: bool = False, mode: str | None = None, note: dict | None = None) -> None:
+    """Writes a cube in place of what is there, or with append adds the layers that it has, in one commit.
+
+    Rows are range-partitioned by chunk, so each file covers few chunks. Appended layers replace those of their
+    names, in their slices (or the static ones) only: a slice that is written again isn't there twice, and other
+    variables, slices and static layers stay. mode="add" instead lays cells over a slice: cells and variables that
+    the cube doesn't have, or has NULLs for, stay as well. Variables that a slice lacks are NULL in it. note goes
+    into the record. ValueError, before anything is written, if an appended cube has another grid, another time
+    column or another type of a variable than what is there. Commits at one moment are ordered by their ids.
     """
     spark, name = cube.df.sparkSession, "data" if cube.time else "static"
-    old = _description(spark, path) if append else None
-    if old and (GridSpec(**old["grid"]) != cube.grid or cube.time and old["time"] not in (None, cube.time)):
-        raise ValueError(f"the cube at {path} has another grid or time column")
-    more = bool(old) and name in old["tables"]
-    rows = chunked(cube, chunk)
+    mode = mode or ("replace" if append else "overwrite")
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; there are {MODES}")
+    old = history(spark, path)
+    seq, own = 1 + max((r["seq"] for r in old), default=0), uuid.uuid4().hex
+    old = [] if mode == "overwrite" else old
+    types = _checked(cube, old, path)
+    chunk = tuple(old[0]["chunk"]) if old else chunk
     order = [*([cube.time] if cube.time else []), "cy", "cx"]
-    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order, "iy", "ix").write.option("compression", "zstd")
-    if cube.time:
-        writer = writer.partitionBy(cube.time).option("partitionOverwriteMode", "dynamic" if more else "static")
-    writer.mode("overwrite").parquet(f"{path}/{name}")
-    if not more:
-        was = old or {"tables": [], "time": None, "attributes": {}, "chunk": chunk}
-        meta = {"grid": asdict(cube.grid), "time": cube.time or was["time"], "attributes": {**was["attributes"], **kept(cube.attributes)}, "chunk": was["chunk"], "tables": sorted({*was["tables"], name})}
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/cube")
+    writer = chunked(cube, chunk).repartitionByRange(*order).sortWithinPartitions(*order, "iy", "ix").write.option("compression", "zstd")
+    folder = f"{name}/commit={seq:08d}-{own}"
+    (writer.partitionBy(cube.time) if cube.time else writer).parquet(f"{path}/{folder}")
+    schema = StructType([f for f in chunked(cube, chunk).schema.fields if f.name != cube.time])
+    files = spark.read.schema(schema).parquet(f"{path}/{folder}").inputFiles()
+    slices = sorted({f.split("/")[-2] for f in files}) if cube.time else [STATIC]
+    record = {
+        "seq": seq, "id": own, "mode": mode, "folder": folder, "slices": slices, "variables": types, "time": [cube.time, cube.df.schema[cube.time].dataType.json()] if cube.time else None,
+        "grid": asdict(cube.grid), "chunk": chunk, "attributes": {**(old[-1]["attributes"] if old else {}), **kept(cube.attributes)}, "note": note,
+    }
+    spark.createDataFrame([(json.dumps(record),)], "value string").coalesce(1).write.mode("append").text(f"{path}/log")
+
+
+def _layers(records: list[dict], wanted: set[str]) -> dict[str, list[tuple[int, tuple[str, ...]]]]:
+    """For each slice, the commits (places in records) that count, oldest first, each with its variables that do."""
+    out: dict[str, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
+    for k, r in enumerate(records):
+        own = set(r["variables"])
+        for s in r["slices"]:
+            before = out[s] if r["mode"] == "add" else [(j, tuple(v for v in vs if v not in own)) for j, vs in out[s]]
+            out[s] = [(j, vs) for j, vs in before if vs] + [(k, tuple(sorted(own & wanted)))]
+    return {s: [(j, vs) for j, vs in layers if vs] for s, layers in out.items() if any(vs for _, vs in layers)}
+
+
+def _scan(spark: SparkSession, path: str, records: list[dict], group: dict[str, list[int]], variables: list[str]) -> DataFrame:
+    """Rows of slices, by slice the commits to read them from; variables that a commit lacks are NULL."""
+    first = records[next(iter(group.values()))[0]]
+    table, types = first["folder"].split("/")[0], _types(records)
+    keys = [("iy", '"long"'), ("ix", '"long"')] + ([tuple(first["time"])] if first["time"] else [])
+    schema = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": json.loads(t), "nullable": True, "metadata": {}} for n, t in [*keys, *((v, types[v]) for v in variables)]]})
+    paths = [f"{path}/{records[k]['folder']}/{s}".rstrip("/") for s, ks in group.items() for k in ks]
+    return spark.read.schema(schema).option("basePath", f"{path}/{table}").parquet(*paths)
+
+
+def _table(spark: SparkSession, path: str, records: list[dict], wanted: set[str]) -> DataFrame | None:
+    """Rows of one table's records: slices of one commit each are one scan, those that several make up are laid over each other by cell."""
+    layers = _layers(records, wanted)
+    if not layers:
+        return None
+    names = sorted({v for ls in layers.values() for _, vs in ls for v in vs})
+    keys = ["iy", "ix", *([records[-1]["time"][0]] if records[-1]["time"] else [])]
+    plain = {s: [ls[0][0]] for s, ls in layers.items() if len(ls) == 1 and set(ls[0][1]) == set(records[ls[0][0]]["variables"]) & set(names)}
+    parts = [_scan(spark, path, records, plain, names).select(*keys, *names)] if plain else []
+    groups: dict[tuple, list[str]] = defaultdict(list)
+    for s, ls in layers.items():
+        if s not in plain:
+            groups[tuple(ls)].append(s)
+    for ls, slices in groups.items():
+        rows = None
+        for k, vs in ls:
+            one = _scan(spark, path, records, {s: [k] for s in slices}, list(vs)).select(*keys, *vs, F.lit(k).alias("_k"))
+            rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
+        there = sorted({v for _, vs in ls for v in vs})
+        rows = rows.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_k"))).alias(v) for v in there])
+        parts.append(rows)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
-def _description(spark: SparkSession, path: str) -> dict | None:
-    try:
-        return json.loads(spark.read.text(f"{path}/cube").first()[0])
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def read(spark: SparkSession, path: str, variables: list[str] | None = None, as_of: int | None = None) -> Cube:
+    """The cube at a path, with the variables asked for; nothing but its log is read yet.
+
+    Static layers stand beside each time slice of their cell; a cell that only they have is one row without a time.
+    Where the variables asked for are all static or all in time, only those tables are read. as_of: the number of
+    the last commit that counts.
+    """
+    records = [r for r in history(spark, path) if as_of is None or r["seq"] <= as_of]
+    if not records:
+        raise FileNotFoundError(f"no cube at {path}")
+    grid, attributes = GridSpec(**records[-1]["grid"]), records[-1]["attributes"]
+    timed, flat = [r for r in records if r["time"]], [r for r in records if not r["time"]]
+    missing = [v for v in variables or [] if v not in _types(records)]
+    if missing:
+        raise ValueError(f"no variable {missing}; there are {sorted(_types(records))}")
+    in_time = set(_types(timed)) & set(variables or _types(timed))
+    data = _table(spark, path, timed, in_time) if in_time or not variables and timed else None
+    # of layers of one name, those in time count
+    static = _table(spark, path, flat, (set(_types(flat)) - set(_types(timed))) & set(variables or _types(flat)))
+    time = timed[0]["time"][0] if timed else None
+    if data is not None and dict(data.dtypes)[time] in ("date", "timestamp", "string"):
+        data = data.withColumn(time, F.col(time).cast("timestamp_ntz"))
+    if data is None or static is None:
+        cube = Cube(static if data is None else data, grid, None if data is None else time, attributes)
+    else:
+        cube = Cube(data.join(static, ["iy", "ix"], "full_outer"), grid, time, attributes)
+    return cube.select(*(variables or cube.variables))
+
+
+def compacted(spark: SparkSession, path: str) -> int:
+    """Writes slices that several commits make up as one, and returns how many there were; reading gives the same."""
+    records = [r for r in history(spark, path) if r["time"]]
+    torn = [s for s, ls in _layers(records, set(_types(records))).items() if len(ls) > 1]
+    if torn:
+        whole = read(spark, path, sorted(_types(records)))
+        only = [{**r, "slices": [s for s in r["slices"] if s in torn]} for r in records]
+        rows = _table(spark, path, [r for r in only if r["slices"]], set(_types(records)))
+        write(whole.having(rows, time=records[0]["time"][0]), path, append=True, note={"compacted": len(torn)})
+    return len(torn)
 
 
 def write_all(cubes: dict[str, Cube], base: str, chunks: dict[str, tuple[int, int]] | None = None) -> dict[str, str]:
@@ -67,30 +195,6 @@ def write_all(cubes: dict[str, Cube], base: str, chunks: dict[str, tuple[int, in
     return paths
 
 
-def read(spark: SparkSession, path: str, variables: list[str] | None = None) -> Cube:
-    """The cube at a path, with the variables asked for; nothing but its description is read yet.
-
-    Static layers stand beside each time slice of their cell; a cell that only they have is one row without a time.
-    Where the variables asked for are all static or all in time, only that table is read.
-    """
-    meta = _description(spark, path)
-    if meta is None:
-        raise FileNotFoundError(f"no cube at {path}")
-    cubes = {}
-    for name in meta["tables"]:
-        df, time = spark.read.parquet(f"{path}/{name}"), meta["time"] if name == "data" else None
-        if time and dict(df.dtypes)[time] in ("date", "timestamp", "string"):
-            df = df.withColumn(time, F.col(time).cast("timestamp_ntz"))
-        cubes[name] = Cube(df.drop("cy", "cx"), GridSpec(**meta["grid"]), time, meta["attributes"])
-    for cube in cubes.values():
-        if len(cubes) == 1 or variables and set(variables) <= set(cube.variables):
-            return cube.select(*variables) if variables else cube
-    data, static = cubes["data"], cubes["static"]
-    own = [v for v in static.variables if v not in data.variables]  # of layers of one name, those in time count
-    both = data.having(data.df.join(static.df.select("iy", "ix", *own), ["iy", "ix"], "full_outer"))
-    return both.select(*variables) if variables else both
-
-
 def open_item(spark: SparkSession, catalog: Catalog, collection: str, version: str, resolution: str | None = None, variables: list[str] | None = None, asset_key: str = "zarr", region: str | None = None) -> Cube:
     """The cube of a collection's version; a resolution stands for its own asset, whatever asset_key says.
 
