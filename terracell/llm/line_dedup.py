@@ -165,13 +165,15 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", le
             some = near.has(hashes(distinct))[at] if len(distinct) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(owner[some])), distinct.take(pa.array(at[some])).cast(pa.string())], ["id", "key"])
 
-    suspects_at, gone_at = shared_dir(spark, f"{name}-suspects"), shared_dir(spark, f"{name}-gone")
+    suspects_at, shared_at, gone_at = (shared_dir(spark, f"{name}-{what}") for what in ("suspects", "shared", "gone"))
     suspects = written_to(rows.select("id", "text").mapInArrow(suspected, f"id {rows.schema['id'].dataType.simpleString()}, key string"), suspects_at)
     found = suspects.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("unnamed"))
     shared = found.where((F.col("first") < F.col("last")) | F.col("unnamed") & F.col("first").isNotNull()).select("key", "first")
+    shared = written_to(shared, shared_at)  # so that the join deals both sides anew, and can split a hot key
     gone = suspects.join(shared, "key").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("id").agg(F.collect_set("key").alias("gone"))
     gone = written_to(gone.select(F.col("id").alias("of"), "gone"), gone_at)
     dropped(spark, suspects_at)
+    dropped(spark, shared_at)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
