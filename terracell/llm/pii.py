@@ -10,6 +10,7 @@ combination of features (a bounded table, see FEATURES) and boosts on that.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,44 @@ OTHER_CONTEXT = "token|key|secret|hash|sha|md5|version|order|invoice|isbn|serial
 FEATURES = {"after": 2, "edge": 3, "words": 3, "size": 6, "shape": 5, "check": 2}
 
 
+#: Items that one aggregate runs over, in prefixes of long arrays.
+BLOCK = 64
+#: Code points of a block of a text that is cut in many places.
+TEXT_BLOCK = 1000
+#: Candidates, by start, that may lie between two that touch: patterns bound their lengths (450 at most, 3 at least).
+NEIGHBOURS = 300
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once, however often body looks at it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def larger(x: Column, y: Column) -> Column:
+    return F.greatest(x, y)
+
+
+def smaller(x: Column, y: Column) -> Column:
+    return F.least(x, y)
+
+
+def before_each(values: Column, merge: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each of an array of ints, zero merged with all before it.
+
+    Totals of blocks come first, so the work grows like the array's length (and its square only over
+    BLOCK ** 2), where a single aggregate would copy its result for each item.
+    """
+    none = F.array().cast("array<int>")
+
+    def run(v: Column) -> Column:
+        count = F.ceil(F.size(v) / BLOCK).cast("int")
+        totals = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), zero, merge))
+        starts = F.aggregate(totals, F.struct(zero.alias("at"), none.alias("out")), lambda s, x: F.struct(merge(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+        return bound(starts, lambda b: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.aggregate(F.slice(v, i - i % BLOCK + 1, i % BLOCK), F.element_at(b, ((i - i % BLOCK) / BLOCK).cast("int") + 1), merge)))
+
+    return F.when(F.size(values) > 0, bound(values, run)).otherwise(none)
+
+
 def located(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str], prefix: str) -> DataFrame:
     """rows with {prefix}{kind} for each pattern: an array of (start, stop, value, before, after), its matches in _t.
 
@@ -54,13 +93,21 @@ def located(rows: DataFrame, patterns: dict[str, str], needs: dict[str, str], pr
     quoted = {k: "r'" + p.replace("'", "\\'") + "'" for k, p in patterns.items()}
     rows = rows.withColumns({f"_f_{k}": F.expr(f"case when {needs[k]} then regexp_extract_all(_t, {q}, 0) end") for k, q in quoted.items()})
     rows = rows.withColumns({f"_g_{k}": F.expr(f"case when size(_f_{k}) > 0 then split(_t, {q}, -1) end") for k, q in quoted.items()})
-    empty = "cast(array() as array<struct<start:int,stop:int,value:string,before:string,after:string>>)"
-    walk = """case when size(_f_{k}) > 0 then aggregate(sequence(1, size(_f_{k})), struct(0 as at, {empty} as out),
-        (s, i) -> struct(s.at + length(element_at(_g_{k}, i)) + length(element_at(_f_{k}, i)) as at,
-          concat(s.out, array(struct(s.at + length(element_at(_g_{k}, i)) as start, s.at + length(element_at(_g_{k}, i)) + length(element_at(_f_{k}, i)) as stop,
-            element_at(_f_{k}, i) as value, right(element_at(_g_{k}, i), 24) as before, left(element_at(_g_{k}, i + 1), 1) as after))) as out),
-        s -> s.out) else {empty} end"""
-    return rows.withColumns({f"{prefix}{k}": F.expr(walk.format(k=k, empty=empty)) for k in patterns}).drop(*[f"_{x}_{k}" for k in patterns for x in "fg"])
+    empty = F.expr("cast(array() as array<struct<start:int,stop:int,value:string,before:string,after:string>>)")
+
+    def matches(k: str) -> Column:
+        found, gaps = F.col(f"_f_{k}"), F.col(f"_g_{k}")
+        item = lambda x, i: F.element_at(x, i)
+        numbers = F.sequence(F.lit(1), F.size(found))
+
+        def placed(at: Column) -> Column:
+            start = lambda i: item(at, i) + F.length(item(gaps, i))
+            return F.transform(numbers, lambda i: F.struct(start(i).alias("start"), (start(i) + F.length(item(found, i))).alias("stop"), item(found, i).alias("value"), F.right(item(gaps, i), F.lit(24)).alias("before"), F.left(item(gaps, i + 1), F.lit(1)).alias("after")))
+
+        lengths = F.transform(numbers, lambda i: F.length(item(gaps, i)) + F.length(item(found, i)))
+        return F.when(F.size(found) > 0, bound(before_each(lengths, lambda x, y: x + y, F.lit(0)), placed)).otherwise(empty)
+
+    return rows.withColumns({f"{prefix}{k}": matches(k) for k in patterns}).drop(*[f"_{x}_{k}" for k in patterns for x in "fg"])
 
 
 def digits(value: Column) -> Column:
@@ -206,8 +253,38 @@ def _described(kind: str) -> Column:
     return F.transform(f"_c_{kind}", lambda c: F.struct(*_span(kind, c), *[x.alias(n) for n, x in features(kind, c).items()]))
 
 
+_TOUCHED = "array<struct<start:int,kind:int,stop:int," + ",".join(f"{f}:int" for f in FEATURES) + ",touched:int>>"
+
+
+def _beside_base() -> Column:
+    """_cand with touched: bits of the kinds of base spans that a candidate touches.
+
+    Base spans and candidates in one order, by start: a candidate is touched by a span before it if the furthest end
+    of these lies behind its start, and by one after it if the next of these starts before its end.
+    """
+    base = F.transform("_base", lambda x: F.struct(x["start"].alias("start"), F.lit(0).alias("t"), x["kind"].alias("kind"), x["stop"].alias("stop"), F.lit(None).cast("int").alias("place")))
+    cand = F.transform("_cand", lambda x, i: F.struct(x["start"].alias("start"), F.lit(1).alias("t"), x["kind"].alias("kind"), x["stop"].alias("stop"), i.alias("place")))
+    last = (1 << 31) - 1
+
+    def marked(items: Column) -> Column:
+        numbers = F.sequence(F.lit(1), F.size(items))
+
+        def bits(kind: int) -> Column:
+            own = lambda x: (x["t"] == 0) & (x["kind"] == kind)
+            ends = before_each(F.transform(items, lambda x: F.when(own(x), x["stop"]).otherwise(-1)), larger, F.lit(-1))
+            starts = F.reverse(before_each(F.reverse(F.transform(items, lambda x: F.when(own(x), x["start"]).otherwise(last))), smaller, F.lit(last)))
+            return F.when(F.exists("_base", lambda x: x["kind"] == kind), bound(F.struct(ends.alias("e"), starts.alias("s")), lambda p: F.transform(numbers, lambda i: ((F.element_at(p["e"], i) > F.element_at(items, i)["start"]) | (F.element_at(p["s"], i) < F.element_at(items, i)["stop"])).cast("int") * (1 << kind)))).otherwise(F.transform(numbers, lambda i: F.lit(0)))
+
+        sums = F.zip_with(F.zip_with(bits(0), bits(1), lambda x, y: x + y), F.zip_with(bits(2), bits(3), lambda x, y: x + y), lambda x, y: x + y)
+        return F.array_sort(F.filter(F.zip_with(items, sums, lambda x, b: F.struct(x["place"].alias("place"), b.alias("touched"))), lambda x: x["place"].isNotNull()))
+
+    none = F.transform("_cand", lambda c: F.lit(0))
+    touched = F.when(F.size("_base") > 0, F.transform(bound(F.array_sort(F.concat(base, cand)), marked), lambda x: x["touched"])).otherwise(none)
+    return F.zip_with("_cand", touched, lambda c, t: F.struct(*[c[n].alias(n) for n in ("start", "kind", "stop", *FEATURES)], t.alias("touched")))
+
+
 def with_spans(docs: DataFrame, text: str = "text", candidates: bool = True) -> DataFrame:
-    """docs with _t (text, null as empty), _base (base spans by start, then kind) and _cand (candidates with features)."""
+    """docs with _t (text, null as empty), _base (base spans by start, then kind) and _cand (candidates by start, with features and touched)."""
     needs = {"email": "contains(_t, '@')", "ip": "_dots", "card": "_digits", "phone": "contains(_t, '+')"}
     loose = {"email": r"(contains(_t, '@') or _t rlike r'[\[({](?:at|AT)[\])}]')", "ip": "_dots", "card": "_digits", "phone": "_digits"}
     rows = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_digits", F.col("_t").rlike("[0-9]")).withColumn("_dots", F.col("_digits") & F.col("_t").rlike(r"[0-9]\.[0-9]"))
@@ -216,7 +293,8 @@ def with_spans(docs: DataFrame, text: str = "text", candidates: bool = True) ->
     rows = rows.withColumn("_base", F.array_sort(F.concat(*ok))).drop(*[f"_m_{k}" for k in KINDS])
     if candidates:
         rows = located(rows, CANDIDATES, loose, "_c_")
-        rows = rows.withColumn("_cand", F.concat(*[_described(k) for k in KINDS])).drop(*[f"_c_{k}" for k in KINDS])
+        rows = rows.withColumn("_cand", F.array_sort(F.concat(*[_described(k) for k in KINDS]))).drop(*[f"_c_{k}" for k in KINDS])
+        rows = rows.withColumn("_cand", F.when(F.size("_cand") > 0, _beside_base()).otherwise(F.expr("cast(array() as " + _TOUCHED + ")")))
     return rows.drop("_digits", "_dots")
 
 
@@ -229,11 +307,12 @@ def labelled(c: Column) -> Column:
     item of the kind passes (not the phone's, which is one national form). Anything else, and what overlaps a
     base span of another kind, says nothing: loose forms without evidence are not learned as negatives.
     """
-    touches = lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])
-    own = F.exists("_base", lambda b: (b["kind"] == c["kind"]) & touches(b))
+    own: Column = F.lit(1)
+    for k in range(1, len(KINDS)):
+        own = F.when(c["kind"] == k, 1 << k).otherwise(own)
     sure = (c["words"] == 1) & (c["check"] == 1) & (c["after"] == 0)
     wrong = (c["words"] == 2) | (c["after"] == 1) | ((c["check"] == 0) & (c["kind"] != KINDS.index("phone")))
-    return F.when(own, 1).when(F.exists("_base", touches), None).when(wrong, 0).when(sure, 1)
+    return F.when(c["touched"].bitwiseAND(own) != 0, 1).when(c["touched"] != 0, None).when(wrong, 0).when(sure, 1)
 
 
 def fitted(docs: DataFrame, text: str = "text", folds: int = 4, **options) -> Model:
@@ -268,13 +347,18 @@ def found(docs: DataFrame, model: Model | None = None, text: str = "text") -> Da
             total = F.when(c["kind"] == KINDS.index(k), sum(trees[1:], trees[0]) - F.lit(model.thresholds[k])).otherwise(total)
         return total
 
-    touches = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
-    scored = F.transform("_cand", lambda c: F.struct(score(c).alias("score"), (-c["start"]).alias("s"), (-c["kind"]).alias("k"), c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))
-    rows = rows.withColumn("_scored", F.filter(scored, lambda c: c["score"] >= 0))
-    rows = rows.withColumn("_new", F.filter("_scored", lambda c: ~F.exists("_base", lambda b: touches(b, c))))
-    kept = F.filter("_new", lambda c: ~F.exists("_new", lambda o: touches(o, c) & (F.struct(o["score"], o["s"], o["k"]) > F.struct(c["score"], c["s"], c["k"]))))
+    scored = F.transform("_cand", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["touched"].alias("touched"), score(c).alias("score")))
+    rows = rows.withColumn("_scored", F.filter(scored, lambda c: (c["score"] >= 0) & (c["touched"] == 0)))
+
+    def best(items: Column) -> Column:
+        """Those of items that touch none of a higher score; only neighbours by start can touch."""
+        order = lambda c: F.struct(c["score"], -c["start"], -c["kind"])
+        near = lambda i: F.slice(items, F.greatest(i - NEIGHBOURS, F.lit(0)) + 1, F.lit(2 * NEIGHBOURS + 1))
+        return F.filter(items, lambda c, i: ~F.exists(near(i), lambda o: (o["start"] < c["stop"]) & (c["start"] < o["stop"]) & (order(o) > order(c))))
+
+    kept = F.when(F.size("_scored") > 1, bound(F.col("_scored"), best)).otherwise(F.col("_scored"))
     rows = rows.withColumn("_add", F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))))
-    return rows.withColumn("spans", F.array_sort(F.concat("_base", "_add"))).withColumnRenamed("_base", "base_spans").drop("_t", "_cand", "_scored", "_new", "_add")
+    return rows.withColumn("spans", F.array_sort(F.concat("_base", "_add"))).withColumnRenamed("_base", "base_spans").drop("_t", "_cand", "_scored", "_add")
 
 
 def listed(spans: Column) -> Column:
@@ -293,12 +377,24 @@ def redacted(docs: DataFrame, model: Model | None = None, text: str = "text") ->
     n_chars, where docs has it, becomes the new length. Null texts stay null.
     """
     rows = found(carried(docs, F.col(text).alias("text")), fitted(docs, text) if model is None else model)
-    tags = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    cut = F.expr(f"""
-      aggregate(spans, struct(0 as at, cast(array() as array<string>) as out),
-        (s, x) -> case when x.start < s.at then struct(greatest(s.at, x.stop) as at, s.out as out)
-          else struct(x.stop as at, concat(s.out, array(substring(text, s.at + 1, x.start - s.at), element_at({tags}, x.kind + 1))) as out) end,
-        s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))""")
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+
+    def between(blocks: Column, a: Column, b: Column) -> Column:
+        """The text from code point a to b, from its blocks."""
+        of = lambda x: ((x - x % TEXT_BLOCK) / TEXT_BLOCK).cast("int")
+        block = lambda k: F.coalesce(F.try_element_at(blocks, k + 1), F.lit(""))
+        same = F.substring(block(of(a)), a % TEXT_BLOCK + 1, b - a)
+        apart = F.concat(F.substring(block(of(a)), a % TEXT_BLOCK + 1, F.lit(TEXT_BLOCK)), F.array_join(F.slice(blocks, of(a) + 2, of(b) - of(a) - 1), ""), F.substring(block(of(b)), F.lit(1), b % TEXT_BLOCK))
+        return F.when(of(a) == of(b), same).otherwise(apart)
+
+    def parts(ends: Column) -> Column:
+        """Pieces of text in front of spans with their tags, none for spans that start inside of another; and the rest."""
+        blocks = F.regexp_extract_all(F.col("text"), F.lit("(?s).{1,%d}" % TEXT_BLOCK), F.lit(0))
+        spans, last = F.col("spans"), F.array_max(F.transform("spans", lambda x: x["stop"]))
+        piece = lambda b, x, e: F.when(x["start"] >= e, F.concat(between(b, e, x["start"]), F.element_at(tags, x["kind"] + 1))).otherwise("")
+        return bound(blocks, lambda b: F.concat(F.array_join(F.zip_with(spans, ends, lambda x, e: piece(b, x, e)), ""), between(b, last, F.length("text"))))
+
+    cut = bound(before_each(F.transform("spans", lambda x: x["stop"]), larger, F.lit(0)), parts)
     rows = rows.withColumn("_new", F.when(F.size("spans") > 0, cut).otherwise(F.col("text")))
     fresh = {text: F.col("_new"), "n_chars": F.length("_new").cast("long")}
     return rows.select(*[fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
