@@ -1,7 +1,7 @@
-"""Chunked arrays and rasters as DataFrames: Spark lists and reads the files, each task decodes its own chunks.
+"""Bytes of chunks and rasters: Spark lists and reads the files, each task decodes its own.
 
-Version 2 of the Zarr layout is read with chunks that are plain, zlib, gzip or zstd; rasters are strips or tiles of
-TIFF files, plain or deflate. Other codecs raise an error that names them.
+Chunks are plain, zlib, gzip, zstd, or Blosc containers of zlib, zstd or LZ4; rasters are strips or tiles of TIFF files,
+plain or deflate. Other codecs raise an error that names them.
 """
 
 from __future__ import annotations
@@ -30,9 +30,53 @@ def inflated(raw: bytes, codec: dict | None) -> bytes:
         import zstandard
 
         return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    if name == "blosc":
+        return unblosced(raw)
     raise ValueError(f"chunks compressed with {name!r} can't be read")
 
 
+def _unpacked(raw: bytes, size: int, codec: int) -> bytes:
+    """size bytes of a stream in a Blosc container, by the number of its codec."""
+    if len(raw) == size:
+        return raw
+    if codec == 3:
+        return zlib.decompress(raw)
+    if codec == 4:
+        return inflated(raw, {"id": "zstd"})
+    if codec == 1:
+        return pa.decompress(raw, decompressed_size=size, codec="lz4_raw", asbytes=True)
+    raise ValueError(f"Blosc chunks of codec {codec} can't be read")
+
+
+def unblosced(raw: bytes) -> bytes:
+    """What a Blosc container (format version 2) holds.
+
+    16 bytes of header (format, codec's format, flags, item size; then sizes of all, of a block and of the container),
+    offsets of blocks, and in each block one stream, or one for each byte of an item. Flags: 1 bytes shuffled,
+    2 stored as it is, 4 bits shuffled, 16 one stream a block; the codec from the sixth bit.
+    """
+    _, _, flags, item, size, block, _ = struct.unpack("<BBBBIII", raw[:16])
+    if flags & 2:
+        return raw[16 : 16 + size]
+    out = []
+    for k, at in enumerate(struct.unpack_from(f"<{-(-size // block)}I", raw, 16)):
+        own = min(block, size - k * block)
+        streams = item if not flags & 16 and own == block and item > 1 else 1
+        parts = []
+        for _ in range(streams):
+            (n,) = struct.unpack_from("<I", raw, at)
+            parts.append(_unpacked(raw[at + 4 : at + 4 + n], own // streams, flags >> 5))
+            at += 4 + n
+        data, whole = np.frombuffer(b"".join(parts), np.uint8), own // item * item
+        if flags & 4 and own % item == 0 and own // item % 8 == 0:
+            bits = np.unpackbits(data.reshape(8 * item, -1), axis=1, bitorder="little").T
+            data = np.packbits(np.ascontiguousarray(bits), axis=1, bitorder="little").ravel()
+        elif flags & 1 and item > 1:
+            data = np.concatenate([data[:whole].reshape(item, -1).T.ravel(), data[whole:]])
+        out.append(data.tobytes())
+    return b"".join(out)
+
+
 def small_file(spark: SparkSession, path: str) -> str:
     """Text of a small file, also of one whose name hides it from Spark's scans, from any file system that Spark knows."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -43,38 +87,6 @@ def small_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def zarr_variable(spark: SparkSession, store: str, name: str) -> DataFrame:
-    """(d0, d1, ..., value): one row for an entry of an array below a store, its dimensions' positions and its value.
-
-    Fill values are NULL. Only the array's small description is read on the driver; chunk files are rows of a
-    binary scan, and a chunk is decoded where it is read. Missing chunks, which hold fill values only, give no rows.
-    """
-    meta = json.loads(small_file(spark, f"{store}/{name}/.zarray"))
-    if meta.get("filters"):
-        raise ValueError(f"filters {meta['filters']} can't be read")
-    shape, chunks, dtype, codec = meta["shape"], meta["chunks"], np.dtype(meta["dtype"]), meta["compressor"]
-    fill, sep, order = meta.get("fill_value"), meta.get("dimension_separator", "."), meta.get("order", "C")
-    columns = [f"d{k}" for k in range(len(shape))]
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tail = path.rstrip("/").split("/")
-                key = tail[-1].split(sep) if sep != "/" else tail[-len(shape) :]
-                block = np.frombuffer(inflated(raw, codec), dtype).reshape(chunks, order=order)
-                start = [int(k) * c for k, c in zip(key, chunks)]
-                block = block[tuple(slice(0, n - s) for n, s in zip(shape, start))]
-                values = block.ravel().astype(float)
-                keep = ~np.isnan(values)
-                if isinstance(fill, (int, float)):
-                    keep &= values != fill
-                at = np.unravel_index(np.flatnonzero(keep), block.shape)
-                yield pa.RecordBatch.from_arrays([*[pa.array(a + s, pa.int64()) for a, s in zip(at, start)], pa.array(values[keep])], [*columns, "value"])
-
-    files = importable(spark).read.format("binaryFile").option("recursiveFileLookup", sep == "/").option("pathGlobFilter", "[0-9]*").load(f"{store}/{name}")
-    return files.select("path", "content").mapInArrow(decode, ", ".join(f"{c} long" for c in columns) + ", value double")
-
-
 def tiff_blocks(raw: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
     """(row, column, values) of each strip or tile of a TIFF's first band."""
     end = {b"II": "<", b"MM": ">"}.get(raw[:2])
