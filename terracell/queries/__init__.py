@@ -26,6 +26,6 @@ def query(sql: str | None, name: str | None = None) -> Callable[[Query], Query]:
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from terracell.queries import catalogs, reductions, regridding, stores, subsets, valuing  # noqa: F401
+    from terracell.queries import axes, catalogs, reductions, regridding, stores, subsets, valuing  # noqa: F401
 
     return QUERIES, ORACLE_SQL
