@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.operators import subset
+from terracell.operators import polygons, subset
 from terracell.queries import query
 from terracell.queries.cubes import EVENTS, NORTH_UP, OBS, STATIC, events, observations, static, table
 
@@ -78,3 +78,39 @@ def rename_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concat_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     cube = observations(spark, sf_dir).select("v")
     return subset.stacked([cube.having(cube.df.where(F.col("yr") == y)) for y in (1996, 1999)]).df
+
+
+_RING = [(-1.0, -0.9), (1.1, -0.8), (1.3, 0.4), (0.1, 1.2), (-1.2, 0.5)]
+_HOLE = [(-0.4, -0.3), (0.5, -0.2), (0.1, 0.5)]
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(polygon_id, rings): a polygon for a supplier, every third with a hole."""
+    cx, cy, r = (F.col("s_suppkey") % 32) + 0.3, (F.col("s_suppkey") * 7 % 32) + 0.2, (F.col("s_suppkey") % 4 + 1).cast("double")
+    ring = lambda points: F.array(*[F.struct((cx + r * x).alias("x"), (cy + r * y).alias("y")) for x, y in points])
+    rings = F.when(F.col("s_suppkey") % 3 == 0, F.array(ring(_RING), ring(_HOLE))).otherwise(F.array(ring(_RING)))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("polygon_id"), rings.alias("rings"))
+
+
+def _shape_edges() -> str:
+    corners = ", ".join(f"({h}, {a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE, {b[0]!r}::DOUBLE, {b[1]!r}::DOUBLE)" for h, ring in ((0, _RING), (1, _HOLE)) for a, b in zip(ring, ring[1:] + ring[:1]))
+    place = "(s_suppkey % 32 + 0.3::DOUBLE)", "(s_suppkey * 7 % 32 + 0.2::DOUBLE)", "CAST(s_suppkey % 4 + 1 AS DOUBLE)"
+    columns = ", ".join(f"{place[k % 2]} + {place[2]} * {c} AS {c}" for k, c in enumerate(("xa", "ya", "xb", "yb")))
+    return f"""borders AS (SELECT s_suppkey AS polygon_id, {columns} FROM supplier, (VALUES {corners}) e(hole, xa, ya, xb, yb) WHERE hole = 0 OR s_suppkey % 3 = 0),
+      within AS (SELECT polygon_id, iy, ix, any_value(v) AS v FROM static JOIN borders ON (iy + 0.5 < ya) <> (iy + 0.5 < yb) AND ix + 0.5 < xa + (iy + 0.5 - ya) * ((xb - xa) / (yb - ya)) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)"""
+
+
+@query(f"WITH {STATIC}, {_shape_edges()} SELECT polygon_id, count(*) AS n_cells, CAST(sum(v) AS BIGINT) AS v FROM within GROUP BY 1")
+def zonal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells and their sum in each of many polygons."""
+    cube = static(spark, sf_dir).select("v")
+    runs = polygons.spans(polygons.edges(_shapes(spark, sf_dir)), cube.grid)
+    return polygons.labelled(cube, runs).groupBy("polygon_id").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("v").alias("v"))
+
+
+@query(f"WITH {STATIC}, {_shape_edges()} SELECT DISTINCT iy, ix, v FROM within WHERE polygon_id % 5 = 1")
+def mask_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells in any polygon of the suppliers of one kind."""
+    cube = static(spark, sf_dir).select("v")
+    chosen = _shapes(spark, sf_dir).where("polygon_id % 5 = 1")
+    return polygons.masked(cube, polygons.spans(polygons.edges(chosen), cube.grid)).df
