@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terracell.catalog import discovery, rules, tables
+from terracell.catalog import bodies, discovery, rules, tables, tree
 from terracell.queries import query
 from terracell.queries.cubes import table
 
@@ -154,3 +154,95 @@ def text_filter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = discovery.containing(table(spark, sf_dir, "part"), "Steel", ["p_type"])
     both = left.unionByName(right).select("p_partkey", "p_brand").distinct()
     return both.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A root, a catalog for a region, and suppliers as a tree of their own: each half as far from the first, the last of a branch an item."""
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"), F.lit("root").alias("parent"), F.lit("catalog").alias("kind"))
+    k = F.col("s_suppkey")
+    parent = F.when(k > 1, F.concat(F.lit("S"), F.floor(k / 2).cast("string"))).otherwise(F.lit("R0"))
+    suppliers = table(spark, sf_dir, "supplier").withColumn("_n", F.lit(table(spark, sf_dir, "supplier").count())).select(F.concat(F.lit("S"), k.cast("string")).alias("id"), parent.alias("parent"), F.when(2 * k > F.col("_n"), "item").otherwise("collection").alias("kind"))
+    return regions.unionByName(suppliers).unionByName(spark.createDataFrame([("root", None, "catalog")], "id string, parent string, kind string"))
+
+
+_NODES = """nodes AS (SELECT 'R' || r_regionkey AS id, 'root' AS parent, 'catalog' AS kind FROM region
+    UNION ALL SELECT 'S' || s_suppkey, CASE WHEN s_suppkey > 1 THEN 'S' || (s_suppkey // 2) ELSE 'R0' END, CASE WHEN 2 * s_suppkey > (SELECT count(*) FROM supplier) THEN 'item' ELSE 'collection' END FROM supplier
+    UNION ALL SELECT 'root', NULL, 'catalog'),
+  reached AS (SELECT id, parent, kind, 0 AS depth, '' AS folder FROM nodes WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, n.kind, r.depth + 1, r.folder || n.id || '/' FROM nodes n JOIN reached r ON n.parent = r.id),
+  located AS (SELECT *, folder || kind || '.json' AS path FROM reached)"""
+
+
+@query(f"WITH RECURSIVE {_NODES} SELECT id, parent, kind, depth, path FROM located")
+def tree_of_any_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.paths(_nodes(spark, sf_dir)).select("id", "parent", "kind", "depth", "path")
+
+
+@query(f"""WITH RECURSIVE {_NODES} SELECT 's3://w/' || l.path AS written, rel, 'https://p/' || href AS href FROM located l JOIN (
+    SELECT id, 'self' AS rel, path AS href FROM located UNION ALL SELECT id, 'root', 'catalog.json' FROM located UNION ALL SELECT c.id, 'parent', p.path FROM located c JOIN located p ON c.parent = p.id
+    UNION ALL SELECT c.parent, CASE WHEN c.kind = 'item' THEN 'item' ELSE 'child' END, c.path FROM located c WHERE c.parent IS NOT NULL) x ON l.id = x.id""")
+def tree_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of documents that are written under one base and published under another, out of their JSON."""
+    nodes = _nodes(spark, sf_dir)
+    plain = bodies.catalog_bodies(nodes.select("id", F.col("id").alias("title"), F.lit(None).cast("string").alias("description")))
+    docs = tree.documents(nodes, [plain], "s3://w", "https://p/")
+    link = F.explode(F.from_json(F.get_json_object("body", "$.links"), "array<struct<rel:string,href:string>>"))
+    return docs.select(F.col("path").alias("written"), link.alias("l")).select("written", "l.rel", "l.href")
+
+
+def _configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration for a nation, with some fields missing in some."""
+    n, name = F.col("n_nationkey"), F.col("n_name")
+    some = lambda k, c: F.when(n % k != 0, c)
+    return table(spark, sf_dir, "nation").select(
+        name.alias("id"), F.concat(F.lit("Nation "), name).alias("title"), F.concat(F.lit("About "), name).alias("description"), some(2, F.lit("MIT")).alias("license"),
+        F.array(n - 10.5, n - 20.5, n + 10.5, n + 20.5).cast("array<double>").alias("bbox"), F.make_timestamp_ntz(2000 + n, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("start_datetime"),
+        F.make_timestamp_ntz(2001 + n, F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0)).alias("end_datetime"), some(3, F.array(name, F.lit("nation"))).alias("keywords"),
+        F.array(F.lit("agb"), F.lit("sd")).alias("variables"), F.create_map(F.lit("agb"), F.lit("Mg/ha")).alias("units"), some(4, n.cast("double") * 10).alias("gsd"),
+        F.array(F.struct(F.lit("cite-as").alias("rel"), F.concat(F.lit("https://doi.org/"), name).alias("href")), F.struct(F.lit("via").alias("rel"), F.lit("https://x").alias("href"))).alias("_links"),
+    ).withColumn("links", F.transform("_links", lambda x: F.struct(x["rel"].alias("rel"), x["href"].alias("href"), F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("title")))).drop("_links")
+
+
+def _fields(df: DataFrame, paths: dict[str, str]) -> DataFrame:
+    return df.select(*[F.get_json_object("body", p).alias(n) for n, p in paths.items()])
+
+
+@query("""SELECT n_name AS id, 'Collection' AS type, 'Nation ' || n_name AS title, 'About ' || n_name AS description, CASE WHEN n_nationkey % 2 <> 0 THEN 'MIT' ELSE 'CC-BY-4.0' END AS license,
+  '[' || CAST(n_nationkey - 10.5 AS DECIMAL(9,1)) || ',' || CAST(n_nationkey - 20.5 AS DECIMAL(9,1)) || ',' || CAST(n_nationkey + 10.5 AS DECIMAL(9,1)) || ',' || CAST(n_nationkey + 20.5 AS DECIMAL(9,1)) || ']' AS bbox,
+  (2000 + n_nationkey) || '-01-01T00:00:00Z' AS start, (2001 + n_nationkey) || '-12-31T00:00:00Z' AS ends, CASE WHEN n_nationkey % 3 <> 0 THEN '["' || n_name || '","nation"]' ELSE '[]' END AS keywords,
+  '["agb","sd"]' AS variables, 'Mg/ha' AS unit, 'https://doi.org/' || n_name AS doi, 'via' AS second FROM nation""")
+def collections_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = bodies.collection_bodies(_configs(spark, sf_dir)).select(F.to_json("body").alias("body"))
+    return _fields(docs, {
+        "id": "$.id", "type": "$.type", "title": "$.title", "description": "$.description", "license": "$.license", "bbox": "$.extent.spatial.bbox[0]", "start": "$.extent.temporal.interval[0][0]", "ends": "$.extent.temporal.interval[0][1]",
+        "keywords": "$.keywords", "variables": "$.summaries.variables", "unit": "$.summaries.units_by_variable.agb", "doi": "$.links[0].href", "second": "$.links[1].rel",
+    })
+
+
+@query("""SELECT n_name || '_v' || v AS id, n_name AS collection, 'Feature' AS type, 'Nation ' || n_name AS product_name, v AS version,
+  CASE WHEN v = '2.0' THEN '1990-01-01T00:00:00Z' ELSE (2000 + n_nationkey) || '-01-01T00:00:00Z' END AS start, CASE WHEN v = '2.0' THEN '1999-12-31T00:00:00Z' ELSE (2001 + n_nationkey) || '-12-31T00:00:00Z' END AS dated,
+  CASE WHEN n_nationkey % 4 <> 0 THEN CAST(CAST(n_nationkey * 10 AS DECIMAL(9,1)) AS VARCHAR) END AS gsd, CAST(CAST(n_nationkey + 20.5 AS DECIMAL(9,1)) AS VARCHAR) AS north,
+  'c/' || n_name || '/' || n_name || '_v' || v || '_1m.zarr' AS href, 'application/vnd.zarr' AS media_type, 'Nation ' || n_name || ' (1m)' AS asset_title, '["data"]' AS roles, 'agb' AS band, 'Mg/ha' AS unit, 'cite-as' AS link, NULL AS second
+  FROM nation, (VALUES ('1.0'), ('2.0')) q(v)""")
+def items_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configs = _configs(spark, sf_dir)
+    versions = configs.select(F.col("id").alias("collection_id"), F.explode(F.array(F.lit("1.0"), F.lit("2.0"))).alias("version"))
+    items = tables.items_of(configs.select(F.col("id").alias("collection_id")), versions)
+    assets = tables.assets_of(items, configs.select(F.col("id").alias("collection_id"), F.lit("1m").alias("resolution")), "c")
+    periods = versions.where("version = '2.0'").withColumns({"start": F.lit("1990-01-01").cast("timestamp_ntz"), "end": F.lit("1999-12-31").cast("timestamp_ntz")})
+    docs = bodies.item_bodies(items, configs, assets, periods).select(F.to_json("body").alias("body"))
+    return _fields(docs, {
+        "id": "$.id", "collection": "$.collection", "type": "$.type", "product_name": "$.properties.product_name", "version": "$.properties.version", "start": "$.properties.start_datetime", "dated": "$.properties.datetime",
+        "gsd": "$.properties['eo:gsd']", "north": "$.geometry.coordinates[0][1][1]", "href": "$.assets.zarr_1m.href", "media_type": "$.assets.zarr_1m.type", "asset_title": "$.assets.zarr_1m.title", "roles": "$.assets.zarr_1m.roles",
+        "band": "$.assets.zarr_1m['raster:bands'][0].name", "unit": "$.assets.zarr_1m['raster:bands'][0].unit", "link": "$.links[0].rel", "second": "$.links[1].rel",
+    })
+
+
+@query("SELECT 'root' AS id, 'Catalog' AS type, 'All' AS title, 'MIT' AS license, CAST(count(*) AS BIGINT) AS children, 'https://p/R0/catalog.json' AS first FROM region")
+def root_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root's document: its own fields, and a link to each region's catalog."""
+    nodes = _nodes(spark, sf_dir).where("kind = 'catalog'")
+    top = bodies.catalog_bodies(spark.createDataFrame([("root", "All", None)], "id string, title string, description string"), {"license": F.lit("MIT")})
+    docs = tree.documents(nodes, [top], "s3://w", "https://p")
+    link = F.from_json(F.get_json_object("body", "$.links"), "array<struct<rel:string,href:string>>")
+    children = F.filter(link, lambda x: x["rel"] == "child")
+    return docs.select(*[F.get_json_object("body", f"$.{n}").alias(n) for n in ("id", "type", "title", "license")], F.size(children).cast("bigint").alias("children"), F.array_sort(F.transform(children, lambda x: x["href"]))[0].alias("first"))
