@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terracell.operators import coarsen, subset
 from terracell.operators import reduce as R
 from terracell.queries import query
-from terracell.queries.cubes import ENSEMBLE, OBS, STATIC, ensemble, observations, static
+from terracell.queries.cubes import ENSEMBLE, OBS, STATIC, ensemble, observations, static, table
 
 
 @query(f"WITH {STATIC} SELECT iy, ix, v, CAST(q AS BIGINT) AS q FROM (SELECT iy, ix, CAST(sum(v) AS BIGINT) AS v, sum(q) AS q FROM obs GROUP BY 1, 2)")
@@ -70,3 +70,15 @@ def flagship_subset_coarsen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A box and a range of years of the time cube, made coarser by four."""
     cube = subset.bbox(observations(spark, sf_dir).select("v"), 0, 0, 24, 32)
     return coarsen.coarsen(cube.having(cube.df.where(F.col("yr").between(1996, 2000))), 4, "mean").df
+
+
+@query("""SELECT quantile_cont(v, 0.05) AS low, quantile_cont(v, 0.5) AS middle, quantile_cont(v, 0.95) AS high FROM (SELECT CAST(round(l_extendedprice * 100) AS DOUBLE) AS v FROM lineitem)""")
+def quantiles_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of all line items' prices in cents, one group of all rows."""
+    prices = table(spark, sf_dir, "lineitem").select(F.round(F.col("l_extendedprice") * 100).alias("v"))
+    return R.selected(prices, [], "v", {"low": 0.05, "middle": 0.5, "high": 0.95})
+
+
+@query("""SELECT l_returnflag, l_linestatus, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM (SELECT l_returnflag, l_linestatus, CAST(l_partkey AS DOUBLE) AS v FROM lineitem) GROUP BY 1, 2""")
+def quantiles_of_few_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.selected(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", {"q25": 0.25, "q75": 0.75})
