@@ -65,5 +65,15 @@ LEGENDS = {
         43: "Deforested → other land cover", 50: "Ongoing deforestation or degradation (2022–2024)", 60: "Permanent or seasonal water",
         70: "Other land cover (including afforestation)",
     },
-    "age_class": dict(enumerate([f"{a}-{a + 20}" for a in range(0, 200, 20)] + ["200-299", ">299"])),
+    "moist_forest_subtypes": {
+        10: "Undisturbed TMF", 11: "Bamboo-dominated forest", 12: "Undisturbed mangroves", 21: "Degraded forest (<2015)", 22: "Degraded forest (2015–2023)",
+        23: "Long degradation (<2015)", 24: "Long degradation (2015–2023)", 31: "Old forest regrowth", 32: "Young forest regrowth", 33: "Very young forest regrowth",
+        41: "Deforestation (<2014)", 42: "Deforestation (2014–2021)", 51: "Deforestation (2022)", 52: "Deforestation (2023)", 53: "Deforestation (2024)",
+    },
+    "moist_forest_annual": {
+        1: "Undisturbed Tropical Moist Forest", 2: "Degraded TMF", 3: "Deforested land", 4: "Forest regrowth", 5: "Permanent or seasonal water", 6: "Other land cover",
+    },
+    "age_class": {
+        0: "0-20", 1: "20-40", 2: "40-60", 3: "60-80", 4: "80-100", 5: "100-120", 6: "120-140", 7: "140-160", 8: "160-180", 9: "180-200", 10: "200-299", 11: ">299",
+    },
 }

@@ -107,9 +107,10 @@ RECIPES = {
         Recipe("LIU_BIOMASS", EUROPE, (Variable("aboveground_biomass", FLOAT, None), Variable("canopy_cover", INT8, None), Variable("canopy_height", FLOAT, None)), scalar_year=2019),
         Recipe("ROBINSON_CR", GEOGRAPHIC, _same(["cr_a", "cr_b", "cr_k", "cr_a_error", "cr_b_error", "cr_k_error", "max_rate", "age_at_max_rate", "max_removal_potential_benefit_25"], FLOAT, -9999.0)),
         Recipe("EFDA", EUROPE, (Variable("disturbance_occurrence", INT16, -9999), Variable("disturbance_agent", INT16, -9999, legend="agent")), (1000, 1000), time="year", mask="forest_mask"),
-        Recipe("JRC_TMF", GEOGRAPHIC, (Variable("TransitionMap_MainClasses", INT16, None, legend="moist_forest"), Variable("TransitionMap_Subtypes", INT16, None), Variable("DegradationYear", INT16, None), Variable("DeforestationYear", INT16, None), Variable("UndisturbedDegradedForest", INT8, None))),
-        Recipe("JRC_TMF_ANNUAL", GEOGRAPHIC, (Variable("AnnualChange", INT8, 0),), time="year"),
+        Recipe("JRC_TMF", GEOGRAPHIC, (Variable("TransitionMap_MainClasses", INT16, None, legend="moist_forest"), Variable("TransitionMap_Subtypes", INT16, None, legend="moist_forest_subtypes"), Variable("DegradationYear", INT16, None), Variable("DeforestationYear", INT16, None), Variable("UndisturbedDegradedForest", INT8, None))),
+        Recipe("JRC_TMF_ANNUAL", GEOGRAPHIC, (Variable("AnnualChange", INT8, 0, legend="moist_forest_annual"),), time="year"),
         Recipe("HANSEN_GFC", GEOGRAPHIC, (Variable("tree_cover", INT8, None, "treecover2000"), Variable("gain", INT8, None), Variable("data_mask", INT8, None, "datamask"), Variable("loss_year", INT16, 0, "lossyear", (V.loss_year,)))),
+        Recipe("RADD_EUROPE", EUROPE, (Variable("disturbance_occurrence", INT16, -9999), Variable("forest_mask", INT16, -9999), Variable("alert_yydoy", INT32, None)), time="month"),
         Recipe("JRC_GFC2020", GEOGRAPHIC, (Variable("forest_cover", INT8, 255),), scalar_year=2020),
         Recipe("GAMI", GEOGRAPHIC, (Variable("forest_age", INT16, -9999),), (500, 500)),
         Recipe("GAMI_AGECLASS", GEOGRAPHIC, (Variable("forest_age", FLOAT, -9999.0, legend="age_class", cast_first=True),), (90, 180)),
@@ -117,7 +118,7 @@ RECIPES = {
         Recipe("POTAPOV_LCLUC", GEOGRAPHIC, (Variable("canopy_height", FLOAT, -9999.0, steps=_height()),), (2048, 2048), time="year"),
         Recipe("FORESTPATHS_GENUS", EUROPE, (Variable("genus", INT32, 255, legend="genus"),), scalar_year=2020),
         Recipe("WANG_FORESTAGE", GEOGRAPHIC, _same(["natural_forest_age", "planted_forest_age"], INT16, -9999), (500, 500), time="year"),
-        Recipe("GEDI_L4D", GEOGRAPHIC, _same([f"rh{p}" for p in (10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 98)], FLOAT, -9999.0), (500, 500)),
+        Recipe("GEDI_L4D", GEOGRAPHIC, _same(["rh10", "rh20", "rh30", "rh40", "rh50", "rh60", "rh70", "rh80", "rh90", "rh95", "rh98"], FLOAT, -9999.0), (500, 500)),
         Recipe("RESTOR_LANDUSE", products.AMAZON_ALBERS, (Variable("lulc", INT8, 255, legend="land_use"),), (1000, 1000), time="year"),
         Recipe("ALS_PRODUCTS", "EPSG:25830", _same(products.ALS_STRUCTURE, FLOAT, -9999.0), (1024, 1024)),
         Recipe("ULS_PRODUCTS", "EPSG:32632", _same(products.ULS_BANDS, FLOAT, -9999.0), (1024, 1024)),

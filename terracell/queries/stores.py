@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracell.catalog.tables import Catalog, assets_of, items_of
+from terracell.cube import Cube
+from terracell.functions.dates import day_code
 from terracell.grid import GridSpec
 from terracell.operators import coarsen as C
 from terracell.operators import subset
+from terracell.plans import alerts
 from terracell.queries import query
-from terracell.queries.cubes import GRID, OBS, STATIC, observations, static
+from terracell.queries.cubes import GRID, HALF, OBS, STATIC, observations, static, table
 from terracell.session import shared_folder
 from terracell.sources import store
 from terracell.streaming.slices import ingest
@@ -122,3 +125,17 @@ def grid_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(f"{GRID.width}x{GRID.height}", GridSpec(GRID.crs, float(r[0]), 0.0, 1.0, 1.0, GRID.width, GRID.height).digest()) for r in origins]
     df = spark.createDataFrame(rows, "shape string, digest string")
     return df.groupBy("shape").agg(F.max(F.length("digest")).alias("digits"), F.countDistinct("digest").alias("kinds"))
+
+
+@query("""WITH cells AS (SELECT o_custkey % 16 AS iy, o_custkey // 16 % 16 AS ix, max(CAST(strftime(o_orderdate, '%y%j') AS INTEGER)) AS code FROM orders GROUP BY 1, 2),
+  known AS (SELECT *, CASE ix % 5 WHEN 4 THEN NULL WHEN 3 THEN 9 ELSE ix % 2 END AS mask, make_date(2000 + code // 1000, 1, 1) + (code % 1000 - 1) AS day FROM cells)
+  SELECT iy, ix, CAST(make_date(2099, CAST(m AS INTEGER), 1) AS DATE) AS t, CAST(CASE WHEN mask IS NULL OR mask = 9 THEN -9999 WHEN mask = 1 AND year(day) = 2099 AND month(day) = m THEN 1 ELSE 0 END AS SMALLINT) AS disturbance_occurrence,
+    CAST(CASE WHEN mask IN (0, 1) THEN mask ELSE -9999 END AS SMALLINT) AS forest_mask, code AS alert_yydoy FROM known, range(1, 13) r(m)""")
+def alert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dated alerts (the last order's date of each cell) ingested as static layers and monthly slices of a store, and read back."""
+    custkey = F.col("o_custkey")
+    cells = table(spark, sf_dir, "orders").groupBy((custkey % 16).alias("iy"), (F.floor(custkey / 16) % 16).alias("ix")).agg(F.max(day_code(F.col("o_orderdate"))).alias("alert"))
+    mask = F.when(F.col("ix") % 5 == 4, F.lit(None)).when(F.col("ix") % 5 == 3, 9).otherwise(F.col("ix") % 2)
+    path = shared_folder(spark, "alerts")
+    alerts.ingest(Cube(cells.withColumn("forest_mask", mask.cast("double")), HALF), path, "2099-01-01", "2099-12-01", (8, 8))
+    return store.read(spark, path).df.select("iy", "ix", F.to_date("time").alias("t"), "disturbance_occurrence", "forest_mask", "alert_yydoy")
