@@ -99,11 +99,11 @@ def test_only_the_footprint_is_read(spark, tmp_path):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.floats(-65, 65), st.floats(-84, 84), st.sampled_from([9.0, -177.0, 177.0]))
+@given(st.floats(-50, 50), st.floats(-84, 84), st.sampled_from([9.0, -177.0, 177.0]))
 def test_transverse_mercator_far_from_its_meridian(turn, lat, lon0):
     t = TransverseMercator(lon0)
     lon, back = t.inverse_point(*t.point(lon0 + turn, lat))
-    assert abs((lon - lon0 - turn + 180) % 360 - 180) < 1e-7 and back == pytest.approx(lat, abs=1e-7)
+    assert abs((lon - lon0 - turn + 180) % 360 - 180) < 2e-8 and back == pytest.approx(lat, abs=2e-8)
     with pytest.raises(ValueError):
         t.point(lon0 + 90, lat)
 
