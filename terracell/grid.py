@@ -85,6 +85,12 @@ class GridSpec:
         return replace(self, dx=self.dx * factor, dy=self.dy * factor, width=-(-self.width // factor), height=-(-self.height // factor))
 
 
+def digests(crs: str, x0: Column, y0: Column, dx: Column, dy: Column, width: Column, height: Column, x_name: str = "longitude", y_name: str = "latitude") -> Column:
+    """GridSpec.digest() for columns of grids."""
+    numbers = [F.format_string("%.9f", F.round(v.cast("double"), 9) + F.lit(0.0)) for v in (x0, y0, dx, dy)]
+    return F.sha2(F.concat_ws("|", F.lit(crs), *numbers, height.cast("string"), width.cast("string"), F.lit(y_name), F.lit(x_name)), 256)
+
+
 def _inside(origin: float, step: float, low: float, high: float, n: int) -> tuple[int, int]:
     a, b = (low - origin) / step - 0.5, (high - origin) / step - 0.5
     a, b = min(a, b), max(a, b)

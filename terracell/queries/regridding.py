@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terracell.catalog.products import AMAZON_ALBERS
 from terracell.cube import Cube
 from terracell.functions.crs import GRS80, WGS84, named
-from terracell.grid import GridSpec, cells_across, snapped_column
+from terracell.grid import GridSpec, cells_across, digests, snapped_column
 from terracell.operators import coarsen as C
 from terracell.operators.merge import merge
 from terracell.operators.across import overlaps
@@ -41,9 +41,11 @@ def snap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(snapped_column(s, t, "nearest_multiple"), 6).alias("nearest_multiple"), F.round(snapped_column(s, t, "auto", 0.01), 6).alias("auto"))
 
 
-@query(None)
+@query("""SELECT p_partkey, sha256('EPSG:3035|' || printf('%.9f', CAST(p_size AS DOUBLE)) || '|' || printf('%.9f', p_retailprice) || '|0.250000000|-0.250000000|10|' || p_partkey || '|latitude|longitude') AS digest FROM part""")
 def grid_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(f"{g.width}x{g.height}", g.digest()) for g in (GRID, COARSE, FINE, FLIPPED)], "shape string, digest string")
+    """A grid for each part, told apart by its digest."""
+    digest = digests("EPSG:3035", F.col("p_size"), F.col("p_retailprice"), F.lit(0.25), F.lit(-0.25), F.col("p_partkey"), F.lit(10))
+    return table(spark, sf_dir, "part").select("p_partkey", digest.alias("digest"))
 
 
 def _coarsen(method: str, sql: str) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terracell.catalog.tables import Catalog, assets_of, items_of
 from terracell.cube import Cube
 from terracell.functions.dates import day_code
-from terracell.grid import GridSpec
+from terracell.grid import digests
 from terracell.operators import coarsen as C
 from terracell.operators import subset
 from terracell.plans import alerts
@@ -121,9 +121,9 @@ def slices_in_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT '32x32' AS shape, 64 AS digits, (SELECT count(DISTINCT n_regionkey) FROM nation) AS kinds")
 def grid_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of grids that differ by their origin only, one for a region, are as many."""
-    origins = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_regionkey").distinct().collect()
-    rows = [(f"{GRID.width}x{GRID.height}", GridSpec(GRID.crs, float(r[0]), 0.0, 1.0, 1.0, GRID.width, GRID.height).digest()) for r in origins]
-    df = spark.createDataFrame(rows, "shape string, digest string")
+    origins = table(spark, sf_dir, "nation").select("n_regionkey")
+    digest = digests(GRID.crs, F.col("n_regionkey"), F.lit(0), F.lit(1), F.lit(1), F.lit(GRID.width), F.lit(GRID.height))
+    df = origins.select(F.lit(f"{GRID.width}x{GRID.height}").alias("shape"), digest.alias("digest"))
     return df.groupBy("shape").agg(F.max(F.length("digest")).alias("digits"), F.countDistinct("digest").alias("kinds"))
 
 

@@ -68,9 +68,14 @@ def domain_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", V.in_domain(F.col("user_id") % 5).alias("mask"))
 
 
-@query("SELECT CAST(d AS DATE) AS t, CAST((year(d) - 1970) * 12 + month(d) - 1 AS INTEGER) AS month FROM generate_series(DATE '2020-01-01', DATE '2023-12-01', INTERVAL 1 MONTH) s(d)")
+@query("""SELECT CAST(d AS DATE) AS t, CAST((year(d) - 1970) * 12 + month(d) - 1 AS INTEGER) AS month, count(o_orderkey) AS n
+  FROM (SELECT unnest(generate_series(date_trunc('month', min(o_orderdate)), max(o_orderdate), INTERVAL 1 MONTH)) AS d FROM orders) s LEFT JOIN orders ON date_trunc('month', o_orderdate) = d GROUP BY 1, 2""")
 def month_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.months(spark, "2020-01-01", "2023-12-01")
+    """Orders of each month from the first to the last, months without any included."""
+    orders = table(spark, sf_dir, "orders")
+    first, last = orders.agg(F.date_format(F.trunc(F.min("o_orderdate").cast("date"), "month"), "yyyy-MM-dd"), F.date_format(F.max("o_orderdate"), "yyyy-MM-dd")).first()
+    counts = orders.groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    return V.months(spark, first, last).join(counts, "t", "left").select("t", "month", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"SELECT m AS meaning, count(*) AS n FROM lineitem LEFT JOIN (VALUES {_AGENTS}) t(k, m) ON CAST(l_quantity AS INTEGER) % 4 = k GROUP BY 1")

@@ -290,3 +290,12 @@ def test_area_methods_between_crss_leave_no_gaps(spark):
     assert (round(x, 3), round(y, 3)) == (5_000_000.0, 10_000_000.0)
     with pytest.raises(ValueError):
         named("+proj=merc +ellps=WGS84")
+
+
+def test_digests_of_columns(spark):
+    from terracell.grid import digests
+
+    grids = [GridSpec("EPSG:4326", x, -0.0, 0.1, -1 / 3, w, 7) for x, w in ((1.5, 3), (-2.0, 4), (1e-12, 5))]
+    df = spark.createDataFrame([(g.x0, g.y0, g.dx, g.dy, g.width, g.height) for g in grids], "x0 double, y0 double, dx double, dy double, width int, height int")
+    got = df.select(digests("EPSG:4326", *[F.col(c) for c in ("x0", "y0", "dx", "dy", "width", "height")]).alias("d")).collect()
+    assert [r["d"] for r in got] == [g.digest() for g in grids]
