@@ -56,26 +56,35 @@ def collection_bodies(configs: DataFrame) -> DataFrame:
     return c.select("id", body.alias("body"))
 
 
-def item_bodies(items: DataFrame, configs: DataFrame, assets: DataFrame, periods: DataFrame | None = None) -> DataFrame:
-    """(item_id, collection_id, body): items (collection_id, version, region) of configurations, with their assets.
+def item_bodies(items: DataFrame, configs: DataFrame, assets: DataFrame, periods: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """(item_id, collection_id, body): items (item_id, collection_id, version, region) of configurations, with their assets.
 
     assets: (item_id, asset_key, resolution, href, media_type). Roles and titles of an asset are those that the
     configuration's item_assets has for its key (or the key's first word), else the role data. Its bands are the
     configuration's variables, with unit, type and nodata. periods (collection_id, version, start, end) go before the
-    configuration's. An item is dated at its end and keeps only some kinds of links. Items without assets stay.
+    configuration's, and regions (collection_id, region, bbox, epsg, start, end) before both. An asset with a column
+    variables has the bands that it lists only (NULL: all). An item is dated at its end and keeps only some kinds of
+    links. Items without assets stay.
     """
     c = completed(configs)
     band = F.transform(
         "variables",
         lambda v: F.struct(v.alias("name"), F.try_element_at("units", v).alias("unit"), F.try_element_at("raster_bands", v)["data_type"].alias("data_type"), F.try_element_at("raster_bands", v)["nodata"].alias("nodata")),
     )
-    rows = items.select(item_id(F.col("collection_id"), F.col("version"), F.col("region")).alias("item_id"), F.col("collection_id").alias("of"), "version", "region").join(c, F.col("of") == F.col("id"))
+    named = F.col("item_id") if "item_id" in items.columns else item_id(F.col("collection_id"), F.col("version"), F.col("region"))
+    rows = items.select(named.alias("item_id"), F.col("collection_id").alias("of"), "version", "region").join(c, F.col("of") == F.col("id"))
     if periods is not None:
         own = periods.select(F.col("collection_id").alias("_c"), F.col("version").alias("_v"), F.col("start").cast("timestamp_ntz").alias("_s"), F.col("end").cast("timestamp_ntz").alias("_e"))
-        rows = rows.join(own, (F.col("of") == F.col("_c")) & (F.col("version") == F.col("_v")), "left").withColumns({"start_datetime": F.coalesce("_s", "start_datetime"), "end_datetime": F.coalesce("_e", "end_datetime")})
+        rows = rows.join(own, (F.col("of") == F.col("_c")) & (F.col("version") == F.col("_v")), "left").withColumns({"start_datetime": F.coalesce("_s", "start_datetime"), "end_datetime": F.coalesce("_e", "end_datetime")}).drop("_c", "_v", "_s", "_e")
+    if regions is not None:
+        there = regions.select(F.col("collection_id").alias("_c"), F.col("region").alias("_r"), *[F.col(n).alias(f"_{n}") for n in ("bbox", "epsg", "start", "end")])
+        rows = rows.join(there, (F.col("of") == F.col("_c")) & (F.col("region") == F.col("_r")), "left")
+        rows = rows.withColumns({n: F.coalesce(f"_{m}", n) for n, m in (("bbox", "bbox"), ("epsg", "epsg"), ("start_datetime", "start"), ("end_datetime", "end"))}).drop("_c", "_r", "_bbox", "_epsg", "_start", "_end")
     about = rows.select("item_id", "title", "item_assets", band.alias("bands"))
     said = F.coalesce(F.try_element_at("item_assets", F.col("asset_key")), F.try_element_at("item_assets", F.split("asset_key", "_")[0]))
-    described = assets.select("item_id", "asset_key", "resolution", "href", "media_type").join(about, "item_id")
+    listed = F.col("variables") if "variables" in assets.columns else F.lit(None).cast("array<string>")
+    described = assets.select("item_id", "asset_key", "resolution", "href", "media_type", listed.alias("_listed")).join(about, "item_id")
+    described = described.withColumn("bands", F.filter("bands", lambda b: F.col("_listed").isNull() | F.array_contains("_listed", b["name"])))
     asset = F.struct(
         "href", F.col("media_type").alias("type"), F.coalesce(said["title"], F.concat_ws(" ", "title", F.concat(F.lit("("), F.col("resolution"), F.lit(")")))).alias("title"),
         said["description"].alias("description"), F.coalesce(said["roles"], F.array(F.lit("data"))).alias("roles"), _filled(F.col("bands")).alias("raster:bands"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 # theme: (title, products in order)
 THEMES = {
     "biomass-carbon": ("Biomass & Carbon", ["CCI_BIOMASS", "SAATCHI_BIOMASS", "LIU_BIOMASS", "ROBINSON_CR"]),
@@ -47,11 +49,34 @@ ULS_BANDS = [
 
 #: Resolutions of products that have several: resolution to variables (None: all).
 RESOLUTIONS = {
-    "GAMI_AGECLASS": {"0.0833deg": None, "0.25deg": None, "0.5deg": None, "1deg": None, "100m": None},
+    "GAMI_AGECLASS": {"1deg": None, "0.5deg": None, "0.25deg": None, "0.1deg": None, "0.0833deg": None},
     "ALS_PRODUCTS": {"1m": ALS_SURFACES, "10m": ALS_STRUCTURE, "100m": ALS_STRUCTURE},
     "ULS_PRODUCTS": {"10m": None, "20m": None, "100m": None},
 }
 
+
+class Region(NamedTuple):
+    """A place of a collection: what its items' ids begin with, its extent, CRS and period."""
+
+    name: str
+    stem: str
+    bbox: tuple[float, float, float, float]
+    epsg: int
+    first: str
+    last: str
+
+
+REGIONS = {
+    "ALS_PRODUCTS": [
+        Region("spain_pnoa", "ALS_SPAIN_PNOA", (-9.5, 35.9, 4.4, 43.8), 25830, "2015-01-01", "2023-12-31"),
+        Region("brazil_eba", "ALS_BRAZIL_EBA", (-73.0, -15.0, -44.0, 5.0), 31983, "2016-01-01", "2018-12-31"),
+    ],
+    "ULS_PRODUCTS": [
+        Region("hainich", "ULS_HAINICH", (10.408, 51.034, 10.498, 51.124), 32632, "2022-01-01", "2022-12-31"),
+        Region("test_region", "ULS_TEST_REGION", (10.408, 51.034, 10.498, 51.124), 32632, "2022-01-01", "2022-12-31"),
+    ],
+}
+
 LEGENDS = {
     "agent": {0: "no_disturbance", 1: "wind_bark_beetle", 2: "fire", 3: "harvest"},
     "genus": {0: "larix", 1: "picea", 2: "pinus", 3: "fagus", 4: "quercus", 5: "other_needleleaf", 6: "other_broadleaf", 7: "no_trees"},

@@ -40,13 +40,15 @@ def item_id(collection: Column, version: Column, region: Column | None = None) -
 
 
 def items_of(collections: DataFrame, versions: DataFrame, regions: DataFrame | None = None) -> DataFrame:
-    """One item for a version of a collection, and for each of its regions if it has some."""
+    """One item for a version of a collection, and for each of its regions if it has some; a region's stem, if it has one, begins the item's id."""
     rows = collections.select("collection_id").join(versions.select("collection_id", "version"), "collection_id")
     if regions is not None:
-        rows = rows.join(regions.select("collection_id", "region"), "collection_id", "left")
+        stem = "stem" if "stem" in regions.columns else F.lit(None).cast("string").alias("stem")
+        rows = rows.join(regions.select("collection_id", "region", stem), "collection_id", "left")
     else:
-        rows = rows.withColumn("region", F.lit(None).cast("string"))
-    return rows.select(item_id(F.col("collection_id"), F.col("version"), F.col("region")).alias("item_id"), "collection_id", "version", "region")
+        rows = rows.withColumns({"region": F.lit(None).cast("string"), "stem": F.lit(None).cast("string")})
+    own = F.coalesce(item_id(F.col("stem"), F.col("version")), item_id(F.col("collection_id"), F.col("version"), F.col("region")))
+    return rows.select(own.alias("item_id"), "collection_id", "version", "region")
 
 
 def collections_of(configs: DataFrame) -> DataFrame:
@@ -71,11 +73,17 @@ def with_period(items: DataFrame, own: DataFrame, first: str, last: str) -> Data
     return rows.withColumns({"start": F.coalesce("_s", F.col(first)), "end": F.coalesce("_e", F.col(last))}).drop("_s", "_e")
 
 
-def assets_of(items: DataFrame, resolutions: DataFrame, base: str, kind: str = "zarr") -> DataFrame:
-    """An asset for each resolution of an item's collection (resolutions: collection_id, resolution), or one without any."""
+def assets_of(items: DataFrame, resolutions: DataFrame, base: str, kind: str = "zarr", version_last: bool = False) -> DataFrame:
+    """An asset for each resolution of an item's collection (resolutions: collection_id, resolution), or one without any.
+
+    A resolution stands behind the item's id in the store's name, or, with version_last, before the id's version.
+    """
     rows = items.join(resolutions.select("collection_id", "resolution"), "collection_id", "left")
     key = F.concat_ws("_", F.lit(kind), F.col("resolution"))
-    href = F.concat_ws("/", F.lit(base.rstrip("/")), "collection_id", F.concat(F.col("item_id"), F.coalesce(F.concat(F.lit("_"), F.col("resolution")), F.lit("")), F.lit(f".{kind}")))
+    head = F.left("item_id", F.length("item_id") - F.length("version") - 2) if version_last else F.col("item_id")
+    tail = F.concat(F.lit("_v"), "version") if version_last else F.lit("")
+    name = F.concat(head, F.coalesce(F.concat(F.lit("_"), F.col("resolution")), F.lit("")), tail, F.lit(f".{kind}"))
+    href = F.concat_ws("/", F.lit(base.rstrip("/")), "collection_id", name)
     return rows.select("item_id", key.alias("asset_key"), "resolution", href.alias("href"), F.lit(MEDIA_TYPES[kind]).alias("media_type"))
 
 
@@ -142,13 +150,13 @@ def standard(spark: SparkSession, base: str = "s3://data", versions: dict[str, l
         raise ValueError(f"in no theme: {extra}")
     collections = spark.createDataFrame([(p, k, p.replace("_", " ").title(), LICENSE) for p, k in where], "collection_id string, theme_id string, title string, license string")
     vs = spark.createDataFrame([(p, v) for p, xs in versions.items() for v in xs], "collection_id string, version string")
-    regions = spark.createDataFrame([("ALS_PRODUCTS", "SPAIN"), ("ALS_PRODUCTS", "BRAZIL"), ("ULS_PRODUCTS", "SITE1"), ("ULS_PRODUCTS", "SITE2")], "collection_id string, region string")
+    regions = spark.createDataFrame([(c, r.name, r.stem) for c, rs in products.REGIONS.items() for r in rs], "collection_id string, region string, stem string")
     res = spark.createDataFrame([(p, r, v) for p, rs in products.RESOLUTIONS.items() for r, v in rs.items()], "collection_id string, resolution string, variables array<string>")
     items = items_of(collections, vs, regions)
     names = {"ALS_PRODUCTS": products.ALS_SURFACES + products.ALS_STRUCTURE, "ULS_PRODUCTS": products.ULS_BANDS}
     bands = spark.createDataFrame([(p, k, n) for p, ns in names.items() for k, n in enumerate(ns)], "id string, pos int, name string")
     at = bands_at(bands, res.withColumnRenamed("collection_id", "id"))
-    assets = assets_of(items, res, base)
+    assets = assets_of(items, res, base, version_last=True)
     keyed = assets.withColumnRenamed("resolution", "_r").join(items.select("item_id", "collection_id"), "item_id")
     band_rows = keyed.join(at, (keyed["collection_id"] == at["id"]) & (keyed["_r"] == at["resolution"])).select("item_id", "asset_key", "pos", "name")
     return intact(Catalog(themes, collections, items, assets, band_rows))

@@ -71,7 +71,7 @@ def test_tree_of_files(spark, catalog, tmp_path):
     assert {r["media_type"] for r in catalog.assets.collect()} == {"application/vnd.zarr"}
     root = json.loads((tmp_path / "catalog.json").read_text())
     assert len(root["links"]) == 5
-    item = json.loads(next(tmp_path.glob("als-lidar/ALS_PRODUCTS/ALS_PRODUCTS_SPAIN_v1.0/item.json")).read_text())
+    item = json.loads(next(tmp_path.glob("als-lidar/ALS_PRODUCTS/ALS_SPAIN_PNOA_v1.0/item.json")).read_text())
     assert set(item["assets"]) == {"zarr_1m", "zarr_10m", "zarr_100m"}
     kinds = {r["type"]: r["count"] for r in tables.read_documents(spark, str(tmp_path)).groupBy("type").count().collect()}
     assert kinds == {"Catalog": 6, "Collection": 17, "Feature": 25}
@@ -125,7 +125,7 @@ def test_store_and_slices(spark, tmp_path, catalog):
         store.read(spark, path, ["w"])
     own = tables.Catalog(catalog.themes, catalog.collections, catalog.items, catalog.assets.withColumn("href", F.lit(path)), catalog.bands)
     assert store.open_item(spark, own, "GAMI", "3.0").df.count() == 32
-    assert store.open_item(spark, own, "ALS_PRODUCTS", "1.0", resolution="10m", region="SPAIN").df.count() == 32
+    assert store.open_item(spark, own, "ALS_PRODUCTS", "1.0", resolution="10m", region="spain_pnoa").df.count() == 32
     for bad, text in ((("GAMI", "9"), "3.1"), (("GAMI", "3.0", "7m"), "zarr"), (("ALS_PRODUCTS", "1.0", "1m"), "regions")):
         with pytest.raises(ValueError, match=text):
             store.open_item(spark, own, *bad)
