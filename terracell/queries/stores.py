@@ -15,7 +15,7 @@ from terracell.plans import alerts
 from terracell.queries import query
 from terracell.queries.cubes import GRID, HALF, OBS, STATIC, observations, static, table
 from terracell.session import shared_folder
-from terracell.sources import store
+from terracell.sources import buckets, store
 from terracell.streaming.slices import ingest
 
 
@@ -139,3 +139,26 @@ def alert_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "alerts")
     alerts.ingest(Cube(cells.withColumn("forest_mask", mask.cast("double")), HALF), path, "2099-01-01", "2099-12-01", (8, 8))
     return store.read(spark, path).df.select("iy", "ix", F.to_date("time").alias("t"), "disturbance_occurrence", "forest_mask", "alert_yydoy")
+
+
+@query(f"""WITH {STATIC} SELECT coalesce(a.iy, b.iy) AS iy, coalesce(a.ix, b.ix) AS ix, a.v, b.q FROM (SELECT * FROM static WHERE iy % 3 <> 0) a
+  FULL JOIN (SELECT * FROM static WHERE ix % 4 <> 0) b ON a.iy = b.iy AND a.ix = b.ix""")
+def buckets_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stores in buckets of chunks, which hold other cells, as one cube."""
+    cube, parts = static(spark, sf_dir), []
+    for variable, rows in (("v", "iy % 3 <> 0"), ("q", "ix % 4 <> 0")):
+        path = shared_folder(spark, "buckets")
+        buckets.write(cube.having(cube.df.where(rows)).select(variable), path, (8, 8), 8)
+        parts.append(buckets.read(spark, path))
+    return buckets.merge(parts).plain().df.select("iy", "ix", "v", "q")
+
+
+@query(f"WITH {STATIC} SELECT iy // 4 AS iy, ix // 4 AS ix, CAST(sum(v) AS BIGINT) AS v FROM static WHERE q % 2 = 0 GROUP BY 1, 2")
+def buckets_masked_coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store in buckets, masked by another and made coarser, in its buckets."""
+    cube, paths = static(spark, sf_dir), [shared_folder(spark, "buckets") for _ in range(2)]
+    buckets.write(cube.select("v"), paths[0], (8, 8), 8)
+    even = cube.having(cube.df.select("iy", "ix", (F.col("q") % 2).cast("int").alias("odd")))
+    buckets.write(even, paths[1], (8, 8), 8)
+    cells, mask = (buckets.read(spark, p) for p in paths)
+    return buckets.coarsened(buckets.masked(cells, mask, "odd", 0), 4, "sum").plain().df
