@@ -14,7 +14,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracell.catalog import bodies, products, rules, tree
+from terracell.catalog import bodies, products, rules, tables, tree
 from terracell.catalog.tables import Catalog
 
 WORLD = (-180.0, -90.0, 180.0, 90.0)
@@ -190,6 +190,29 @@ def regions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "collection_id string, region string, stem string, bbox array<double>, epsg int, start timestamp_ntz, end timestamp_ntz")
 
 
+def _with_variables(catalog: Catalog) -> DataFrame:
+    """A catalog's assets with their collection_id and variables: those of a resolution that lists some, else NULL for all."""
+    listed = [(c, r, v) for c, rs in products.RESOLUTIONS.items() for r, v in rs.items()]
+    own = catalog.assets.sparkSession.createDataFrame(listed, "collection_id string, resolution string, variables array<string>")
+    return catalog.assets.join(catalog.items.select("item_id", "collection_id"), "item_id").join(own, ["collection_id", "resolution"], "left")
+
+
+def standard(spark: SparkSession, base: str = "s3://data", configs: DataFrame | None = None) -> Catalog:
+    """The catalog of all registered products, with what their configurations say of collections and bands.
+
+    Collections have title, description, licence, bbox, period, keywords and links; bands of each asset have unit,
+    type and missing value. KeyError if a registered product has no configuration.
+    """
+    plain, configs = tables.standard(spark, base), configurations(spark) if configs is None else configs
+    where = plain.collections.select(F.col("collection_id").alias("_c"), "theme_id")
+    if lost := tables.orphans(where.withColumnRenamed("_c", "id"), configs, "id").take(20):
+        raise KeyError(f"no configuration of {sorted(r['id'] for r in lost)}")
+    collections = tables.collections_of(configs.join(where, F.col("id") == F.col("_c")))
+    bands = _with_variables(plain).join(tables.bands_of(configs), F.col("collection_id") == F.col("id"))
+    bands = bands.where(F.col("variables").isNull() | F.array_contains("variables", F.col("name")))
+    return tables.intact(Catalog(plain.themes, collections, plain.items, plain.assets, bands.select("item_id", "asset_key", "pos", "name", "unit", "data_type", "nodata")))
+
+
 def nodes(catalog: Catalog, root: str) -> DataFrame:
     """(id, parent, kind) of a catalog's themes, collections and items below a root."""
     top = catalog.themes.sparkSession.createDataFrame([(root, None, "catalog")], "id string, parent string, kind string")
@@ -210,8 +233,7 @@ def published(catalog: Catalog, configs: DataFrame, write_base: str, publish_bas
     Assets of a resolution have its variables as bands. Paths lie under write_base, links under publish_base. Collections without a configuration have no document.
     """
     spark = catalog.themes.sparkSession
-    listed = spark.createDataFrame([(c, r, v) for c, rs in products.RESOLUTIONS.items() for r, v in rs.items()], "collection_id string, resolution string, variables array<string>")
-    assets = catalog.assets.join(catalog.items.select("item_id", "collection_id"), "item_id").join(listed, ["collection_id", "resolution"], "left")
+    assets = _with_variables(catalog)
     plain = catalog.themes.select(F.col("theme_id").alias("id"), "title", F.lit(None).cast("string").alias("description"))
     plain = plain.unionByName(spark.createDataFrame([(*root, None)], "id string, title string, description string"))
     kinds = [

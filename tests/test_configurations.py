@@ -63,3 +63,17 @@ def test_unknown_collections_have_no_document(spark, configs):
     catalog = tables.standard(spark)
     some = C.published(catalog, configs.where(F.col("id") != "GAMI"), "s3://w")
     assert some.where(F.col("path").contains("/GAMI/")).count() == 0
+
+
+def test_standard_catalog(spark, configs):
+    catalog = C.standard(spark, "s3://data", configs)
+    row = catalog.collections.where("collection_id = 'ULS_PRODUCTS'").first()
+    assert row["theme_id"] == "als-lidar" and row["license"] == "EUPL-1.2" and row["title"].startswith("ULS Products") and row["bbox"] == [-10.0, 35.0, 32.0, 70.0]
+    assert catalog.collections.count() == 17 and "Potapov_LCLUC" not in {r[0] for r in catalog.collections.select("collection_id").collect()}
+    n = {(r["item_id"], r["asset_key"]): r["count"] for r in catalog.bands.groupBy("item_id", "asset_key").count().collect()}
+    assert n["ALS_SPAIN_PNOA_v1.0", "zarr_1m"] == 3 and n["ALS_SPAIN_PNOA_v1.0", "zarr_10m"] == 19 and n["ULS_HAINICH_v1.0", "zarr_20m"] == 28 and n["JRC_TMF_v2024", "zarr"] == 6
+    assert len(n) == catalog.assets.count() == 45
+    lulc = catalog.bands.where("name = 'lulc'").first()
+    assert (lulc["unit"], lulc["data_type"], lulc["nodata"]) == (None, "uint8", "255")
+    with pytest.raises(KeyError, match="GAMI"):
+        C.standard(spark, configs=configs.where(F.col("id") != "GAMI"))
