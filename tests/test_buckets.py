@@ -128,3 +128,20 @@ def test_empty(spark, cubes, tmp_path):
     path = str(tmp_path / "empty")
     B.write(cubes[0].having(cubes[0].df.where("false")), path, (4, 4), 2)
     assert B.read(spark, path).cube.df.count() == 0
+
+
+def test_time_meets_cell_by_cell_and_time(spark, cubes, tmp_path, together):
+    years = spark.range(2000, 2003).select(F.make_timestamp_ntz(F.col("id").cast("int"), *[F.lit(x) for x in (1, 1, 0, 0, 0)]).alias("t"))
+    v = Cube(cubes[0].df.select("iy", "ix", "v").crossJoin(years).withColumn("v", F.col("v") + F.year("t")), GRID, "t")
+    w = Cube(cubes[1].df.select("iy", "ix", F.col("m").alias("w")).crossJoin(years.where("year(t) > 2000")), GRID, "t")
+    paths = [str(tmp_path / n) for n in "vwm"]
+    for c, p in zip((v, w, cubes[1].select("m")), paths):
+        B.write(c, p, (8, 8), 3)
+    a, b, mask = (B.read(spark, p) for p in paths)
+    both = B.merge([a, b])
+    assert shuffles(both.cube.df) == 0 and rows(both.plain()) == rows(merge([v, w]))
+    some = B.coarsened(B.masked(a, mask, "m", 1), 4, "sum")
+    kept = v.having(v.df.join(cubes[1].df.where("m = 1").select("iy", "ix"), ["iy", "ix"], "left_semi"))
+    assert shuffles(some.cube.df) == 0 and rows(some.plain()) == rows(C.coarsen(kept, 4, "sum"))
+    with pytest.raises(ValueError, match="static"):
+        B.masked(a, b, "w", 1)
