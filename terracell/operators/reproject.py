@@ -80,7 +80,7 @@ def _reduced(method: str, v: Column, w: Column) -> Column:
     if method == "sum":
         return F.sum(v * w)
     if method == "rms":
-        return F.sqrt(F.sum(v * v * w) / F.sum(valid))
+        return F.sqrt(F.sum(v.cast("double") * v * w) / F.sum(valid))  # squares of large integers exceed a long
     if method in ("max", "min"):
         return getattr(F, method)(v)
     if method in ("med", "q1", "q3"):

@@ -99,6 +99,12 @@ def test_area_methods_by_hand(spark):
     assert (got["max"], got["min"], got["med"], got["q1"], got["q3"], got["mode"]) == (5, 1, 2, 1.5, 3.5, 1)
 
 
+def test_rms_of_integers_whose_squares_exceed_a_long(spark):
+    large = cube(spark, {(0, 0): 7 * 10**9, (0, 1): 10**9}, "long")
+    got = table(reproject(large, GridSpec("EPSG:4326", 0.0, 0.0, 2.0, 2.0, 2, 2), "rms"))
+    assert got[(0, 0)] == pytest.approx(5e9)
+
+
 def test_dense_and_outside(spark):
     target = GridSpec("EPSG:4326", 2.0, 2.0, 1.0, 1.0, 4, 4)
     assert len(table(reproject(square(spark), target))) == 4
