@@ -78,10 +78,25 @@ def _meet() -> Column:
     return (F.col("iy") == F.col("_iy")) & (F.col("_block") == F.col("_b")) & F.col("ix").between(F.col("first"), F.col("last"))
 
 
+def united(runs: DataFrame) -> DataFrame:
+    """(iy, first, last): runs of cells apart from each other that hold the cells of runs, whatever polygons these are of.
+
+    Alike starts meet in a maximum before any row is moved, so that no more rows than a grid has cells are ordered by row.
+    """
+    longest = runs.groupBy("iy", "first").agg(F.max("last").alias("last"))
+    by_row = Window.partitionBy("iy").orderBy("first")
+    before = F.max("last").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    marked = longest.withColumn("_new", F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(by_row))
+    return marked.groupBy("iy", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+
+
 def masked(cube: Cube, runs: DataFrame) -> Cube:
-    """Cells in any polygon, each once."""
-    rows, cut = _near(cube, runs)
-    return cube.having(rows.join(cut, _meet(), "left_semi").drop("_block"))
+    """Cells in any polygon, each once.
+
+    A row meets one run at most; an inner join, unlike a semi-join, stays above an aggregate that makes the cube.
+    """
+    rows, cut = _near(cube, united(runs))
+    return cube.having(rows.join(cut, _meet()).select(*[rows[f"`{c}`"] for c in cube.df.columns]))
 
 
 def labelled(cube: Cube, runs: DataFrame) -> DataFrame:

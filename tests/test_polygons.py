@@ -68,3 +68,16 @@ def test_no_polygons_and_wide_spans(spark):
     check(spark, {1: [[(3.2, -1), (1700.7, -1), (1700.7, 5), (3.2, 5)]], 2: [[(1, 1), (2, 2)]]}, wide)
     none = polygons.spans(polygons.edges(shapes(spark, {})), wide)
     assert polygons.masked(lattice(spark, wide), none).df.count() == 0 and polygons.labelled(lattice(spark, wide), none).count() == 0
+
+
+def test_many_polygons_over_each_other_are_one_mask(spark):
+    grid = GridSpec("EPSG:4326", 0.0, 0.0, 1.0, 1.0, 600, 4)
+    boxes = {k: [[(k % 7, -1), (k % 7 + 20, -1), (k % 7 + 20, 9), (k % 7, 9)]] for k in range(300)}
+    boxes |= {300: [[(26, 0), (290, 0), (290, 2), (26, 2)]], 301: [[(400, 0), (401, 0), (401, 2), (400, 2)]]}
+    runs = polygons.spans(polygons.edges(shapes(spark, boxes)), grid)
+    assert {(r["iy"], r["first"], r["last"]) for r in polygons.united(runs).collect()} == {(y, 0, 289 if y < 2 else 25) for y in range(4)} | {(y, 400, 400) for y in range(2)}
+    # Rows that share a cell all stay, each once.
+    cells = lattice(spark, grid).df.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+    got = polygons.masked(Cube(cells, grid), runs).df
+    assert got.columns == ["iy", "ix", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted((y, x, v) for y in range(4) for x in range(600) for v in (1, 2) if x < (290 if y < 2 else 26) or x == 400 and y < 2)
