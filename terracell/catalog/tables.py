@@ -118,10 +118,21 @@ def tree(themes: DataFrame, collections: DataFrame, items: DataFrame) -> DataFra
     return themes.join(collections, "theme_id").join(items, "collection_id")
 
 
+#: Rows of both tables that a task of differing() groups, about.
+DIFFERING_ROWS = 1 << 19
+
+
 def differing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, side): keys of one table only."""
-    a, b = left.select(key).distinct(), right.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, key, "left_anti").withColumn("side", F.lit("right")))
+    """(key, side): keys of one table only. A null key is like no other, so it is of one table only in each.
+
+    Both tables are dealt out together, to as many tasks as their rows need, and grouped once: a task's memory
+    doesn't grow with the tables, as it does where tasks are merged by their compressed bytes.
+    """
+    k, sides = F.col(f"`{key}`"), [d.select(F.col(f"`{key}`"), F.lit(s).alias("_side")) for d, s in ((left, "left"), (right, "right"))]
+    both = sides[0].unionByName(sides[1])
+    tasks = max(1, -(-both.count() // DIFFERING_ROWS))
+    groups = both.repartition(tasks, k).groupBy(k, F.when(k.isNull(), F.col("_side")).alias("_null")).agg(F.min("_side").alias("side"), F.max("_side").alias("_last"))
+    return groups.where(F.col("side") == F.col("_last")).select(k, "side")
 
 
 def intact(catalog: Catalog) -> Catalog:

@@ -65,6 +65,19 @@ def test_broken_references(spark, catalog):
         tables.standard(spark, versions={**products.VERSIONS, "OTHER": ["1"]})
 
 
+def test_keys_of_one_table_only_in_tasks_of_bounded_rows(spark, monkeypatch):
+    a, b = [1, 1, 2, None, *range(100, 400)], [2, 3, None, None, 3, *range(200, 500)]
+    left, right = (spark.createDataFrame([(k,) for k in keys], "k long") for keys in (a, b))
+    want = sorted([(1, "left"), (3, "right"), *[(k, "left") for k in range(100, 200)], *[(k, "right") for k in range(400, 500)]])
+    for rows, tasks in ((1 << 19, 1), (50, 13)):
+        monkeypatch.setattr(tables, "DIFFERING_ROWS", rows)
+        got = tables.differing(left, right, "k")
+        found = [tuple(r) for r in got.collect()]
+        assert sorted(r for r in found if r[0] is not None) == want
+        assert sorted(r[1] for r in found if r[0] is None) == ["left", "right"]
+        assert got.rdd.getNumPartitions() == tasks
+
+
 def test_tree_of_files(spark, catalog, tmp_path):
     n = tables.written(tables.documents(catalog, f"file://{tmp_path}"))
     assert n == 1 + 5 + 17 + 25
