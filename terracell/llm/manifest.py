@@ -1,20 +1,18 @@
 """Merkle manifest of a table: leaf digests, a tree for each group, one root, and a proof for every row.
 
 Leaves are hashed where the rows lie and ranked within their group; only digests are shuffled. Ranks are cut
-into aligned buckets of WIDTH ** HEIGHT leaves, whose lower levels a DuckDB in the task computes by SQL on the
-bucket's Arrow table. Above the buckets there is one node for thousands of leaves: Spark groups those level by
-level, and joins the outer part of each proof back to its bucket. Nothing but the number of levels reaches the
-driver.
+into aligned buckets of WIDTH ** HEIGHT leaves. The lowest runs of a bucket are grouped, then their nodes by
+bucket, whose upper levels are arrays of digests: all in Spark's own functions, so that no Python worker takes
+memory beside the executor's heap. Above the buckets there is one node for thousands of leaves: Spark groups those
+level by level, and joins the outer part of each proof back to its bucket's runs. Nothing but the number of levels
+reaches the driver.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-import duckdb
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terracell.llm.common import dropped, ranked, shared_dir, written_to
 
@@ -52,39 +50,41 @@ def levels_above(n: Column, width: int) -> Column:
 # inside a bucket
 
 
-@lru_cache(1)
-def engine() -> duckdb.DuckDBPyConnection:
-    """The worker's DuckDB, in memory and on one thread."""
-    return duckdb.connect(config={"threads": 1, "temp_directory": ""})
-
+def raised(nodes: Column, width: int) -> Column:
+    """The level above an array of digests: one for each run of width."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / width).cast("int"))
+    return F.transform(runs, lambda r: F.sha2(F.array_join(F.slice(nodes, r * width + 1, width), ""), 256))
 
-def levels_sql(depth: int, width: int) -> str:
-    """n0 to n{depth}: a view `bucket` (pos, leaf) level by level. A parent hashes its children in order."""
-    first = "n0 AS MATERIALIZED (SELECT pos, leaf AS h FROM bucket)"
-    step = "n{1} AS MATERIALIZED (SELECT pos // {2} AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM n{0} GROUP BY pos // {2})"
-    return ", ".join([first, *(step.format(k, k + 1, width) for k in range(depth))])
 
+def beside(nodes: Column, i: Column, width: int) -> Column:
+    """The siblings left and right of the node at i of an array of digests."""
+    start = i - i % width
+    pair = [F.array_join(x, "") for x in (F.slice(nodes, start + 1, i - start), F.slice(nodes, i + 2, start + width - 1 - i))]
+    return F.struct(pair[0].alias("left"), pair[1].alias("right"))
 
-def top_sql(depth: int, width: int) -> str:
-    return f"WITH {levels_sql(depth, width)} SELECT h FROM n{depth}"
 
+def _bucketed(leaves: DataFrame, width: int, height: int, path: str) -> DataFrame:
+    """(key, bucket, m, depth, levels), written to path: the levels of each bucket's tree above its leaves, lowest first.
 
-def proofs_sql(depth: int, width: int) -> str:
-    """(pos, proof): the siblings left and right of each leaf's ancestors."""
-    beside = """s{0} AS MATERIALIZED (SELECT pos, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
-      coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM n{0} WINDOW run AS (PARTITION BY pos // {1} ORDER BY pos))"""
-    joins = " ".join(f"JOIN s{k} ON s{k}.pos = n0.pos // {width**k}" for k in range(depth))
-    items = ", ".join(f"{{'left': s{k}.l, 'right': s{k}.r}}" for k in range(depth))
-    parts = ", ".join([levels_sql(max(depth - 1, 0), width), *(beside.format(k, width) for k in range(depth))])
-    return f"WITH {parts} SELECT n0.pos, CAST([{items}] AS STRUCT(\"left\" VARCHAR, \"right\" VARCHAR)[]) AS proof FROM n0 {joins} ORDER BY n0.pos"
+    A level above depth isn't part of the tree. The one of a lone leaf is the leaf.
+    """
+    by = ["key", "bucket", "m", "depth"]
+    runs = leaves.groupBy(*by, "run").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf"))).alias("members"))
+    runs = runs.select(*by, "run", F.when(F.col("depth") > 0, F.sha2(F.array_join("members.leaf", ""), 256)).otherwise(F.col("members")[0]["leaf"]).alias("h"))
+    lowest = runs.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("run", "h"))).alias("nodes"))
+    # Each step of the fold reads the level below it once, as a bound variable.
+    steps = F.array(*[F.lit(k) for k in range(1, height)]) if height > 1 else F.expr("cast(array() as array<int>)")
+    levels = F.aggregate(steps, F.array(F.col("nodes.h")), lambda got, k: F.concat(got, F.array(raised(F.get(got, k - 1), width))))
+    return written_to(lowest.select(*by, levels.alias("levels")), path)
 
 
-def _run(sql: str, bucket: pa.Table) -> pa.Table:
-    engine().register("bucket", bucket)
-    try:
-        return engine().sql(sql).to_arrow_table()
-    finally:
-        engine().unregister("bucket")
+def _upper(buckets: DataFrame, width: int, height: int) -> DataFrame:
+    """(key, bucket, run, proof): the siblings of each lowest run's node and of its ancestors within the bucket."""
+    level = lambda k: F.get("levels", F.lit(k - 1))
+    pairs = lambda r: F.array(*[beside(level(k), F.floor(r / width ** (k - 1)).cast("int"), width) for k in range(1, height)]).cast(PROOF)
+    run = lambda r: (F.col("bucket") * width ** (height - 1) + r).cast("long")
+    proofs = F.transform(F.sequence(F.lit(0), F.size(level(1)) - 1), lambda r: F.struct(run(r).alias("run"), F.slice(pairs(r), F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))).alias("proof")))
+    return buckets.select("key", "bucket", F.explode(proofs).alias("own")).select("key", "bucket", "own.run", "own.proof")
 
 
 # above the buckets
@@ -136,16 +136,12 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     rows = docs.select(key.alias("key"), F.col(f"`{order}`").alias("_order"), digest(*[F.col(f"`{c}`") for c in columns]).alias("leaf"), *[c.alias(f"_also_{n}") for n, c in extra.items()])
     held = shared_dir(spark, f"{name}-leaves")
     leaves = ranked(rows, ["key"], ["_order", "leaf"], f"{name}-ranks", rank="pos", total="m")
-    leaves = leaves.withColumns({"bucket": F.expr(f"pos div {width**height}"), "depth": F.least(levels_above(F.col("m"), width), F.lit(height)).cast("int")})
+    leaves = leaves.withColumns({"bucket": F.expr(f"pos div {width**height}"), "run": F.expr(f"pos div {width}"), "depth": F.least(levels_above(F.col("m"), width), F.lit(height)).cast("int")})
     leaves = written_to(leaves, held)
 
-    def top(bucket: pa.Table) -> pa.Table:
-        got = _run(top_sql(bucket["depth"][0].as_py(), width), bucket.select(["pos", "leaf"]))
-        return pa.table([bucket[c].slice(0, 1) for c in ("key", "bucket", "m")] + [got["h"].cast(pa.string())], ["key", "bucket", "m", "h"])
-
-    tops_at = shared_dir(spark, f"{name}-tops")
-    tops = written_to(leaves.select("key", "bucket", "m", "depth", "pos", "leaf").groupBy("key", "bucket").applyInArrow(top, "key string, bucket long, m long, h string"), tops_at)
-    nodes = tops.select("key", F.col("bucket").alias("pos"), F.ceil(F.col("m") / width**height).alias("m"), "h")
+    buckets = _bucketed(leaves, width, height, shared_dir(spark, f"{name}-buckets"))
+    top = F.get(F.get("levels", F.greatest(F.col("depth") - 1, F.lit(0))), F.lit(0))
+    nodes = buckets.select("key", F.col("bucket").alias("pos"), F.ceil(F.col("m") / width**height).alias("m"), top.alias("h"))
     inside, subroots, made = _climbed(nodes, width, f"{name}-group")
     groups = ranked(subroots.withColumn("all", F.lit("")), ["all"], ["key"], f"{name}-groups", rank="place", total="m").withColumnRenamed("h", "subroot")
     groups_at = shared_dir(spark, f"{name}-subroots")
@@ -155,18 +151,15 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "
     outer = inside.join(groups.select("key", "place", "subroot", "all"), "key").join(above, "place").join(roots.select(F.col("key").alias("all"), F.col("h").alias("root")), "all")
     outer = outer.select("key", F.col("first").alias("bucket"), F.concat("proof", "above").alias("outer"), "subroot", "root")
     outer = written_to(outer, shared_dir(spark, f"{name}-outer"))
-    for path in (tops_at, groups_at, *made, *more):
+    for path in (groups_at, *made, *more):
         dropped(spark, path)
 
-    def prove(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.sort_by("pos")
-        got = _run(proofs_sql(bucket["depth"][0].as_py(), width), bucket.select(["pos", "leaf"]))
-        return bucket.drop_columns(["depth"]).append_column("inner", got["proof"])
-
-    joined = leaves.drop("m").join(outer, ["key", "bucket"])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "depth"]
-    proved = joined.groupBy("key", "bucket").applyInArrow(prove, ", ".join([*fields, f"inner {PROOF}"]))
-    return proved.select(F.col("_order").alias(order), "leaf", "subroot", "root", F.concat("inner", "outer").alias("proof"), *[F.col(f"_also_{n}").alias(n) for n in extra])
+    above_runs = _upper(buckets, width, height).join(outer, ["key", "bucket"]).select(F.col("key").alias("_k"), F.col("run").alias("_r"), F.concat("proof", "outer").alias("above"), "subroot", "root")
+    own = F.collect_list("leaf").over(Window.partitionBy("key", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    joined = leaves.withColumn("own", own).join(above_runs, (F.col("key") == F.col("_k")) & (F.col("run") == F.col("_r")))
+    lowest = F.array(beside(F.col("own"), (F.col("pos") % width).cast("int"), width))
+    proof = F.when(F.col("depth") > 0, F.concat(lowest, "above")).otherwise(F.col("above"))
+    return joined.select(F.col("_order").alias(order), "leaf", "subroot", "root", proof.alias("proof"), *[F.col(f"_also_{n}").alias(n) for n in extra])
 
 
 #: Levels by recursive queries over whole tables, apart from the buckets of the operator. CRC-32 is folded bit by bit.

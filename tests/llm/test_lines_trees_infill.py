@@ -217,6 +217,13 @@ def test_manifest_of_odd_rows(spark):
     assert manifest.manifest(docs(spark, []), name="test").count() == 0
 
 
+def test_manifest_needs_no_python_worker(spark):
+    """Workers' memory beside a full heap stopped the executors of larger tables."""
+    got = manifest.manifest(docs(spark, [(k, "x", "en") for k in range(70)]), name="test")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Arrow" not in plan and "Python" not in plan
+
+
 def test_manifest_tells_changed_rows(spark):
     rows = [(k, f"Text {k}" if k % 3 else f"text {k}", "en" if k % 2 else "de") for k in range(100)]
     low = manifest.digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), F.lower("text"))
