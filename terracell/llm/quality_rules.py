@@ -13,13 +13,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracell.llm.common import carried
+from terracell.llm.common import among, bit_filter, carried
 from terracell.llm.quality_classifier import held_out
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_bytes long, ratio double, n_chunks int, n_bad_chunks int, whole_fits boolean"
-#: Most labelled rows that limits are fitted on (their number is about this if there are more).
-SAMPLE = 20_000
 #: Bins of length for an octave, and of ratios for 1, in which the driver sees fitted ratios.
 OCTAVE, STEPS = 8, 256
 
@@ -118,6 +116,15 @@ def _base_failed(words: int, repeats: int, bands: Bands) -> bool:
     return words < bands.min_words or 100 * repeats > bands.max_repeat_percent * words
 
 
+def quantile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """np.quantile of ascending values that come as often as counts say, without repeating them."""
+    ends = np.cumsum(counts)
+    at = q * (int(ends[-1]) - 1)
+    k = math.floor(at)
+    a, b = values[np.searchsorted(ends, [k, min(k + 1, int(ends[-1]) - 1)], side="right")]
+    return float(a + (b - a) * (at - k))
+
+
 def limits_of(counts: dict[int, dict[int, int]], tail: float, least: int, beyond: tuple[tuple[float, float, float], ...]) -> tuple[tuple[float, float, float], ...]:
     """Limits by length that leave a share `tail` of the counted ratios out on either side.
 
@@ -130,7 +137,7 @@ def limits_of(counts: dict[int, dict[int, int]], tail: float, least: int, beyond
     solid = sorted(k for k, (_, n) in have.items() if n.sum() >= 5)
     if not solid:
         return beyond
-    middles = [float(np.median(np.repeat(*have[k]))) for k in solid]
+    middles = [quantile(*have[k], 0.5) for k in solid]
     first, last = min(have), max(have)
     at = lambda k: float(np.interp(k, solid, middles))
     fitted = []
@@ -139,42 +146,46 @@ def limits_of(counts: dict[int, dict[int, int]], tail: float, least: int, beyond
             near = [j for j in range(k - reach, k + reach + 1) if j in have]
             if sum(int(have[j][1].sum()) for j in near) >= least:
                 break
-        off = np.sort(np.concatenate([np.repeat(have[j][0] - at(j), have[j][1]) for j in near]))
-        low, high = np.quantile(off, [tail, 1 - tail])
-        few = max(0.0, 1 - len(off) / least)  # the fewer rows, the less do their extremes say
-        fitted.append((2.0 ** ((k + 1) / OCTAVE), at(k) + float(low) - few * float(high - low) / 2 - 1 / STEPS, at(k) + float(high) + few * float(high - low) / 2 + 1 / STEPS))
+        off, times = np.concatenate([have[j][0] - at(j) for j in near]), np.concatenate([have[j][1] for j in near])
+        order = np.argsort(off, kind="stable")
+        low, high = (quantile(off[order], times[order], q) for q in (tail, 1 - tail))
+        few = max(0.0, 1 - int(times.sum()) / least)  # the fewer rows, the less do their extremes say
+        fitted.append((2.0 ** ((k + 1) / OCTAVE), at(k) + low - few * (high - low) / 2 - 1 / STEPS, at(k) + high + few * (high - low) / 2 + 1 / STEPS))
     start, end = 2.0 ** (first / OCTAVE), fitted[-1][0]
     below = [x for x in beyond if x[0] < start]
     edge = next(x for x in beyond if x[0] >= start)
     return (*below, (start, *edge[1:]), *fitted, *[x for x in beyond if x[0] > end])
 
 
-def fitted(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), sample: int = SAMPLE, tail: float = 0.0025, chunk_tail: float = 0.001, least: int = 400) -> Bands:
+def fitted(docs: DataFrame, labels: DataFrame, bands: Bands = Bands(), tail: float = 0.0025, chunk_tail: float = 0.001, least: int = 400) -> Bands:
     """bands with limits by length from the documents (doc_id, text) that labels (doc_id, quality) call clean.
 
-    Measures at most about `sample` documents of quality 1 that aren't held out (see quality_classifier) and
-    pass the base rules; their narrow label rows are broadcast, no text is shuffled. The driver gets counts by
-    bins of length and ratio, a bounded table. Without such rows the bands stay as they are.
+    Measures all documents of quality 1 that aren't held out (see quality_classifier) and pass the base rules.
+    A filter of bits spares most of the others; only lengths and ratios are shuffled, to meet the labels, no
+    text is. The driver gets counts by bins of length and ratio, a bounded table. Without such rows the bands
+    stay as they are.
     """
     clean = F.col("doc_id").isNotNull() & (F.col("quality").cast("int") == 1) & ~held_out(F.col("doc_id"))
     usable = labels.where(clean).select("doc_id").distinct()
-    n = usable.count()
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(max(n, 1))) < sample)
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    likely = bit_filter(usable.select(key.alias("key")), "key", usable.count())
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=bands.level)
         for b in batches:
-            out = []
-            for text in b.column(0).cast(pa.large_binary()).to_pylist():
+            b, out = b.filter(pa.array(among(likely, b["key"].to_numpy().view(np.uint64)))), []
+            for row, text in enumerate(b["text"].cast(pa.large_binary()).to_pylist()):
                 words = (text or b"").split()
                 if _base_failed(len(words), repeated_words(words), bands):
                     continue
                 chunks = [text[k : k + bands.chunk_bytes] for k in range(0, len(text), bands.chunk_bytes)]
                 for kind, part in [(0, text), *[(1, c) for c in chunks if len(c) >= bands.min_chunk_bytes]]:
-                    out.append((kind, math.floor(OCTAVE * math.log2(len(part))), round(STEPS * len(part) / len(squeeze.compress(part)))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*out)] if out else [pa.array([], pa.int32())] * 3, ["kind", "bin", "ratio"])
+                    out.append((row, kind, math.floor(OCTAVE * math.log2(len(part))), round(STEPS * len(part) / len(squeeze.compress(part)))))
+            rows, *measured = [pa.array(c, pa.int32()) for c in zip(*out)] if out else [pa.array([], pa.int32())] * 4
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(rows), *measured], ["doc_id", "kind", "bin", "ratio"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(ratios, "kind int, bin int, ratio int")
+    texts = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", key.alias("key"))
+    rows = texts.mapInArrow(ratios, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, kind int, bin int, ratio int").join(usable, "doc_id", "left_semi")
     counts: list[dict[int, dict[int, int]]] = [{}, {}]
     for r in rows.groupBy("kind", "bin", "ratio").count().collect():
         counts[r["kind"]].setdefault(r["bin"], {})[r["ratio"]] = r["count"]

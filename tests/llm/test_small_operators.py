@@ -123,6 +123,24 @@ def test_limits_follow_labelled_texts(spark):
     assert quality_rules.fitted(df, labels.where("doc_id < 0")).whole == quality_rules.Bands().whole
 
 
+def test_limits_come_from_all_labelled_texts(spark, monkeypatch):
+    n, seen = 30_000, []
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.hex(F.xxhash64("doc_id", i)))
+    df = spark.range(n).withColumnRenamed("id", "doc_id").withColumn("text", F.concat_ws(" ", words))
+    labels = spark.range(n).select(F.col("id").cast("int").alias("doc_id"), (F.col("id") % 10 != 3).cast("int").alias("quality"))
+    real = quality_rules.limits_of
+    monkeypatch.setattr(quality_rules, "limits_of", lambda counts, *more: seen.append(sum(sum(c.values()) for c in counts.values())) or real(counts, *more))
+    quality_rules.fitted(df, labels.unionByName(labels))
+    assert seen == [sum(k % 10 != 3 and zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n)), 0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(0, 2000), st.integers(1, 50), min_size=1), st.sampled_from([0.0, 0.001, 0.0025, 0.5, 0.9975, 1.0]))
+def test_quantiles_of_counts(counts, q):
+    values, times = np.array(sorted(counts)) / 256, np.array([counts[k] for k in sorted(counts)])
+    assert quality_rules.quantile(values, times, q) == pytest.approx(np.quantile(np.repeat(values, times), q), abs=1e-12)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab \n", max_size=60))
 def test_repeats_by_brute_force(t):
