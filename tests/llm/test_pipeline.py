@@ -1,9 +1,13 @@
 """The pipeline's stages against plain versions of what they decide."""
 
 import inspect
+import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from terracell.llm import quality_rules
 from terracell.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +43,14 @@ def test_stages_one_after_the_other(spark, tmp_path):
     whole = corpus_pipeline.run(spark, SF)
     pick = lambda rs: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rs)
     assert pick(whole.collect()) == pick(rows)
+
+
+def test_quality_learns_from_all_labelled_texts(spark, tmp_path, monkeypatch):
+    n, seen = 26_000, []
+    words = F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.hex(F.xxhash64("doc_id", i)))
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("text", F.concat_ws(" ", words))
+    docs.select("doc_id", F.lit(1).alias("quality")).write.parquet(str(tmp_path / "labels.parquet"))
+    real = quality_rules.limits_of
+    monkeypatch.setattr(quality_rules, "limits_of", lambda counts, *more: seen.append(sum(sum(c.values()) for c in counts.values())) or real(counts, *more))
+    corpus_pipeline.quality(spark, docs, str(tmp_path))
+    assert seen[0] == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n)) > 20_000
