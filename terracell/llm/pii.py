@@ -1,8 +1,8 @@
 """Personal data by candidate gradient boosting, in DataFrame and SQL functions only.
 
 Strict patterns give the base spans. Looser generators propose further spans, overlapping ones included;
-boosted trees over format and context features score them, and a threshold for each kind, calibrated on
-texts that the trees did not see, decides which are added. Everything that touches texts is a Column
+boosted trees over format and context features score them, and a threshold for each kind decides which are
+added. All texts teach the trees and calibrate the thresholds, each by trees that did not see it. Everything that touches texts is a Column
 expression on its own row: no shuffle, no Python on the executors. The driver sees one counter for each
 combination of features (a bounded table, see FEATURES) and boosts on that.
 """
@@ -211,6 +211,30 @@ def _grow(rows: list[tuple[dict[str, int], float, float]], depth: int, shrink: f
     return Tree(0.0, f, at, _grow([r for r in rows if r[0][f] <= at], depth - 1, shrink), _grow([r for r in rows if r[0][f] > at], depth - 1, shrink))
 
 
+def _trees(train: list[tuple[dict[str, int], int, int]], rounds: int, depth: int, shrink: float) -> list[Tree]:
+    """Trees boosted on (features, label, count); rows alike in the first two are taken together."""
+    alike: dict[tuple, int] = {}
+    for f, label, n in train:
+        key = (tuple(f[x] for x in FEATURES), label)
+        alike[key] = alike.get(key, 0) + n
+    own = [(dict(zip(FEATURES, values)), label, n) for (values, label), n in alike.items()]
+    trees: list[Tree] = []
+    scores = [0.0] * len(own)
+    for _ in range(rounds):
+        rows = []
+        for (f, label, n), score in zip(own, scores):
+            p = 1 / (1 + math.exp(-score))
+            rows.append((f, n * (label - p), n * p * (1 - p)))
+        trees.append(_grow(rows, depth, shrink))
+        scores = [score + trees[-1].of(f) for (f, _, _), score in zip(own, scores)]
+    return trees
+
+
+def _scored(trees: list[Tree], rows: list[tuple[dict[str, int], int, int]]) -> list[tuple[float, int, int]]:
+    """(score, label, count) of (features, label, count)."""
+    return [(sum(t.of(f) for t in trees), label, n) for f, label, n in rows]
+
+
 def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int = 12, depth: int = 3, shrink: float = 0.4, precision: float = 0.9) -> Model:
     """Trees and thresholds from (kind, features, label, fold, count). Fold 0 calibrates, the others train.
 
@@ -220,17 +244,11 @@ def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int
     model = Model()
     for kind in KINDS:
         own = [x for x in counts if x[0] == kind]
-        train, test = [x for x in own if x[3]], [x for x in own if not x[3]]
-        if not any(x[2] for x in train) or not test:
+        train, test = [(f, label, n) for _, f, label, fold, n in own if fold], [(f, label, n) for _, f, label, fold, n in own if not fold]
+        if not any(x[1] for x in train) or not test:
             continue
-        trees: list[Tree] = []
-        for _ in range(rounds):
-            rows = []
-            for _, f, label, _, n in train:
-                p = 1 / (1 + math.exp(-sum(t.of(f) for t in trees)))
-                rows.append((f, n * (label - p), n * p * (1 - p)))
-            trees.append(_grow(rows, depth, shrink))
-        scored = sorted(((sum(t.of(f) for t in trees), label, n) for _, f, label, _, n in test), key=lambda x: (-x[0], x[1]))
+        trees = _trees(train, rounds, depth, shrink)
+        scored = sorted(_scored(trees, test), key=lambda x: (-x[0], x[1]))
         good = seen = 0
         for k, (score, label, n) in enumerate(scored):
             good, seen = good + label * n, seen + n
@@ -241,6 +259,34 @@ def boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int
     return model
 
 
+def cross_boosted(counts: list[tuple[str, dict[str, int], int, int, int]], rounds: int = 12, depth: int = 3, shrink: float = 0.4, precision: float = 0.9) -> Model:
+    """Trees and thresholds from (kind, features, label, fold, count), both from all folds.
+
+    The trees learn from every count. For the threshold, each fold is scored by trees of the other folds, so that
+    every count calibrates and none by trees that saw it. It is the lowest of the trees' scores from which the
+    candidates are positives with the given precision, smoothed by one positive and one negative more; the folds'
+    trees differ a little, so their scores are cut halfway to the next lower score of the trees.
+    """
+    model = Model()
+    for kind in KINDS:
+        own = [x for x in counts if x[0] == kind]
+        folds = sorted({x[3] for x in own})
+        if len(folds) < 2 or not any(x[2] for x in own):
+            continue
+        rows = {k: [(f, label, n) for _, f, label, fold, n in own if fold == k] for k in folds}
+        trees = _trees([x for k in folds for x in rows[k]], rounds, depth, shrink)
+        unseen = []
+        for k in folds:
+            unseen += _scored(_trees([x for j in folds if j != k for x in rows[j]], rounds, depth, shrink), rows[k])
+        levels = sorted({score for k in folds for score, _, _ in _scored(trees, rows[k])}, reverse=True)
+        for score, lower in zip(levels, [*levels[1:], -math.inf]):
+            reached = [(label, n) for x, label, n in unseen if x >= (score + lower) / 2]
+            if sum(label * n for label, n in reached) + 1 >= precision * (sum(n for _, n in reached) + 2):
+                model.thresholds[kind] = score - 1e-9
+        model.trees[kind] = trees
+    return model
+
+
 def _span(kind: str, m: Column) -> list[Column]:
     return [m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["stop"].alias("stop")]
 
@@ -316,15 +362,15 @@ def labelled(c: Column) -> Column:
 
 
 def fitted(docs: DataFrame, text: str = "text", folds: int = 4, **options) -> Model:
-    """The model of docs, from candidates with evidence beside the strict form; see labelled().
+    """The model of docs, from candidates with evidence beside the strict form; see labelled() and cross_boosted().
 
-    Counts cover all documents; the driver gets at most one row for a kind, combination of features, label and
-    half. A document is in the calibration fold by a hash of its text.
+    Trees and thresholds come from all documents; the driver gets at most one row for a kind, combination of
+    features, label and fold. A document's fold is a hash of its text.
     """
     rows = with_spans(docs.select(text), text)
-    flat = rows.select((F.pmod(F.xxhash64("_t"), F.lit(folds)) > 0).cast("int").alias("fold"), F.explode(F.transform("_cand", lambda c: F.struct(c["kind"].alias("kind"), *[c[f].alias(f) for f in FEATURES], labelled(c).alias("label")))).alias("c")).select("fold", "c.*").where("label is not null")
+    flat = rows.select(F.pmod(F.xxhash64("_t"), F.lit(folds)).cast("int").alias("fold"), F.explode(F.transform("_cand", lambda c: F.struct(c["kind"].alias("kind"), *[c[f].alias(f) for f in FEATURES], labelled(c).alias("label")))).alias("c")).select("fold", "c.*").where("label is not null")
     counts = flat.groupBy("kind", *FEATURES, "label", "fold").count().collect()
-    return boosted([(KINDS[r["kind"]], {f: r[f] for f in FEATURES}, r["label"], r["fold"], r["count"]) for r in sorted(counts)], **options)
+    return cross_boosted([(KINDS[r["kind"]], {f: r[f] for f in FEATURES}, r["label"], r["fold"], r["count"]) for r in sorted(counts)], **options)
 
 
 def found(docs: DataFrame, model: Model | None = None, text: str = "text") -> DataFrame:

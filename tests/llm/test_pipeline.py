@@ -7,7 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terracell.llm import quality_rules
+from terracell.llm import pii, quality_rules
 from terracell.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +54,23 @@ def test_quality_learns_from_all_labelled_texts(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(quality_rules, "limits_of", lambda counts, *more: seen.append(sum(sum(c.values()) for c in counts.values())) or real(counts, *more))
     corpus_pipeline.quality(spark, docs, str(tmp_path))
     assert seen[0] == sum(zlib.crc32(str(k).encode()) % 5 != 0 for k in range(n)) > 20_000
+
+
+def test_personal_data_learns_and_calibrates_on_all_texts(spark):
+    texts = [f"please call +1 (2{k}2) 555-{1234 + k} soon {k}" for k in range(20, 34)] + ["please call (212) 555-1234 soon"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.personal_data(spark, docs, SF).collect()}
+    assert got[len(texts) - 1] == "please call [PHONE] soon"
+
+
+def test_evidence_of_every_fold_counts_for_thresholds():
+    features = {"after": 0, "edge": 0, "words": 1, "size": 2, "shape": 2, "check": 1}
+    good = [("phone", features, 1, k, 20) for k in range(4)]
+    assert "phone" in pii.cross_boosted(good).thresholds
+    for k in range(4):
+        model = pii.cross_boosted([*good, ("phone", features, 0, k, 40)])
+        assert "phone" in model.trees and "phone" not in model.thresholds
+        other = {**features, "words": 0}
+        model = pii.cross_boosted([*good, ("phone", other, 0, k, 40), ("phone", other, 0, (k + 1) % 4, 40)])
+        score = lambda f: sum(t.of(f) for t in model.trees["phone"])
+        assert score(features) >= model.thresholds["phone"] > score(other)
